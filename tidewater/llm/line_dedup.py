@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm.shared import table
+
 
 def _windows(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
     """(id, text hash, position, h1, h2) of every window that is not all blank."""
@@ -55,9 +57,8 @@ def covered_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """(id, th, starts): the sorted first lines of a document's later occurrences."""
     wins = _windows(docs, id_col, text_col, window)
     at = F.struct("id", "th", "pos")
-    repeated = (
-        wins.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    )
+    # Written, so that the join has plain exchanges on both sides and AQE can split a hot window.
+    repeated = table(wins.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "windows")
     later = wins.join(repeated, ["h1", "h2"]).where(~at.eqNullSafe(F.col("first")))
     return later.groupBy("id", "th").agg(F.sort_array(F.collect_set("pos")).alias("starts"))
 

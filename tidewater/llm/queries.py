@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from tidewater.llm import line_dedup, mixing, url_filter
+from tidewater.llm import line_dedup, minhash, mixing, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1,
     "op4_url_filter": url_filter.op4,
+    "op7_minhash": minhash.op7,
     "op8_mixing": mixing.op8,
 }
 ORACLE = {
     "op1_line_dedup": line_dedup.OP1_SQL,
     "op4_url_filter": url_filter.OP4_SQL,
+    "op7_minhash": minhash.OP7_SQL,
     "op8_mixing": mixing.OP8_SQL,
 }
