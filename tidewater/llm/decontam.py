@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RATE = 0.05
+RATE = 0.08
 MAX_BENCHMARK_CHARS = 64_000_000
 _WORD = re.compile(r"\w+")
 
