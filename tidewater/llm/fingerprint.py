@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewater.llm.shared import mix64
 
@@ -200,7 +201,7 @@ def with_fingerprints(docs: DataFrame, ranks: np.ndarray, text_col: str = "text"
                 part = b.slice(first, len(texts))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fingerprints(texts, ranks), pa.string())], names=[*cols, out_col])
 
-    return src.mapInArrow(run, src.schema.add(out_col, "string"))
+    return src.mapInArrow(run, T.StructType([*src.schema.fields, T.StructField(out_col, T.StringType())]))
 
 
 def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:

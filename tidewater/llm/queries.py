@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidewater.llm import decontam, fingerprint, line_dedup, minhash, mixing, url_filter
+from tidewater.llm import decontam, fingerprint, langid, line_dedup, minhash, mixing, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1,
     "op2_fingerprint": fingerprint.op2,
+    "op3_langid": langid.op3,
     "op4_url_filter": url_filter.op4,
     "op6_decontam": decontam.op6,
     "op7_minhash": minhash.op7,
