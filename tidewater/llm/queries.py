@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewater.llm import decontam, fingerprint, langid, line_dedup, minhash, mixing, url_filter
+from tidewater.llm import decontam, fingerprint, langid, line_dedup, minhash, mixing, pu_quality, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_decontam": decontam.op6,
     "op7_minhash": minhash.op7,
     "op8_mixing": mixing.op8,
+    "op9_quality": pu_quality.op9,
 }
 ORACLE = {
     "op1_line_dedup": line_dedup.OP1_SQL,
