@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewater.llm import decontam, fingerprint, langid, line_dedup, minhash, mixing, pu_quality, url_filter
+from tidewater.llm import decontam, fingerprint, langid, line_dedup, minhash, mixing, pu_quality, toxicity, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_minhash": minhash.op7,
     "op8_mixing": mixing.op8,
     "op9_quality": pu_quality.op9,
+    "op10_toxicity": toxicity.op10,
 }
 ORACLE = {
     "op1_line_dedup": line_dedup.OP1_SQL,
