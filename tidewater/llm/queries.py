@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidewater.llm import decontam, fingerprint, langid, line_dedup, minhash, mixing, pu_quality, toxicity, url_filter
+from tidewater.llm import decontam, fingerprint, langid, line_dedup, minhash, mixing, pii, pu_quality, toxicity, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1,
     "op2_fingerprint": fingerprint.op2,
     "op3_langid": langid.op3,
     "op4_url_filter": url_filter.op4,
+    "op5_pii": pii.op5,
     "op6_decontam": decontam.op6,
     "op7_minhash": minhash.op7,
     "op8_mixing": mixing.op8,
