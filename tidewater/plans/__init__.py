@@ -1,0 +1,6 @@
+"""All queries but those of the optional subpackage, which adds its own."""
+
+from tidewater.plans import profile, series
+from tidewater.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES", "profile", "series"]
