@@ -9,11 +9,12 @@ probability (1 - 0.8^6)^44 < 2e-6.
 Copies and large groups
   * documents with equal sets form one class under their smallest id (128-bit digest of the set);
     only that representative goes on;
-  * in a band bucket pairs are never all listed.  First every document is compared with the least
-    id over its buckets.  Then, bucket by bucket, those not yet in one component are compared with
-    ever larger shares of the bucket as centres (doubling, by a hash), until the bucket is one
-    component or everyone has been a centre: exact, whatever the similarities, while a group
-    that hangs together costs a few comparisons per document.
+  * in a band bucket pairs are never all listed.  First every document is compared with one hub of
+    its buckets.  In buckets that aren't one component then, documents that can't have a link any
+    more, by the shingles that only they have, are left out; the others are compared with ever
+    larger shares of the bucket as centres (doubling, by a hash), until the bucket is one
+    component or everyone has been a centre: exact, whatever the similarities, while a group that
+    hangs together costs a few comparisons per document.
 
 Defined results: no words or null text give an empty set, linked with nothing; rows of one id are
 one document; null ids stay unlinked (component null, kept); an empty table gives an empty result.
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from tidewater.llm.shared import connected_components, forget, mix64, per_text, shingle_hashes, table
 
 BANDS, ROWS = 44, 6
-#: Centres of a bucket in the first round after the stars; doubled every round.
-CENTRES = 4
+#: Centres of a bucket in the first round after the stars (all of a bucket of that size); doubled every round.
+CENTRES = 128
 
 _rng = np.random.default_rng(20240607)
 _MUL = _rng.integers(0, 2**32, BANDS * ROWS // 2, dtype=np.uint32) | np.uint32(1)
@@ -77,7 +78,11 @@ def _sketch(k: int):
 
 
 def _set_of(k: int):
-    return lambda text: (shingle_hashes(text, k).view(np.int64),)
+    def one(text):
+        h = shingle_hashes(text, k)
+        return len(h), h.view(np.int64)
+
+    return one
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -97,40 +102,41 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     )
     forget(sketches, classes)
     rows = member.where("bands is not null").select("id", F.explode("bands").alias("b"))
-    buckets = table(rows.groupBy("b").agg(F.min("id").alias("c"), F.max("id").alias("z")).where("c < z").drop("z"), "buckets")
-    live = table(rows.join(buckets, "b").distinct(), "live")
-
-    wanted = live.select("id").distinct()
-    texts = ids.join(wanted, "id", "left_semi")
-    sets = texts.mapInArrow(per_text(_set_of(k), pa.schema([("id", pa.int64()), ("s", long_list)]), ["id"]), "id long, s array<long>")
-    sets = table(sets, "sets")
-
-    stars = live.groupBy("id").agg(F.min("c").alias("b")).where("id <> b").select(F.col("id").alias("a"), "b")
+    buckets = table(rows.groupBy("b").agg(F.count("*").alias("m")).where("m > 1"), "buckets")
+    live = table(rows.join(buckets, "b"), "live")
+    forget(buckets)
+    texts = ids.join(live.select("id").distinct(), "id", "left_semi")
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("s", long_list)])
+    sets = table(texts.mapInArrow(per_text(_set_of(k), schema, ["id"]), "id long, n long, s array<long>").dropDuplicates(["id"]), "sets")
+
+    # Stars: a bucket's hub is its document that meets most others over all buckets, in a group of edited
+    # copies the least edited one; every document is compared with the foremost of its hubs.
+    score = live.groupBy("id").agg(F.sum("m").alias("score"))
+    hubs = table(live.join(score, "id").groupBy("b").agg(F.max(F.struct("score", "id")).alias("hub")), "hubs")
+    best = live.join(hubs, "b").groupBy("id").agg(F.max("hub").alias("hub"))
+    stars = table(best.select(F.col("id").alias("a"), F.col("hub.id").alias("b")).where("a <> b"), "stars")
     links = table(_verify(stars, sets, percent), "links")
     comp = connected_components(links)
-    live = live.withColumn("u", F.pmod(F.xxhash64("b", "id"), F.lit(1 << 30)) / float(1 << 30))
-    done = 0
-    while True:
-        named = live.join(comp.withColumnRenamed("node", "id"), "id", "left").select("b", "id", "u", F.coalesce("component", "id").alias("g"))
-        named = table(named, "named")
-        open_ = named.groupBy("b").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.count("*").alias("m")).where("g0 < g1")
-        if done:
-            open_ = open_.where(F.col("m") > CENTRES * 2 ** (done - 1))
-        open_ = table(open_.select("b", "m"), "open")
-        if not open_.head(1):
-            break
-        here = table(named.join(open_, "b"), "here")
-        size = F.lit(float(CENTRES * 2**done))
-        before = F.lit(float(CENTRES * 2 ** (done - 1))) if done else F.lit(0.0)
-        small = (F.col("m") <= size) if not done else F.lit(False)
-        centre = small | ((F.col("u") * F.col("m") >= before) & ((F.col("u") * F.col("m") < size) | (F.col("m") <= size)))
-        centres = here.where(centre).select("b", F.col("id").alias("cid"), F.col("g").alias("cg"))
-        pairs = here.join(centres, "b").where("g <> cg").select(F.greatest("id", "cid").alias("a"), F.least("id", "cid").alias("b")).distinct()
+    here = table(_open(live, comp), "here")
+    forget(hubs, stars)
+    if here.head(1):
+        here = table(_possible(here, sets, percent), "here")
+    least, most = 0.0, float(CENTRES)
+    while here.head(1):
+        # Everyone against the bucket's next centres; links within a component tell nothing new.
+        at = F.pmod(F.xxhash64("b", "id"), F.lit(1 << 30)) / float(1 << 30) * F.col("m")
+        centre = (at >= least) & ((at < most) | (F.col("m") <= most))
+        centres = here.where(centre).select("b", F.col("id").alias("cid"), F.col("g").alias("cg"), F.col("n").alias("cn"), F.col("r").alias("cr"))
+        common = F.least(F.col("n") - F.col("r"), F.col("cn") - F.col("cr"))
+        alike = 100 * common >= percent * (F.col("n") + F.col("cn") - common)
+        pairs = here.join(centres, "b").where((F.col("g") != F.col("cg")) & alike)
+        pairs = table(pairs.select(F.greatest("id", "cid").alias("a"), F.least("id", "cid").alias("b")).distinct(), "pairs")
         more = table(_verify(pairs, sets, percent), "links")
-        links = table(links.unionByName(more), "links")
-        comp = connected_components(links)
-        live = here.select("b", "id", "u")
-        done += 1
+        if more.head(1):
+            links = table(links.unionByName(more), "links")
+            comp = connected_components(links)
+        here = table(_open(here, comp).where(F.col("m") > most), "here")
+        least, most = most, 2 * most
     out = member.join(comp, F.col("rep") == F.col("node"), "left")
     component = F.coalesce("component", "rep")
     return out.select(
@@ -139,6 +145,33 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     )
 
 
+def _open(live: DataFrame, comp: DataFrame) -> DataFrame:
+    """The rows of buckets that hold more than one component, with the component g and the bucket's size m."""
+    rest = [c for c in ("n", "r") if c in live.columns]
+    named = live.join(comp.withColumnRenamed("node", "id"), "id", "left").select("b", "id", *rest, F.coalesce("component", "id").alias("g"))
+    several = named.groupBy("b").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.count("*").alias("m")).where("g0 < g1")
+    return named.join(table(several.select("b", "m"), "open"), "b")
+
+
+def _possible(here: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Open rows that may still have a link, with the set's size n and its number r of shingles that no
+    other document of an open bucket has.  Those shingles can't be shared, so at best
+    (n - r) / (r + the partner's size) are: without loss, this drops the edited copies whose own edits
+    already put them below the limit, which would otherwise be compared with their whole group."""
+    some = sets.join(here.select("id").distinct(), "id", "left_semi")
+    own = some.select("id", F.explode("s").alias("t")).groupBy("t").agg(F.min("id").alias("id"), F.count("*").alias("c")).where("c = 1")
+    own = own.groupBy("id").agg(F.count("*").alias("r"))
+    sizes = table(some.select("id", "n").join(own, "id", "left").select("id", "n", F.coalesce("r", F.lit(0)).alias("r")), "sizes")
+    rows = table(here.join(sizes, "id"), "here")
+    least = table(rows.groupBy("b").agg(F.min("n").alias("n0")), "least")
+    shared = F.col("n") - F.col("r")
+    fits = rows.join(least, "b").where(100 * shared >= percent * (F.col("r") + F.greatest("n0", shared)))
+    # What is left of a bucket may be one component now.
+    fits = table(fits.select("b", "id", "n", "r", "g"), "fits")
+    several = fits.groupBy("b").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.count("*").alias("m")).where("g0 < g1")
+    return fits.join(table(several.select("b", "m"), "open"), "b")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are alike enough."""
     one = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
