@@ -9,12 +9,15 @@ probability (1 - 0.8^6)^44 < 2e-6.
 Copies and large groups
   * documents with equal sets form one class under their smallest id (128-bit digest of the set);
     only that representative goes on;
-  * in a band bucket pairs are never all listed.  First every document is compared with one hub of
-    its buckets.  In buckets that aren't one component then, documents that can't have a link any
-    more, by the shingles that only they have, are left out; the others are compared with ever
-    larger shares of the bucket as centres (doubling, by a hash), until the bucket is one
-    component or everyone has been a centre: exact, whatever the similarities, while a group that
-    hangs together costs a few comparisons per document.
+  * in a band bucket pairs are never all listed.  First every document is compared with the foremost
+    hub of its buckets.  Buckets that aren't one component then are worked on by hub: the documents of
+    a hub's open buckets are compared with the hub, which leaves of each only what it lacks and has
+    beyond the hub.  Two documents that aren't both linked to the hub can only be linked if more than
+    about half of the difference of one is also in the other's, so differences that one document has
+    alone rule most pairs out.  The rest meets ``CENTRES`` centres a hub first (where a group hangs
+    together it mostly becomes one component here), then, in hubs of more documents, everyone who
+    shares one of the rarest parts of a difference (a prefix filter).  Both are exact: whatever shares
+    a bucket and is alike enough, is linked.
 
 Defined results: no words or null text give an empty set, linked with nothing; rows of one id are
 one document; null ids stay unlinked (component null, kept); an empty table gives an empty result.
@@ -24,13 +27,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.shared import connected_components, forget, mix64, per_text, shingle_hashes, table
 
 BANDS, ROWS = 44, 6
-#: Centres of a bucket in the first round after the stars (all of a bucket of that size); doubled every round.
+#: Centres of a hub in the round after the stars (all of its documents where there are no more).
 CENTRES = 128
 
 _rng = np.random.default_rng(20240607)
@@ -96,7 +99,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     classes = table(keyed.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c"), "classes")
     member = table(
         sketches.join(classes, ["d1", "d2"], "left").select(
-            "id", "n", F.coalesce("rep", "id").alias("rep"), F.when(F.coalesce("rep", "id") == F.col("id"), F.col("bands")).alias("bands")
+            "id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"), F.when(F.coalesce("rep", "id") == F.col("id"), F.col("bands")).alias("bands")
         ),
         "member",
     )
@@ -118,25 +121,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     links = table(_verify(stars, sets, percent), "links")
     comp = connected_components(links)
     here = table(_open(live, comp), "here")
-    forget(hubs, stars)
+    forget(stars)
     if here.head(1):
-        here = table(_possible(here, sets, percent), "here")
-    least, most = 0.0, float(CENTRES)
-    while here.head(1):
-        # Everyone against the bucket's next centres; links within a component tell nothing new.
-        at = F.pmod(F.xxhash64("b", "id"), F.lit(1 << 30)) / float(1 << 30) * F.col("m")
-        centre = (at >= least) & ((at < most) | (F.col("m") <= most))
-        centres = here.where(centre).select("b", F.col("id").alias("cid"), F.col("g").alias("cg"), F.col("n").alias("cn"), F.col("r").alias("cr"))
-        common = F.least(F.col("n") - F.col("r"), F.col("cn") - F.col("cr"))
-        alike = 100 * common >= percent * (F.col("n") + F.col("cn") - common)
-        pairs = here.join(centres, "b").where((F.col("g") != F.col("cg")) & alike)
-        pairs = table(pairs.select(F.greatest("id", "cid").alias("a"), F.least("id", "cid").alias("b")).distinct(), "pairs")
-        more = table(_verify(pairs, sets, percent), "links")
-        if more.head(1):
-            links = table(links.unionByName(more), "links")
-            comp = connected_components(links)
-        here = table(_open(here, comp).where(F.col("m") > most), "here")
-        least, most = most, 2 * most
+        by_hub = here.join(hubs, "b").select(F.col("hub.id").alias("hub"), "id", "g").distinct()
+        gaps = table(_gaps(by_hub, sets), "gaps")
+        rows, tokens = _possible(gaps, percent)
+        more = table(_near_hub(gaps, percent).unionByName(_verify(_centre_pairs(rows, percent), sets, percent)), "links")
+        forget(gaps)
+        links, comp = _with_links(links, more, comp)
+        rest = table(_still_open(rows, comp), "rest")
+        if rest.head(1):
+            more = table(_verify(table(_prefix_pairs(rest, tokens, percent), "pairs"), sets, percent), "links")
+            links, comp = _with_links(links, more, comp)
     out = member.join(comp, F.col("rep") == F.col("node"), "left")
     component = F.coalesce("component", "rep")
     return out.select(
@@ -146,30 +142,99 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
 
 def _open(live: DataFrame, comp: DataFrame) -> DataFrame:
-    """The rows of buckets that hold more than one component, with the component g and the bucket's size m."""
-    rest = [c for c in ("n", "r") if c in live.columns]
-    named = live.join(comp.withColumnRenamed("node", "id"), "id", "left").select("b", "id", *rest, F.coalesce("component", "id").alias("g"))
-    several = named.groupBy("b").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.count("*").alias("m")).where("g0 < g1")
-    return named.join(table(several.select("b", "m"), "open"), "b")
-
-
-def _possible(here: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Open rows that may still have a link, with the set's size n and its number r of shingles that no
-    other document of an open bucket has.  Those shingles can't be shared, so at best
-    (n - r) / (r + the partner's size) are: without loss, this drops the edited copies whose own edits
-    already put them below the limit, which would otherwise be compared with their whole group."""
-    some = sets.join(here.select("id").distinct(), "id", "left_semi")
-    own = some.select("id", F.explode("s").alias("t")).groupBy("t").agg(F.min("id").alias("id"), F.count("*").alias("c")).where("c = 1")
-    own = own.groupBy("id").agg(F.count("*").alias("r"))
-    sizes = table(some.select("id", "n").join(own, "id", "left").select("id", "n", F.coalesce("r", F.lit(0)).alias("r")), "sizes")
-    rows = table(here.join(sizes, "id"), "here")
-    least = table(rows.groupBy("b").agg(F.min("n").alias("n0")), "least")
-    shared = F.col("n") - F.col("r")
-    fits = rows.join(least, "b").where(100 * shared >= percent * (F.col("r") + F.greatest("n0", shared)))
-    # What is left of a bucket may be one component now.
-    fits = table(fits.select("b", "id", "n", "r", "g"), "fits")
-    several = fits.groupBy("b").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.count("*").alias("m")).where("g0 < g1")
-    return fits.join(table(several.select("b", "m"), "open"), "b")
+    """The rows of buckets that hold more than one component, with the component g."""
+    named = live.join(comp.withColumnRenamed("node", "id"), "id", "left").select("b", "id", F.coalesce("component", "id").alias("g"))
+    several = named.groupBy("b").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1")
+    return named.join(table(several.select("b"), "open"), "b")
+
+
+def _with_links(links: DataFrame, more: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
+    if not more.head(1):
+        return links, comp
+    links = table(links.unionByName(more), "links")
+    return links, connected_components(links)
+
+
+def _gaps(by_hub: DataFrame, sets: DataFrame) -> DataFrame:
+    """(hub, id, g, n, nh, lacks, has): the sizes of a document's and its hub's sets, and their differences."""
+    one = table(by_hub, "by-hub").join(sets.select("id", "n", "s"), "id")
+    two = one.join(sets.select(F.col("id").alias("hub"), F.col("n").alias("nh"), F.col("s").alias("h")), "hub")
+    return two.select("hub", "id", "g", "n", "nh", F.array_except("h", "s").alias("lacks"), F.array_except("s", "h").alias("has"))
+
+
+def _near_hub(gaps: DataFrame, percent: int) -> DataFrame:
+    both = F.col("n") - F.size("has")
+    near = gaps.where((F.col("id") != F.col("hub")) & (100 * both >= percent * (F.col("nh") + F.size("has"))))
+    return near.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b"))
+
+
+def _possible(gaps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (hub, id, g, n, nh, lacks, has, sl, sh, far, fits, size) that may have a link which the hub
+    doesn't show, and the parts of differences (hub, id, t, c) that c > 1 documents of the hub share.
+
+    lacks and has are numbers here, sl and sh those of shared parts; far: not linked to the hub.
+    A pair (s, t) is linked if its shared parts are at least
+    need = p (n_s + n_t) / (100 + p) - n_hub + lacks_s + lacks_t, and if s is far, that is more than
+    p (has_t - lacks_t) / (100 + p) + lacks_t, which t alone decides: ``fits`` says whether t has as many."""
+    size = table(gaps.groupBy("hub").agg(F.count("*").alias("size")), "sizes")
+    part = lambda c, flag: F.transform(c, lambda t: F.struct(t.alias("t"), F.lit(flag).alias("l")))
+    long = gaps.select("hub", "id", F.inline(F.concat(part("lacks", True), part("has", False))))
+    long = table(long, "parts")
+    shared = long.groupBy("hub", "t").agg(F.count("*").alias("c")).where("c > 1")
+    tokens = table(long.join(table(shared, "shared"), ["hub", "t"]), "tokens")
+    own = tokens.groupBy("hub", "id").agg(F.count_if("l").alias("sl"), F.count_if(~F.col("l")).alias("sh"))
+    rows = gaps.select("hub", "id", "g", "n", "nh", F.size("lacks").alias("lacks"), F.size("has").alias("has"))
+    rows = rows.join(own, ["hub", "id"], "left").join(size, "hub")
+    rows = rows.withColumns({
+        "sl": F.coalesce("sl", F.lit(0)),
+        "sh": F.coalesce("sh", F.lit(0)),
+        "far": 100 * (F.col("n") - F.col("has")) < percent * (F.col("nh") + F.col("has")),
+    })
+    least = percent * (F.col("has") - F.col("lacks")) + (100 + percent) * F.col("lacks")
+    rows = rows.withColumn("fits", (100 + percent) * (F.col("sl") + F.col("sh")) > least)
+    return table(rows.where("far or fits"), "rows"), tokens
+
+
+def _may_link(percent: int):
+    """Whether the shared parts of a row and of one with ``c`` before its names can suffice."""
+    need = percent * (F.col("n") + F.col("cn")) + (100 + percent) * (F.col("lacks") + F.col("clacks") - F.col("nh"))
+    most = F.least("sl", "csl") + F.least("sh", "csh")
+    return (F.col("g") != F.col("cg")) & (F.col("far") | F.col("cfar")) & ((100 + percent) * most >= need)
+
+
+def _other(rows: DataFrame) -> DataFrame:
+    return rows.select("hub", *[F.col(c).alias(f"c{c}") for c in ("id", "g", "n", "lacks", "sl", "sh", "far")])
+
+
+def _centre_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Each row with the centres of its hub: by a hash, CENTRES of those that may have a link."""
+    size = table(rows.groupBy("hub").agg(F.count("*").alias("m")), "sizes")
+    at = F.pmod(F.xxhash64("hub", "id"), F.lit(1 << 30)) / float(1 << 30) * F.col("m")
+    centres = rows.join(size, "hub").where((at < CENTRES) | (F.col("m") <= CENTRES))
+    pairs = rows.join(table(_other(centres), "centres"), "hub").where(_may_link(percent) & (F.col("id") != F.col("cid")))
+    return table(pairs.select(F.greatest("id", "cid").alias("a"), F.least("id", "cid").alias("b")).distinct(), "pairs")
+
+
+def _still_open(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """The rows of large hubs that hold several components, with the new component g."""
+    named = rows.where(F.col("size") > CENTRES).drop("g").join(comp.withColumnRenamed("node", "id"), "id", "left")
+    named = named.withColumn("g", F.coalesce("component", "id")).drop("component")
+    several = named.groupBy("hub").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.max("far").alias("far")).where("g0 < g1 and far")
+    return named.join(table(several.select("hub"), "open"), "hub")
+
+
+def _prefix_pairs(rest: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a far row and one that fits, which share one of the latter's rarest parts: it needs k of
+    its sl + sh shared parts, so one of any sl + sh - k + 1 of them is common."""
+    k = F.floor((percent * (F.col("has") - F.col("lacks")) + (100 + percent) * F.col("lacks")) / (100 + percent)) + 1
+    first = rest.where("fits").withColumn("first", F.col("sl") + F.col("sh") - k + 1).where("first > 0")
+    own = Window.partitionBy("hub", "id").orderBy("c", "t")
+    ranked = tokens.withColumn("r", F.row_number().over(own)).join(first, ["hub", "id"]).where("r <= first")
+    left = table(ranked.select("hub", "t", "id", "g", "n", "nh", "lacks", "sl", "sh", "far"), "prefix")
+    right = table(tokens.select("hub", "id", "t").join(rest.where("far"), ["hub", "id"]).select("t", "hub", "id", "g", "n", "lacks", "sl", "sh", "far"), "far")
+    right = right.select("t", "hub", *[F.col(c).alias(f"c{c}") for c in ("id", "g", "n", "lacks", "sl", "sh", "far")])
+    pairs = left.join(right, ["hub", "t"]).where(_may_link(percent) & (F.col("id") != F.col("cid")))
+    return pairs.select(F.greatest("id", "cid").alias("a"), F.least("id", "cid").alias("b")).distinct()
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
