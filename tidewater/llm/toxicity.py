@@ -58,6 +58,7 @@ NAMES = [
     "capitals", "capital_words", "exclamations", "punctuation", "runs", "obfuscated", "stretched", "digits", "apart", "length", "distinct_hits",
 ]
 _EDGE = re.compile(r"^\W+|\W+$")
+_PLAIN_EDGE = ".,;:!?\"'()[]{}*-"
 _INNER = re.compile(r"\w[^\w\s'’-]+\w|[^\W\d_]\d+[^\W\d_]|[@$]\w|\w[@$]")
 _STRETCH = re.compile(r"(.)\1\1")
 _SQUEEZE = re.compile(r"(.)\1+")
@@ -70,24 +71,31 @@ def stems_of(word: str) -> list[str]:
 
 
 class _Words(dict):
-    """What each token is, worked out once: (flags, weight of its heaviest stem)."""
+    """What each token is, worked out once: flags, and above them the weight of its heaviest stem in millionths."""
 
     BASE, STEM, SECOND, CAPITAL, OBFUSCATED, STRETCHED, RUN, UNDONE, SINGLE = (1 << i for i in range(9))
 
     def __init__(self, stems: dict[str, float]):
         super().__init__()
         self.stems = stems
+        self.heads = {s[:3] for s in stems}
 
-    def __missing__(self, token: str) -> tuple[int, float]:
+    ALL = (1 << 9) - 1
+
+    def __missing__(self, token: str) -> int:
         if len(self) > 200_000:
             self.clear()
-        core = _EDGE.sub("", token)
+        core = token.strip(_PLAIN_EDGE)
+        letters = core.isalpha()
+        if not letters:
+            core = _EDGE.sub("", token)
         low = core.lower()
         weight = self.weigh(low)
         f = self.BASE * (low in BASE_LEXICON) | self.STEM * (weight > 0) | self.SECOND * (low in SECOND_PERSON)
         f |= self.CAPITAL * (len(core) > 1 and core.isupper()) | self.SINGLE * (len(core) == 1 and core.isalpha())
         f |= self.RUN * (len(token) - len(core) > 1)
-        odd, long = bool(_INNER.search(token)), bool(_STRETCH.search(low))
+        # Letters alone can't hide anything; the edges are signs that @ and $ aren't among.
+        odd, long = not letters and bool(_INNER.search(token)), bool(_STRETCH.search(low))
         if "@" in token and "." in token:
             odd = False
         f |= self.OBFUSCATED * odd | self.STRETCHED * long
@@ -95,21 +103,42 @@ class _Words(dict):
             plain = _NONWORD.sub("", token.lower().translate(LEET))
             found = [w for w in (plain, _SQUEEZE.sub(r"\1", plain), _SQUEEZE.sub(r"\1\1", plain)) if w in BASE_LEXICON or self.weigh(w) > 0]
             f |= self.UNDONE * bool(found)
-        self[token] = f, weight
-        return f, weight
+        f |= round(weight * 1e6) << 9
+        self[token] = f
+        return f
 
     def weigh(self, word: str) -> float:
+        if word[:3] not in self.heads:
+            return 0.0
         return max((self.stems[s] for s in stems_of(word) if s in self.stems), default=0.0)
 
 
+def _kinds(c: str) -> tuple[bool, bool, bool, bool]:
+    return c.isupper(), not (c.isalnum() or c == "_" or c.isspace()), c.isdigit(), c in "!?"
+
+
+_ASCII = np.array([_kinds(chr(i)) for i in range(128)]).T
+
+
+def char_counts(text: str) -> tuple[int, ...]:
+    """Capitals, signs (neither word nor space), digits, and exclamation and question marks."""
+    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    plain = cp < 128
+    out = _ASCII @ np.bincount(cp[plain], minlength=128)
+    for c, n in zip(*np.unique(cp[~plain], return_counts=True), strict=True):
+        out = out + np.array(_kinds(chr(c))) * n
+    return tuple(map(int, out))
+
+
 def features(text: str | None, words: _Words) -> list[float]:
     tokens = (text or "").split()
     n = len(tokens)
     if not n:
         return [0.0] * len(NAMES)
-    got = [words[t] for t in tokens]
-    f = np.fromiter((g[0] for g in got), np.int64, n)
-    weight = max(g[1] for g in got)
+    f = np.fromiter(map(words.__getitem__, tokens), np.int64, n)
+    weight = int((f >> 9).max()) / 1e6
+    f &= words.ALL
+    capitals, signs, digits, marks = char_counts(text)
     has = lambda bit: (f & bit) != 0
     hit = has(words.BASE | words.STEM | words.UNDONE)
     at, you = np.flatnonzero(hit), np.flatnonzero(has(words.SECOND))
@@ -130,9 +159,8 @@ def features(text: str | None, words: _Words) -> list[float]:
     chars = len(text)
     return [
         base / n, math.log1p(base), stem / n, math.log1p(stem), weight, math.log1p(int(has(words.UNDONE).sum())), closest, len(you) / n, near,
-        sum(map(str.isupper, text)) / chars if chars < 200 else len(re.findall(r"[A-ZÀ-ÖØ-Þ]", text)) / chars,
-        float(has(words.CAPITAL).mean()), (text.count("!") + text.count("?")) / chars, len(re.findall(r"[^\w\s]", text)) / chars,
-        float(has(words.RUN).mean()), float(has(words.OBFUSCATED).mean()), float(has(words.STRETCHED).mean()), len(re.findall(r"\d", text)) / chars,
+        capitals / chars, float(has(words.CAPITAL).mean()), marks / chars, signs / chars,
+        float(has(words.RUN).mean()), float(has(words.OBFUSCATED).mean()), float(has(words.STRETCHED).mean()), digits / chars,
         math.log1p(apart), math.log1p(n), math.log1p(len({tokens[i] for i in at})),
     ]
 
