@@ -109,6 +109,16 @@ def decile_band(x: Column, grid: Column) -> Column:
 def anova_f(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
     """(name, f): the one-way F statistic of each column over the label's groups; one pass by group."""
     long = df.select(label, F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in cols])))
+    return _f_statistic(long, label)
+
+
+def anova_f_positions(df: DataFrame, array: str, label: str, prefix: str) -> DataFrame:
+    """anova_f of every position of an array column, however long: ``prefix`` and the position from 1 is the name."""
+    long = df.select(label, F.posexplode(array).alias("i", "x"))
+    return _f_statistic(long.select(label, F.concat(F.lit(prefix), F.col("i") + 1).alias("name"), F.col("x").cast("double").alias("x")), label)
+
+
+def _f_statistic(long: DataFrame, label: str) -> DataFrame:
     g = long.where("x is not null").groupBy("name", label).agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v"))
     t = g.groupBy("name").agg(
         F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(F.col("n") * F.col("v")).alias("within"),
