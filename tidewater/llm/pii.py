@@ -8,7 +8,9 @@ among the names of their gender and script.  So the same entity has the same sur
 document (coreference), and two entities of a form never share one (distinctness).
 
 Collision check: a surrogate that equals an entity of the corpus, or that two entities of a type
-share, is re-keyed for all of them but the least, until none collides; the corpus-wide check is a
+share, is re-keyed for all of them but the least, until none collides; from round MAX_ROUNDS on, and at
+once where a form has no free character, by a longer form that grows by a character a round, so that a
+full form runs out of collisions and not of rounds.  The corpus-wide check is a
 pre-aggregated grouping of the distinct entities, held in the shared folder.  Re-keyed
 entities reach the texts by a join on the document that is only run when there are any.
 
@@ -118,12 +120,13 @@ def permute(x: int, size: int, key: bytes, tweak: str) -> int:
 
 
 @lru_cache(maxsize=65536)
-def _alphabet(c: str, hexa: bool) -> str:
-    """The characters that may stand for c: of its script, case and kind."""
+def _alphabet(c: str, hexa: bool, listed: bool = False) -> str:
+    """The characters that may stand for c: of its script, case and kind; ``listed``: "" for a letter outside the alphabets below."""
     if hexa and c in "0123456789abcdef":
         return "0123456789abcdef"
-    if c.isdigit() and c.isascii():
-        return "0123456789"
+    if c.isdecimal():
+        zero = ord(c) - unicodedata.decimal(c)
+        return "".join(map(chr, range(zero, zero + 10)))
     if not c.isalpha():
         return c
     name = unicodedata.name(c, "")
@@ -136,17 +139,26 @@ def _alphabet(c: str, hexa: bool) -> str:
             got = "".join(x for x in letters if (x in _VOWELS[script]) == vowel)
         else:  # accented letters among themselves
             got = {"latin": "àâäáãéèêëíìîïóòôöõúùûüýÿ" if unicodedata.normalize("NFD", low)[0] in "aeiouy" else "çñßšžćčłńśźż", "greek": "άέήίόύώ", "cyrillic": low}[script]
-            if low not in got:
-                return c
         if not c.islower():
             got = "".join(x for x in (y.upper() for y in got) if len(x) == 1)
-            return got if c in got else c
-        return got
+        return got if c in got else "" if listed else _others(c)
     code = ord(c)
     for lo, hi in ((0x4E00, 0x9FA5), (0x3041, 0x3096), (0x30A1, 0x30FA), (0xAC00, 0xD7A3), (0x0621, 0x064A), (0x05D0, 0x05EA)):
         if lo <= code <= hi:
             return "".join(map(chr, range(lo, hi + 1)))
-    return c
+    return "" if listed else _others(c)
+
+
+def _others(c: str) -> str:
+    """The letters of c's script and category in its 4096 code points that have no alphabet of their own above."""
+    return _block(ord(c) >> 12, unicodedata.name(c, "").split(" ")[0], unicodedata.category(c)) or c
+
+
+@lru_cache(maxsize=4096)
+def _block(at: int, script: str, category: str) -> str:
+    near = map(chr, range(at << 12, (at + 1) << 12))
+    same = (x for x in near if x.isalpha() and unicodedata.category(x) == category and unicodedata.name(x, "").split(" ")[0] == script)
+    return "".join(x for x in same if not _alphabet(x, False, True))
 
 
 def _spell(value: str, key: bytes, tweak: str, hexa: bool = False) -> str:
@@ -181,30 +193,43 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _longer(value: str, attempt: int, hexa: bool = False, filler: str = "x") -> str:
+    """``value`` with as many characters more as the attempt asks for, of the sort of its last free one."""
+    free = [c for c in value if len(_alphabet(c, hexa)) > 1]
+    return value + (free or [filler])[-1] * max(attempt - MAX_ROUNDS + 1, 0 if free else attempt)
+
+
 def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
     t = f"{kind.partition(':')[0]}|{attempt}"
+    more = max(attempt - MAX_ROUNDS + 1, 0)
     if kind == "email":
         local, _, domain = value.rpartition("@")
         host, _, tld = domain.rpartition(".")
-        return f"{_spell(local, key, t)}@{_spell(host, key, t + '|host')}.{tld}"
+        return f"{_spell(_longer(local, attempt), key, t)}@{_spell(host, key, t + '|host')}.{tld}"
     if kind == "card":
         only = re.compile(r"\D")
         valid = _luhn(only.sub("", value))
         lead = value[0] == "0"
-        return _walk(value, key, t, lambda s: _luhn(only.sub("", s)) == valid and (s[0] == "0") == lead)
+        ok = lambda s: _luhn(only.sub("", s)) == valid and (s[0] == "0") == lead
+        if more:
+            value = next(v for d in "0123456789" if ok(v := value + "0" * (more - 1) + d))
+        return _walk(value, key, t, ok)
     if kind == "ip":
         n = int.from_bytes(bytes(map(int, value.split("."))), "big")
+        if more:  # IPv4 has no longer form: an IPv6 address of the documentation range
+            return "2001:db8:" + ":".join(re.findall("....", f"{permute(n, 1 << 96, key, t):024x}"))
         return ".".join(map(str, permute(n, 1 << 32, key, t).to_bytes(4, "big")))
     if kind == "phone":
         m = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d\d?", value)
         head = m[0] if m else ""
         rest = value[len(head) :]
         zero = rest.lstrip(" (.-")[:1] == "0"
-        return head + _walk(rest, key, t + head, lambda s: (s.lstrip(" (.-")[:1] == "0") == zero)
+        return head + _walk(_longer(rest, attempt), key, t + head, lambda s: (s.lstrip(" (.-")[:1] == "0") == zero)
     if kind in ("secret", "iban", "ssn"):
         head = value[:2] if kind == "iban" else (re.match(r"(?:sk|pk|ghp|gho|xox[abp]|AKIA|eyJ)[-_]?", value) or [""])[0] if kind == "secret" else ""
         rest = value[len(head) :]
-        return head + _spell(rest, key, t, hexa=kind == "secret" and re.fullmatch(r"[0-9a-f]+", rest) is not None)
+        hexa = kind == "secret" and re.fullmatch(r"[0-9a-f]+", rest) is not None
+        return head + _spell(_longer(rest, attempt, hexa), key, t, hexa=hexa)
     # A person: given names among those of their gender and script, surnames letter by letter.
     parts = re.split(r"([  ])", value)
     for i, p in enumerate(parts):
@@ -258,7 +283,7 @@ def settle(found: DataFrame, key: bytes) -> DataFrame:
     agree with full names, and a surrogate that happens to be another's real name tells nothing."""
     cur = table(found, "pii")
     changed = None
-    for _ in range(MAX_ROUNDS):
+    while True:
         rows = cur.where("kind <> 'person'")
         taken = rows.select("kind", F.col("surrogate").alias("s"), F.col("value").alias("least"), F.lit(0).alias("real")).unionByName(
             rows.select("kind", F.col("value").alias("s"), F.col("value").alias("least"), F.lit(1).alias("real"))
@@ -272,8 +297,6 @@ def settle(found: DataFrame, key: bytes) -> DataFrame:
         keep = cur.join(bad.select("kind", "value"), ["kind", "value"], "left_anti")
         cur = table(keep.unionByName(bad), "pii")
         changed = True
-    else:
-        raise RuntimeError("surrogates still collide: the entities of some form nearly fill it")
     return (cur if changed else cur.limit(0)).where("attempt > 0").select("kind", "value", "surrogate")
 
 
@@ -292,8 +315,8 @@ def replace(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str =
 
         src = src.withColumn("__pii_h", F.xxhash64(text_col))
         held = src.select("__pii_h", text_col).mapInArrow(hold, "h long, kind string, value string").distinct()
-        maps = held.join(special, ["kind", "value"]).groupBy("h").agg(F.map_from_entries(F.collect_set(F.struct(F.concat("kind", F.lit("\n"), "value"), "surrogate"))).alias("__pii_m"))
-        src = src.join(table(maps, "pii"), F.col("__pii_h") == F.col("h"), "left").select(*cols, "__pii_m")
+        maps = held.join(special, ["kind", "value"]).groupBy(F.col("h").alias("__pii_d")).agg(F.map_from_entries(F.collect_set(F.struct(F.concat("kind", F.lit("\n"), "value"), "surrogate"))).alias("__pii_m"))
+        src = src.join(table(maps, "pii"), F.col("__pii_h") == F.col("__pii_d"), "left").select(*cols, "__pii_m")
     else:
         src = src.withColumn("__pii_m", F.lit(None).cast("map<string,string>"))
     at = cols.index(text_col)
