@@ -3,12 +3,17 @@
 Detected entities are replaced by keyed surrogates of the same type and form.  A surrogate is made
 by a keyed permutation (a Feistel network over mixed radixes) of the strings of one form: digits
 stay digits, letters stay letters of their case, script and kind (vowel or consonant), separators
-stay where they are, Luhn-valid card numbers stay valid and others invalid, given names are permuted
-among the names of their gender and script.  So the same entity has the same surrogate in every
-document (coreference), and two entities of a form never share one (distinctness).
+stay where they are, Luhn-valid card numbers stay valid and others invalid.  So the same entity has the
+same surrogate in every document (coreference), and two entities of a form never share one (distinctness).
+
+Names of persons are replaced part by part.  A given name of the list moves along a keyed cycle through
+the names of its gender and script; another one after a title becomes a compound of two or more of them,
+of the title's gender and its own script; after a title of no gender, or in a script without a list, it is
+spelled anew like a surname.  A part that the corpus has as a surname too is that surname everywhere.
 
 Collision check: a surrogate that equals an entity of the corpus, or that two entities of a type
-share, is re-keyed for all of them but the least, until none collides; from round MAX_ROUNDS on, and at
+share, is re-keyed for all of them but the least, until none collides (parts of names, given and surnames
+together, likewise; names of the list aside, whose cycle has no fixed point but ends on names in use); from round MAX_ROUNDS on, and at
 once where a form has no free character, by a longer form that grows by a character a round, so that a
 full form runs out of collisions and not of rounds.  The corpus-wide check is a
 pre-aggregated grouping of the distinct entities, held in the shared folder.  Re-keyed
@@ -17,7 +22,8 @@ entities reach the texts by a join on the document that is only run when there a
 Types: email, phone, card, ip, secret (hexadecimal or mixed keys), iban, ssn, person.
 Defined results: null text stays null; an empty one stays empty, with 0 entities; entities inside
 longer words or numbers are left alone; overlapping matches go to the leftmost, then longest; a mention
-by surname alone ("Ms. Stone") has the surrogate surname of the full name.
+by surname alone ("Ms. Stone") has the surrogate surname of the full name; a listed given name alone
+("Ms. Anna") is a given name unless its gender is not the title's or the corpus has it as a surname.
 """
 
 from __future__ import annotations
@@ -230,15 +236,42 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
         rest = value[len(head) :]
         hexa = kind == "secret" and re.fullmatch(r"[0-9a-f]+", rest) is not None
         return head + _spell(_longer(rest, attempt, hexa), key, t, hexa=hexa)
-    # A person: given names among those of their gender and script, surnames letter by letter.
+    # A part of a name.
+    if kind in ("listed", "alone"):
+        names = GIVEN[_GENDER[value]]
+        cycle = [names[permute(i, len(names), key, f"given|{_GENDER[value]}")] for i in range(len(names))]
+        return cycle[(cycle.index(value) + 1) % len(names)]
+    if kind.startswith("given:"):
+        names = GIVEN[tuple(kind.split(":")[1:])]
+        x = int.from_bytes(hmac.new(key, f"{kind}|{attempt}|{value}".encode(), hashlib.sha256).digest(), "big")
+        out = []
+        for _ in range(2 + attempt // 3):
+            x, i = divmod(x, len(names))
+            out.append(names[i])
+        return "-".join(out)
+    return _spell(_longer(value, attempt), key, f"{kind}|{attempt}")
+
+
+def pieces(kind: str, value: str) -> list[tuple[str, str]]:
+    """The parts of an entity that have surrogates of their own: (kind, value); kind "" for what stays."""
+    if not kind.startswith("person"):
+        return [(kind, value)]
+    gender = kind.partition(":")[2]
     parts = re.split(r"([  ])", value)
+    out, last = [], len(parts) - 1
     for i, p in enumerate(parts):
-        if p in _GENDER and (i == 0 and len(parts) > 1):
-            names = GIVEN[_GENDER[p]]
-            parts[i] = names[permute(names.index(p), len(names), key, f"{t}|{_GENDER[p]}")]
-        elif p.strip("  "):
-            parts[i] = _spell(p, key, t + "|surname")
-    return "".join(parts)
+        if i % 2:
+            out.append(("", p))
+        elif p in _GENDER and i < last:
+            out.append(("listed", p))
+        elif p in _GENDER and last == 0:
+            out.append(("alone" if gender in ("", _GENDER[p][0]) else "surname", p))
+        elif i == 0 < last:
+            script = unicodedata.name(p[0], "").split(" ")[0].lower()
+            out.append((f"given:{gender}:{script}" if (gender, script) in GIVEN else "given", p))
+        else:
+            out.append(("surname", p))
+    return out
 
 
 def _canonical(kind: str) -> str:
@@ -249,14 +282,14 @@ def _canonical(kind: str) -> str:
 
 
 def entities(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
-    """(kind, value, attempt, surrogate): the distinct entities of all texts with their first surrogate."""
+    """(kind, value, attempt, surrogate): the distinct entities of all texts, persons by their parts, with their first surrogate."""
 
     def run(batches):
         for b in batches:
             seen = set()
             for t in b.column(0).to_pylist():
                 if t:
-                    seen.update((_canonical(k), t[s:e]) for s, e, k in find(t))
+                    seen.update(x for s, e, k in find(t) for x in pieces(k, t[s:e]) if x[0] not in ("", "listed"))
             rows = sorted(seen)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["kind", "value"]
@@ -277,27 +310,32 @@ def _keyed(rows: DataFrame, key: bytes) -> DataFrame:
 
 
 def settle(found: DataFrame, key: bytes) -> DataFrame:
-    """The entities whose surrogate had to be re-keyed: (kind, value, surrogate).
-
-    Person names are left as they are: their parts are permuted one by one, so that surnames alone
-    agree with full names, and a surrogate that happens to be another's real name tells nothing."""
+    """The entities whose surrogate is not the first one: (kind, value, surrogate)."""
     cur = table(found, "pii")
     changed = None
+    listed = found.sparkSession.createDataFrame([("name", n, n, 1) for n in sorted(_GENDER)], "sort string, s string, least string, real int")
+    given = F.col("kind").startswith("given")
     while True:
-        rows = cur.where("kind <> 'person'")
-        taken = rows.select("kind", F.col("surrogate").alias("s"), F.col("value").alias("least"), F.lit(0).alias("real")).unionByName(
-            rows.select("kind", F.col("value").alias("s"), F.col("value").alias("least"), F.lit(1).alias("real"))
+        rows = cur.where("kind <> 'alone'").withColumns(
+            {"sort": F.when(given | (F.col("kind") == "surname"), "name").otherwise(F.col("kind")), "who": F.concat_ws("\n", "value", "kind")}
+        )
+        taken = rows.select("sort", F.col("surrogate").alias("s"), F.col("who").alias("least"), F.lit(0).alias("real")).unionByName(
+            rows.select("sort", F.col("value").alias("s"), F.col("who").alias("least"), F.lit(1).alias("real"))
         )
-        clash = taken.groupBy("kind", "s").agg(F.count("*").alias("n"), F.max("real").alias("real"), F.min("least").alias("least")).where("n > 1")
+        clash = taken.unionByName(listed).groupBy("sort", "s").agg(F.count("*").alias("n"), F.max("real").alias("real"), F.min("least").alias("least")).where("n > 1")
         clash = table(clash, "pii")
-        bad = rows.join(clash.withColumnRenamed("s", "surrogate"), ["kind", "surrogate"]).where("real = 1 or value <> least")
+        bad = rows.join(clash.withColumnRenamed("s", "surrogate"), ["sort", "surrogate"]).where("real = 1 or who <> least")
         bad = table(_keyed(bad.select("kind", "value", (F.col("attempt") + 1).alias("attempt")), key), "pii")
         if not bad.head(1):
             break
         keep = cur.join(bad.select("kind", "value"), ["kind", "value"], "left_anti")
         cur = table(keep.unionByName(bad), "pii")
         changed = True
-    return (cur if changed else cur.limit(0)).where("attempt > 0").select("kind", "value", "surrogate")
+    # Parts that the corpus has as surnames too are those surnames.
+    surnames = cur.where("kind = 'surname'").select("value", F.col("surrogate").alias("s"))
+    same = table(cur.where(given | (F.col("kind") == "alone")).join(surnames, "value").select("kind", "value", F.col("s").alias("surrogate")), "pii")
+    rest = (cur if changed else cur.limit(0)).where("attempt > 0").join(same.select("kind", "value"), ["kind", "value"], "left_anti")
+    return table(rest.select("kind", "value", "surrogate").unionByName(same), "pii")
 
 
 def replace(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -309,7 +347,7 @@ def replace(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str =
         # Which texts hold a re-keyed entity: only those rows get a map of exceptions.
         def hold(batches):
             for b in batches:
-                rows = {(h, _canonical(k), t[s:e]) for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t for s, e, k in find(t)}
+                rows = {(h, *x) for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t for s, e, k in find(t) for x in pieces(k, t[s:e])}
                 rows = sorted(rows)
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *[pa.array([r[i] for r in rows], pa.string()) for i in (1, 2)]], names=["h", "kind", "value"])
 
@@ -330,15 +368,16 @@ def replace(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str =
                 out, end = [], 0
                 other = dict(m) if m else {}
                 for s, e, k in spans:
-                    v = t[s:e]
-                    new = other.get(f"{_canonical(k)}\n{v}")
-                    if new is None:
-                        if len(made) > 100_000:
-                            made.clear()
-                        new = made.get((k, v))
+                    out.append(t[end:s])
+                    for kind, v in pieces(k, t[s:e]):
+                        new = other.get(f"{kind}\n{v}") if kind else v
                         if new is None:
-                            new = made[k, v] = surrogate(k, v, key)
-                    out += [t[end:s], new]
+                            if len(made) > 100_000:
+                                made.clear()
+                            new = made.get((kind, v))
+                            if new is None:
+                                new = made[kind, v] = surrogate(kind, v, key)
+                        out.append(new)
                     end = e
                 texts.append("".join([*out, t[end:]]) if spans else t)
                 counts.append(len(spans))
