@@ -7,27 +7,34 @@ of all items finds every candidate place; places of one item on neighbouring dia
 window, and Myers' bit-parallel algorithm gives the least edit distance of the item to any
 part of the window.
 
-Bounded memory: the benchmark is small against the corpus and its size is checked
-(``MAX_BENCHMARK_CHARS``); it goes to the tasks as one automaton.  The corpus is read once, with no
-shuffle and no limit on hits; a document is handled on its own.
-
-Defined results: null or empty texts hold nothing; an item with no word is never found; an item
-that occurs several times in a document gives one row, its best place (least distance, then
-leftmost); documents with no item give no row in ``find_leaks``.  A null item_id is reported as null.
+Bounded memory: the benchmark is cut into parts of about ``PART_CHARS`` characters by a hash of the item
+(about 70 bytes a character of a part in each Python worker); one part at a time goes to the tasks as
+an automaton.  A benchmark of one part, which is the rule, costs one pass over the corpus without a shuffle;
+a larger one costs a pass a part, with the same results.  No limit on hits; a document is handled on
+its own.
+
+Defined results: null or empty texts hold nothing; an item with no word is never found; an item too
+short for an edit is only found as whole words; an item that occurs several times in a document gives
+one row, its best place (least distance, then leftmost end, then shortest span); equal items are found under
+each of their ids; documents with no item give no row in ``find_leaks``.  A null item_id is reported as null.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidewater.llm.shared import col, scratch, table
 
 RATE = 0.08
-MAX_BENCHMARK_CHARS = 64_000_000
+PART_CHARS = 4_000_000
 _WORD = re.compile(r"\w+")
 
 
@@ -41,8 +48,8 @@ def pieces(item: str, k: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def myers(pattern: str, text: str, peq: dict[str, int] | None = None) -> tuple[int, int]:
-    """(least distance of pattern to a part of text, end of the first such part)."""
+def myers(pattern: str, text: str, peq: dict[str, int] | None = None, anchored: bool = False) -> tuple[int, int]:
+    """(least distance of pattern to a part of text, end of the first such part); ``anchored``: to a beginning of text."""
     m = len(pattern)
     if peq is None:
         peq = bit_masks(pattern)
@@ -58,7 +65,7 @@ def myers(pattern: str, text: str, peq: dict[str, int] | None = None) -> tuple[i
             score += 1
         elif hn & top:
             score -= 1
-        hp = (hp << 1) & full
+        hp = (hp << 1 | anchored) & full
         vp = ((hn << 1) | (full & ~(d0 | hp))) & full
         vn = hp & d0
         if score < best:
@@ -74,10 +81,12 @@ def bit_masks(pattern: str) -> dict[str, int]:
 
 
 class Benchmark:
-    """The items of a benchmark, ready to search texts for."""
+    """The items (id, normalised text) of a part of a benchmark, ready to search texts for."""
 
     def __init__(self, items: list[tuple[int | None, str]], rate: float = RATE):
-        self.items = [(i, t, int(rate * len(t)), bit_masks(t)) for i, t in items if t]
+        # An item without an edit to spare must stand between blanks.
+        spare = [(i, t, int(rate * len(t))) for i, t in items if t]
+        self.items = [(i, t if k else f" {t} ", k, bit_masks(t) if k else {}) for i, t, k in spare]
         self.machine = ahocorasick.Automaton()
         at: dict[str, list[tuple[int, int]]] = {}
         for n, (_, t, k, _) in enumerate(self.items):
@@ -93,6 +102,7 @@ class Benchmark:
         t = normalise(text)
         if not t or not self.items:
             return []
+        t = f" {t} "
         starts: dict[int, list[int]] = {}
         for end, (length, places) in self.machine.iter(t):
             for n, off in places:
@@ -100,66 +110,93 @@ class Benchmark:
         out = []
         for n, found in starts.items():
             item_id, p, k, peq = self.items[n]
+            if not k:  # the piece is the item, and its blanks don't count
+                out.append((item_id, 0, min(found), min(found) + len(p) - 2))
+                continue
             best = None
             found.sort()
             i = 0
             while i < len(found):
                 j = bisect_right(found, found[i] + 2 * k + 1, i)
-                a, b = max(0, found[i] - k), min(len(t), found[j - 1] + len(p) + k)
+                a, b = max(1, found[i] - k), min(len(t) - 1, found[j - 1] + len(p) + k)
                 # An untouched occurrence needs no distance.
                 hit = t.find(p, a, b)
                 d, e = (0, hit - a + len(p)) if hit >= 0 else myers(p, t[a:b], peq)
                 if d <= k and (best is None or d < best[0]):
-                    best = (d, max(0, a + e - len(p)), a + e)
+                    best = (d, a + e)
                 i = j
             if best:
-                out.append((item_id, *best))
+                d, e = best
+                size = len(p) if d == 0 else myers(p[::-1], t[max(1, e - len(p) - k) : e][::-1], anchored=True)[1]
+                out.append((item_id, d, e - size - 1, e - 1))
         return out
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, item_id, edits, start, end): each benchmark item found in each document."""
-    items = benchmark.select("item_id", "text")
+def _parts(benchmark: DataFrame, part_chars: int) -> Iterator[list[tuple[int | None, str]]]:
+    """The normalised items, part by part; every part is read from the benchmark on its own."""
+    items = benchmark.select(col("item_id").cast("long").alias("item_id"), col("text").alias("text"))
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    if size > MAX_BENCHMARK_CHARS:
-        raise ValueError(f"the benchmark has {size} characters, more than {MAX_BENCHMARK_CHARS}; search it in parts")
-    rows = sorted(((r.item_id, normalise(r.text)) for r in items.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-    shared = docs.sparkSession.sparkContext.broadcast(rows)
+    n = max(1, -(-size // part_chars))
+    for part in range(n):
+        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == part).collect()
+        yield sorted(((r.item_id, normalise(r.text)) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+
+
+def _searcher(docs: DataFrame, items: list, rate: float):
+    """A function that gives each task its Benchmark, built once a worker."""
+    shared = docs.sparkSession.sparkContext.broadcast(items)
     state: dict = {}
 
-    def run(batches):
+    def get() -> Benchmark:
         if "b" not in state:
             state["b"] = Benchmark(shared.value, rate)
-        for b in batches:
-            got = [(i, *hit) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for hit in state["b"].search(t)]
-            cols = list(zip(*got, strict=True)) if got else [[]] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], b.schema.field(0).type), *[pa.array(c, pa.int64()) for c in cols[1:]]], names=[id_col, "item_id", "edits", "start", "end"]
-            )
+        return state["b"]
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, item_id long, edits long, start long, end long")
+    return get
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item.
+def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text", part_chars: int = PART_CHARS) -> DataFrame:
+    """(id_col, item_id, edits, start, end): each benchmark item found in each document, with its place in
+    the document's normalised text."""
+    names = ["item_id", "edits", "start", "end"]
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *[T.StructField(c, T.LongType()) for c in names]])
+    src = docs.select(col(id_col), col(text_col))
+    out = None
+    for items in _parts(benchmark, part_chars):
+        get = _searcher(docs, items, rate)
 
-    The flag is worked out in the same pass as the rows, so no join and no shuffle."""
-    items = benchmark.select("item_id", "text")
-    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    if size > MAX_BENCHMARK_CHARS:
-        raise ValueError(f"the benchmark has {size} characters, more than {MAX_BENCHMARK_CHARS}; search it in parts")
-    shared = docs.sparkSession.sparkContext.broadcast([(r.item_id, normalise(r.text)) for r in items.collect()])
-    state: dict = {}
-    at = docs.columns.index(text_col)
+        def run(batches, get=get):
+            for b in batches:
+                got = [(i, *hit) for i, t in enumerate(b.column(1).to_pylist()) for hit in get().search(t)]
+                cols = list(zip(*got, strict=True)) if got else [[]] * 5
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(cols[0], pa.int64())), *[pa.array(c, pa.int64()) for c in cols[1:]]], names=[id_col, *names])
+
+        found = src.mapInArrow(run, schema)
+        out = found if out is None else out.unionByName(found)
+    return out
 
-    def run(batches):
-        if "b" not in state:
-            state["b"] = Benchmark(shared.value, rate)
-        for b in batches:
-            yield b.filter(pa.array([not state["b"].search(t) for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text", part_chars: int = PART_CHARS) -> DataFrame:
+    """``docs`` without the documents that hold a benchmark item.
+
+    The flag is worked out in the same pass as the rows, so no join and no shuffle; between the parts of a
+    large benchmark what is left is written, so that a task holds one automaton."""
+    at = docs.columns.index(text_col)
+    out, left = docs, None
+    with scratch() as keep:
+        for n, items in enumerate(_parts(benchmark, part_chars)):
+            if n:
+                out = left = table(out, "clean")
+            get = _searcher(docs, items, rate)
+
+            def run(batches, get=get):
+                for b in batches:
+                    yield b.filter(pa.array([not get().search(t) for t in b.column(at).to_pylist()], pa.bool_()))
+
+            out = out.mapInArrow(run, docs.schema)
+        if left is not None:
+            keep(left)
+    return out
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,13 +4,16 @@ A source's documents are cut into blocks of ``block_chars`` characters.  With we
 w = a/Q, block j (from 0) is released at slot floor(j/w) and due by slot ceil((j+1)/w);
 in every slot the released block with the earliest deadline goes.  All weights sum to
 one, so every block meets its window and no source is ever a whole block ahead of or
-behind its share.  The order repeats after Q slots, so one period of Q slots (bounded by
-``MAX_PERIOD``, whatever the data) is worked out as one SQL fold and every document finds
-its slot by arithmetic.
+behind its share.  The order repeats after Q slots, so one period (or as many slots of it as the
+sources have blocks for, if that is less) is worked out as a SQL fold over one row, ``SLOTS`` slots
+a job, and every document finds its slot by arithmetic.
+
+Weights are any numbers of 0 or more, taken exactly as written: their ratio in whole numbers gives Q.
 
 Defined results
   * every input row comes back once, with ``mix_block`` and ``mix_slot`` added; reading in
-    the order (mix_slot, mix_rank) is the mixture;
+    the order (mix_slot, mix_rank) is the mixture; input columns of the names ``mix_block``, ``mix_slot``,
+    ``mix_rank`` and ``mixed`` are replaced, all others pass through, whatever their names;
   * ``mixed`` is true for slots before the first one whose source has run out: up to there
     the deviation bound holds for every source; later slots of spent sources are empty;
   * a source without a target weight, or null, has null slot and ``mixed`` false (last);
@@ -18,32 +21,58 @@ Defined results
   * within a source the order is by md5 of the id, ties by id and length; null text counts
     as 0 characters; a document longer than a block begins in one and fills the next ones.
 
-Positions come from two-level running sums: a source is cut into ``CHUNKS`` chunks by the
-first digits of the md5, summed within chunks and then over chunks, so that a source with a
-third of all rows is spread over all tasks.
+Positions come from two-level running sums: a source is cut into chunks by the first ``CHUNK_DIGITS``
+digits of the md5, summed within chunks and then over chunks, so that a source with a
+third of all rows is spread over all tasks.  The texts are read twice at most: for the sums, and for the rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from fractions import Fraction
+from math import ceil, gcd, lcm
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-MAX_PERIOD = 10_000
+from tidewater.llm.shared import col, columns, table
+
+#: Slots that one job works out, and of these that one array grows to.
+SLOTS, RUN = 1_000_000, 1_000
 CHUNK_DIGITS = 3
 #: The query's target weights, in hundredths.
 TARGET = {f"src{i}": 8 if i < 5 else 6 if i < 10 else 3 for i in range(20)}
 BLOCK_CHARS = 32_768
 
 
-def schedule(weights: DataFrame) -> DataFrame:
+def schedule(weights: DataFrame, slots: int | None = None) -> DataFrame:
     """(source, share, k, offset, period): slot ``offset`` of each period belongs to block k
-    (mod share) of source, for weights (source, share).  At most MAX_PERIOD rows."""
+    (mod share) of source, for weights (source, share); only the first ``slots`` of a period if given."""
     one = weights.where("share > 0").agg(F.sort_array(F.collect_list(F.struct("source", "share"))).alias("w"), F.sum("share").alias("q"))
     one = one.where(F.col("q").isNotNull())
+    total = one.select("q").first()
+    period = total.q if total else 0
+    n = min(period, slots or period)
+    state = one.withColumn("done", F.transform("w", lambda x: F.lit(0).cast("long")))
+    parts = []
+    for at in range(0, max(n, 1), SLOTS):
+        state = state.select("w", "q", _fold(at, min(at + SLOTS, n)).alias("f")).select("w", "q", "f.done", "f.out")
+        if n > SLOTS:
+            state = table(state, "slots")
+        parts.append(state.select("q", "w", F.posexplode(F.flatten("out")).alias("p", "i")).withColumn("offset", F.col("p") + F.lit(at).cast("long")))
+    slots_ = parts[0]
+    for p in parts[1:]:
+        slots_ = slots_.unionByName(p)
+    slots_ = slots_.select(F.expr("w[i].source").alias("source"), F.expr("w[i].share").alias("share"), "offset", F.col("q").alias("period"))
+    k = F.row_number().over(Window.partitionBy("source").orderBy("offset")) - 1
+    return slots_.select("source", "share", k.cast("long").alias("k"), F.col("offset").cast("long").alias("offset"), "period")
+
+
+def _fold(first: int, end: int) -> Column:
+    """Struct (done, out) after the slots first..end-1: the blocks that each source has had, and the sources' indexes, RUN a row."""
     q, w = F.col("q"), F.col("w")
 
     def pick(done, t):
-        """Struct (deadline, index) of the released block with the earliest deadline."""
+        """The index of the released block with the earliest deadline."""
         ready = F.transform(
             F.arrays_zip(w.alias("w"), done.alias("d")),
             lambda x, i: F.when(
@@ -54,73 +83,84 @@ def schedule(weights: DataFrame) -> DataFrame:
         return F.array_min(ready)["i"]
 
     def step(acc, t):
-        i = pick(acc["done"], t)
-        return F.struct(
-            F.transform(acc["done"], lambda d, k: d + (k == F.element_at(F.array(i), 1)).cast("long")).alias("done"),
-            F.concat(acc["out"], F.array(i)).alias("out"),
-        )
+        # In an array of one, so that the pick is worked out once.
+        def add(i):
+            return F.struct(F.transform(acc["done"], lambda d, k: d + (k == i).cast("long")).alias("done"), F.concat(acc["out"], F.array(i)).alias("out"))
+
+        return F.get(F.transform(F.array(pick(acc["done"], t)), add), F.lit(0))
+
+    def run(acc, t):
+        last = F.least(t + (RUN - 1), F.lit(end - 1).cast("long"))
+        start = F.struct(acc["done"].alias("done"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(F.sequence(t, last), start, step, lambda a: F.struct(a["done"].alias("done"), F.concat(acc["out"], F.array(a["out"])).alias("out")))
+
+    runs = F.sequence(F.lit(first).cast("long"), F.lit(max(end - 1, first)).cast("long"), F.lit(RUN).cast("long"))
+    return F.aggregate(runs, F.struct(F.col("done"), F.array().cast("array<array<int>>").alias("out")), run)
 
-    start = F.struct(F.transform(w, lambda x: F.lit(0).cast("long")).alias("done"), F.array().cast("array<int>").alias("out"))
-    slots = one.select("w", "q", F.aggregate(F.sequence(F.lit(0).cast("long"), q - 1), start, step, lambda a: a["out"]).alias("o"))
-    slots = slots.select("q", "w", F.posexplode("o").alias("offset", "i")).select(
-        F.expr("w[i].source").alias("source"), F.expr("w[i].share").alias("share"), "offset", F.col("q").alias("period")
-    )
-    k = F.row_number().over(Window.partitionBy("source").orderBy("offset")) - 1
-    return slots.select("source", "share", k.cast("long").alias("k"), F.col("offset").cast("long").alias("offset"), "period")
 
+def shares(weights: dict[str, float]) -> dict[str, int]:
+    """The weights as whole numbers of the same ratio, as small as can be."""
+    exact = {s: Fraction(str(w)) for s, w in weights.items()}
+    if any(w < 0 for w in exact.values()):
+        raise ValueError("weights are numbers of 0 or more")
+    unit = lcm(*[w.denominator for w in exact.values()])
+    whole = {s: int(w * unit) for s, w in exact.items()}
+    by = gcd(*whole.values()) or 1
+    return {s: w // by for s, w in whole.items()}
 
-def mix(docs: DataFrame, weights: dict[str, int], block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    if sum(weights.values()) > MAX_PERIOD or min(weights.values(), default=1) < 0:
-        raise ValueError(f"weights are whole shares of 0 or more, {MAX_PERIOD} together at most")
+
+def mix(
+    docs: DataFrame, weights: dict[str, float], block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+    chars: Column | None = None,
+) -> DataFrame:
+    """``docs`` with the place of each in the mixture; ``chars``: its size, if that isn't the length of the text."""
     spark = docs.sparkSession
-    chars = F.coalesce(F.length(text_col), F.lit(0)).cast("long")
-    h = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    rows = docs.withColumns({"__m_h": h, "__m_c": F.substring(h, 1, CHUNK_DIGITS), "__m_n": chars})
-    return _slots(spark, docs, rows, weights, block_chars, id_col, source_col)
-
-
-def _slots(spark, docs, rows, weights, block_chars, id_col, source_col):
-    narrow = rows.select(F.col(source_col).alias("s"), F.col("__m_c").alias("c"), F.col("__m_n").alias("n"))
-    totals = narrow.groupBy("s", "c").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
-    by_source = Window.partitionBy("s").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(
-        F.col("s").alias("__m_s"), F.col("c").alias("__m_tc"), "n",
-        F.coalesce(F.sum("n").over(by_source), F.lit(0)).alias("__m_off"),
-        F.coalesce(F.sum("rows").over(by_source), F.lit(0)).alias("__m_roff"),
-    )
-    listed = spark.createDataFrame(sorted(weights.items()) or [("", 0)], "source string, share long")
-    present = totals.groupBy(F.col("__m_s").alias("source")).agg(F.max("__m_off").alias("last"), F.sum("n").alias("total"))
-    plan = schedule(listed.join(present.select("source"), "source", "left_semi"))
-    # The first block that a source does not have; its slot ends the exact part of the mixture.
-    # The last document's block is the largest; where it begins is known only per row, so the total rounds up.
-    spent = present.select("source", F.ceil(F.col("total") / block_chars).cast("long").alias("blocks"))
-    plan = plan.join(F.broadcast(spent.join(listed.select("source"), "source", "left_semi")), "source")
+    chars = F.coalesce(F.length(col(text_col)) if chars is None else chars, F.lit(0)).cast("long")
+    h = F.md5(F.coalesce(col(id_col).cast("string"), F.lit("")))
+    rows = docs.withColumns({"__m_h": h, "__m_c": F.substring(h, 1, CHUNK_DIGITS), "__m_n": chars, "__m_s": col(source_col)})
+    # As many rows as sources times chunks; it serves all that follows.
+    totals = table(rows.groupBy("__m_s", "__m_c").agg(F.sum("__m_n").alias("n"), F.count("*").alias("rows")), "totals")
+    by_source = Window.partitionBy("__m_s").orderBy("__m_c").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        F.col("__m_s").alias("__m_ts"), F.col("__m_c").alias("__m_tc"),
+        F.coalesce(F.sum("n").over(by_source), F.lit(0)).alias("__m_off"), F.coalesce(F.sum("rows").over(by_source), F.lit(0)).alias("__m_roff"),
+    )
+    # One row for each listed source that occurs.  The last document's block is the largest; where it begins
+    # is known only per row, so the total rounds up.
+    blocks = {r.s: ceil(r.n / block_chars) for r in totals.where(F.col("__m_s").isin(*weights)).groupBy(F.col("__m_s").alias("s")).agg(F.sum("n").alias("n")).collect()}
+    share = shares({s: w for s, w in weights.items() if s in blocks and w > 0})
+    period = sum(share.values())
+    listed = spark.createDataFrame([(s, a, blocks[s]) for s, a in sorted(share.items())], "source string, share long, blocks long")
+    need = max((-(-(blocks[s] + 1) * period // a) + 1 for s, a in share.items()), default=0)
+    plan = schedule(listed, need).join(F.broadcast(listed.select("source", "blocks")), "source")
+    # The slot of the first block that a source does not have ends the exact part of the mixture.
     end = F.when(F.col("blocks") % F.col("share") == F.col("k"), F.floor(F.col("blocks") / F.col("share")) * F.col("period") + F.col("offset"))
-    plan = plan.withColumn("horizon", F.min(end).over(Window.partitionBy(F.lit(0)))).select(
-        F.col("source").alias("__m_ps"), "share", F.col("k").alias("__m_k"), "offset", "period", "horizon"
-    )
-    inside = Window.partitionBy(source_col, "__m_c").orderBy("__m_h", id_col, "__m_n").rowsBetween(Window.unboundedPreceding, -1)
+    plan = plan.withColumn("horizon", F.min(end).over(Window.partitionBy(F.lit(0))))
+    plan = table(plan.select(*[F.col(c).alias(f"__m_p_{c}") for c in ("source", "share", "k", "offset", "period", "horizon")]), "plan")
+    inside = Window.partitionBy("__m_s", "__m_c").orderBy("__m_h", col(id_col), "__m_n").rowsBetween(Window.unboundedPreceding, -1)
     out = rows.withColumns({"__m_in": F.coalesce(F.sum("__m_n").over(inside), F.lit(0)), "__m_rin": F.count(F.lit(1)).over(inside)})
-    out = out.join(totals.drop("n"), F.col(source_col).eqNullSafe(F.col("__m_s")) & (F.col("__m_c") == F.col("__m_tc")))
-    shares = F.create_map(*[F.lit(x) for kv in sorted(weights.items()) for x in kv]) if weights else F.create_map().cast("map<string,int>")
+    out = out.join(offsets, F.col("__m_s").eqNullSafe(F.col("__m_ts")) & (F.col("__m_c") == F.col("__m_tc")))
+    known = F.create_map(*[F.lit(x) for kv in sorted(share.items()) for x in kv]).cast("map<string,long>")
     out = out.withColumns({
         "__m_block": F.floor((F.col("__m_in") + F.col("__m_off")) / block_chars),
         "__m_rank": F.col("__m_rin") + F.col("__m_roff"),
-        "__m_share": F.try_element_at(shares, F.coalesce(F.col(source_col), F.lit(""))),
+        "__m_share": F.try_element_at(known, F.coalesce(F.col("__m_s"), F.lit(""))),
     })
     key = F.when(F.col("__m_share") > 0, F.col("__m_block") % F.col("__m_share"))
-    out = out.join(F.broadcast(plan), (F.col(source_col) == F.col("__m_ps")) & (key == F.col("__m_k")), "left")
-    slot = F.floor(F.col("__m_block") / F.col("share")) * F.col("period") + F.col("offset")
+    out = out.join(plan, (F.col("__m_s") == F.col("__m_p_source")) & (key == F.col("__m_p_k")), "left")
+    slot = F.floor(F.col("__m_block") / F.col("__m_p_share")) * F.col("__m_p_period") + F.col("__m_p_offset")
     return out.select(
-        *[F.col(c) for c in docs.columns if c not in ("mix_block", "mix_slot", "mix_rank", "mixed")],
+        *columns(docs, "mix_block", "mix_slot", "mix_rank", "mixed"),
         F.col("__m_block").alias("mix_block"), slot.alias("mix_slot"), F.col("__m_rank").alias("mix_rank"),
-        F.coalesce(slot < F.col("horizon"), F.lit(False)).alias("mixed"),
+        F.coalesce(slot < F.col("__m_p_horizon"), F.lit(False)).alias("mixed"),
     )
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return mix(docs, TARGET).select("doc_id", "source", "mix_block", "mix_slot", "mix_rank", "mixed")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    # The length is all that is needed of a text, so the texts are read once.
+    sizes = table(docs.select("doc_id", "source", F.length("text").alias("n")), "sizes")
+    return mix(sizes, TARGET, chars=F.col("n")).select("doc_id", "source", "mix_block", "mix_slot", "mix_rank", "mixed")
 
 
 _SHARES = ", ".join(f"('{s}', {a})" for s, a in sorted(TARGET.items()))

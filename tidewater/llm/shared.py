@@ -5,15 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _U = np.uint64
 
 
+def col(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def columns(df: DataFrame, *without: str) -> list[Column]:
+    """All columns of ``df`` but the named ones."""
+    return [col(c) for c in df.columns if c not in without]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors and the driver share: spark.checkpoint.dir; unset, a local
     folder in local mode only (tests)."""
@@ -36,12 +47,40 @@ def table(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidewater_path = path
+    if _scratch:
+        _scratch[-1].append(out)
     return out
 
 
+_scratch: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes, at its end, the tables that were written within it, but those given to the function it
+    yields; these belong to the scratch around it, if there is one."""
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _scratch.append(made)
+
+    def keep(t: DataFrame) -> DataFrame:
+        kept.append(t)
+        return t
+
+    try:
+        yield keep
+    finally:
+        _scratch.pop()
+        forget(*[t for t in made if all(t is not k for k in kept)])
+        if _scratch:
+            _scratch[-1].extend(kept)
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables that nothing reads any more."""
     for t in tables:
+        if not hasattr(t, "_tidewater_path"):
+            continue
         spark = t.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(t._tidewater_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -4,15 +4,17 @@ Labelled outcomes of pages (1 good, 0 bad) are counted per host.  Each level is
 shrunk to the one above it by a beta-binomial prior: suffix to the overall rate,
 registered domain to its suffix, host to its domain.  The strength of each prior
 is estimated from the overdispersion of that level (method of moments).  A page is
-blocked when even the upper posterior bound of its host's good rate is below
-``floor``: a host is only blocked on evidence, an unseen one inherits its domain.
+blocked when its host's good rate lies under ``floor`` with a posterior probability of ``sure`` at
+least, that is, when even the upper posterior bound is below it: a host is only blocked on evidence, an
+unseen one inherits its domain.  The probability is the beta distribution's, by integration.
 
 Defined results: null url or no ``://`` gives empty host and path, no rule fits and
 the prior decides; hosts without a dot are their own domain and suffix; null outcomes
-are not counted; an empty outcome table allows everything that no rule blocks.
+are not counted; an empty outcome table allows everything that no rule blocks.  Input columns named
+``host``, ``path``, ``rule`` or ``verdict`` are replaced; all others pass through, whatever their names.
 
 Pages are read for their url only.  The counts per host are pre-aggregated in map
-tasks; the join back has one row per host, so AQE splits a hot host.
+tasks and written once (one row a host); the join back has one row per host, so AQE splits a hot host.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.llm.shared import col, columns, table
+
 #: Suffixes of two labels under which names are registered.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "co.jp", "co.nz", "co.za", "com.br", "com.cn", "co.in", "co.kr")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -67,9 +71,40 @@ def _strength(groups: DataFrame) -> float:
     return 1 / rho - 1
 
 
-def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
-    """(level, name, upper) for outcomes (host, good): the upper posterior bound of the good
-    rate of each host, and of each domain, suffix and of everything as priors for unseen hosts."""
+#: Steps of an integral (even), and the reach of its variable.
+STEPS, REACH = 128, 8.0
+
+
+def beta_below(a: Column, b: Column, floor: float) -> Column:
+    """The probability that a rate with the distribution Beta(a, b) is under ``floor``.
+
+    Simpson's rule on both sides of the floor, over u with logit(rate) = logit(mode) + sd * sinh(u): what is
+    integrated then falls off doubly exponentially, for small counts as for large ones."""
+    # In arrays of one, so that each part is worked out once.
+    return F.get(F.transform(F.array(F.struct(a.cast("double").alias("a"), b.cast("double").alias("b"))), lambda s: _below(s["a"], s["b"], floor)), F.lit(0))
+
+
+def _below(a: Column, b: Column, floor: float) -> Column:
+    mid, sd = F.ln(a / b), F.sqrt((a + b) / (a * b))
+    soft = lambda x: F.greatest(x, F.lit(0.0)) + F.ln(1 + F.exp(-F.abs(x)))
+    log = lambda x: -a * soft(-x) - b * soft(x)
+    cut = F.greatest(F.lit(-REACH), F.least(F.lit(REACH), F.asinh((F.log(F.lit(floor / (1 - floor))) - mid) / sd)))
+
+    def integral(lo: Column, hi: Column) -> Column:
+        def term(total, i):
+            u = lo + (hi - lo) * i / STEPS
+            weight = F.when((i == 0) | (i == STEPS), 1).when(i % 2 == 1, 4).otherwise(2)
+            return total + weight * F.exp(log(mid + sd * F.sinh(u)) - log(mid)) * F.cosh(u)
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(STEPS)), F.lit(0.0), term) * (hi - lo)
+
+    under = F.struct(integral(F.lit(-REACH), cut).alias("x"), integral(cut, F.lit(REACH)).alias("y"))
+    return F.get(F.transform(F.array(under), lambda s: s["x"] / (s["x"] + s["y"])), F.lit(0))
+
+
+def host_reputation(outcomes: DataFrame, floor: float = 0.5) -> DataFrame:
+    """(level, name, mean, below) for outcomes (host, good): the posterior mean and the probability that the good
+    rate is under ``floor``, of each host, and of each domain, suffix and of everything as priors for unseen hosts."""
     domain, suffix = domain_and_suffix(F.col("host"))
     hosts = (
         outcomes.where(F.col("good").isNotNull())
@@ -77,36 +112,36 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
         .agg(F.sum("good").cast("double").alias("s"), F.count("*").cast("double").alias("n"))
         .withColumns({"domain": domain, "suffix": suffix})
     )
+    hosts = table(hosts, "hosts")
     total = hosts.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
     p0 = ((total.s or 0) + 1) / ((total.n or 0) + 2)
     parent, levels = None, []
     for level in ("suffix", "domain", "host"):
         keys = {"suffix": ["suffix"], "domain": ["suffix", "domain"], "host": ["suffix", "domain", "host"]}[level]
         groups = hosts.groupBy(*keys).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-        groups = groups.withColumn("mu", F.lit(p0)) if parent is None else groups.join(parent, keys[:-1])
+        groups = table(groups.withColumn("mu", F.lit(p0)) if parent is None else groups.join(parent, keys[:-1]), "hosts")
         k = _strength(groups)
         a, b = F.col("s") + k * F.col("mu"), F.col("n") - F.col("s") + k * (1 - F.col("mu"))
         mean = a / (a + b)
-        upper = mean + z * F.sqrt(mean * (1 - mean) / (a + b + 1))
-        levels.append(groups.select(F.lit(level).alias("level"), F.col(level).alias("name"), upper.alias("upper")))
+        levels.append(groups.select(F.lit(level).alias("level"), F.col(level).alias("name"), mean.alias("mean"), beta_below(a, b, floor).alias("below")))
         parent = groups.select(*keys, mean.alias("mu"))
     return levels[0].unionByName(levels[1]).unionByName(levels[2])
 
 
-def url_filter(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, floor: float = 0.5, z: float = 1.645, url_col: str = "url") -> DataFrame:
+def url_filter(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, floor: float = 0.5, sure: float = 0.95, url_col: str = "url") -> DataFrame:
     """``pages`` with host, path, rule and verdict; ``outcomes`` has (host, good)."""
-    host, path = host_and_path(F.col(url_col))
-    own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    host, path = host_and_path(col(url_col))
+    own = columns(pages, "host", "path", "rule", "verdict")
     out = pages.select(*own, host.alias("host"), path.alias("path"))
     domain, suffix = domain_and_suffix(F.col("host"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     out = out.withColumns({"rule": rule, "__uf_v": verdict, "__uf_domain": domain, "__uf_suffix": suffix})
-    known = host_reputation(outcomes, z)
+    known = table(host_reputation(outcomes, floor), "reputation")
     for level, key in (("host", "host"), ("domain", "__uf_domain"), ("suffix", "__uf_suffix")):
-        side = known.where(F.col("level") == level).select(F.col("name").alias(f"__uf_k_{level}"), F.col("upper").alias(f"__uf_{level}_u"))
+        side = known.where(F.col("level") == level).select(F.col("name").alias(f"__uf_k_{level}"), F.col("below").alias(f"__uf_{level}_p"))
         out = out.join(side, F.col(key) == F.col(f"__uf_k_{level}"), "left")
-    bound = F.coalesce("__uf_host_u", "__uf_domain_u", "__uf_suffix_u", F.lit(1.0))
-    method = F.when(bound < floor, "block").otherwise("allow")
+    below = F.coalesce("__uf_host_p", "__uf_domain_p", "__uf_suffix_p", F.lit(0.0))
+    method = F.when(below >= sure, "block").otherwise("allow")
     return out.select(*own, "host", "path", "rule", F.coalesce("__uf_v", method).alias("verdict"))
 
 
@@ -124,6 +159,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(pages, page_outcomes(pages, labels)).drop("url")
 
 
+def _soft(x: str) -> str:
+    return f"(greatest({x}, 0e0) + ln(1 + exp(-abs({x}))))"
+
+
 def _levels() -> str:
     out, parent = "", "(SELECT p0 AS mu FROM total)"
     for level, keys in (("suffix", ["suffix"]), ("domain", ["suffix", "domain"]), ("host", ["suffix", "domain", "host"])):
@@ -135,7 +174,14 @@ def _levels() -> str:
 {level}_k AS (SELECT 1e0 / least({RHO_MAX}e0, greatest({RHO_MIN:f}e0,
    CASE WHEN sum((n - 1) * mu * (1 - mu)) > 0 THEN (sum(n * pow(s / n - mu, 2)) - sum(mu * (1 - mu))) / sum((n - 1) * mu * (1 - mu)) ELSE {RHO_MAX}e0 END)) - 1 AS k FROM {level}_g),
 {level}_p AS (SELECT {k}, a / (a + b) AS mu, a + b AS ab FROM (SELECT {k}, s + k * mu AS a, n - s + k * (1 - mu) AS b FROM {level}_g, {level}_k)),
-{level}_u AS (SELECT {level} AS name, mu + 1.645e0 * sqrt(mu * (1 - mu) / (ab + 1)) AS u FROM {level}_p)"""
+{level}_c AS (SELECT {level} AS name, mu * ab AS a, (1 - mu) * ab AS b, ln(mu / (1 - mu)) AS mid, sqrt(1 / (mu * (1 - mu) * ab)) AS sd FROM {level}_p),
+{level}_d AS (SELECT *, greatest(-8e0, least(8e0, ln(-mid / sd + sqrt(mid * mid / sd / sd + 1)))) AS cut FROM {level}_c),
+{level}_e AS (SELECT *, CASE side WHEN 0 THEN -8e0 ELSE cut END AS lo, CASE side WHEN 0 THEN cut ELSE 8e0 END AS hi
+   FROM {level}_d, (VALUES (0), (1)) v(side), range(401) r(i)),
+{level}_f AS (SELECT *, lo + (hi - lo) * i / 400e0 AS t, mid + sd * (exp(lo + (hi - lo) * i / 400e0) - exp(-(lo + (hi - lo) * i / 400e0))) / 2 AS z FROM {level}_e),
+{level}_u AS (SELECT name, sum(CASE WHEN side = 0 THEN v END) / sum(v) AS u FROM (
+   SELECT name, side, CASE WHEN i IN (0, 400) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * (hi - lo) * (exp(t) + exp(-t))
+     * exp(a * ({_soft('-mid')} - {_soft('-z')}) + b * ({_soft('mid')} - {_soft('z')})) AS v FROM {level}_f) GROUP BY name)"""
         child = {"suffix": "domain", "domain": "host"}.get(level)
         if child:
             out += f",\n{child}_up AS (SELECT {k}, mu FROM {level}_p)"
@@ -166,7 +212,7 @@ fits AS (
   SELECT page_id, arg_max(kind, length(h || p)) AS kind, arg_max(h || p, length(h || p)) AS rule
   FROM named JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
 SELECT n.page_id, n.host, n.path, f.rule,
-  coalesce(f.kind, CASE WHEN coalesce(hu.u, du.u, su.u, 1) < 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+  coalesce(f.kind, CASE WHEN coalesce(hu.u, du.u, su.u, 0) >= 0.95 THEN 'block' ELSE 'allow' END) AS verdict
 FROM named n LEFT JOIN fits f USING (page_id)
 LEFT JOIN host_u hu ON hu.name = n.host LEFT JOIN domain_u du ON du.name = n.domain LEFT JOIN suffix_u su ON su.name = n.suffix
 """
