@@ -2,8 +2,8 @@
 
 Every window of 32 bytes of the UTF-8 text is a feature.  Its entropy level (0 to 1000) has a
 rarity: the less often the level occurs over all windows of the corpus, the rarer.  In each run
-of 32 consecutive windows the leftmost rarest one is picked; windows picked 8 times or more are
-the document's features.  They go, in order, into a chain of 2048-bit Bloom filters, five bits a
+of 32 consecutive windows the leftmost rarest one is picked; windows picked 8 times or more (in a text of
+under 32 runs, by a quarter of them) are the document's features.  They go, in order, into a chain of 2048-bit Bloom filters, five bits a
 feature, 160 features a filter.  Two fingerprints are compared filter by filter: common bits above
 what chance gives, as a share of the possible; each filter of the shorter chain takes its best
 partner, weighted by its bits.
@@ -11,11 +11,13 @@ partner, weighted by its bits.
 Defined results: null is the empty text; an empty text has the fingerprint ``0:``; texts under 32
 bytes, or with no usable feature, are one feature; equal texts have equal fingerprints for the same
 rarity table; two empty texts are alike (1), an empty and another one aren't (0).
-The next document is the next in descending id (nulls last, ties by text), after the last the first.
+The next document is the next in descending id (nulls last, ties by a hash of the text), after the last the
+first.  Input columns of other names don't matter; ``with_fingerprints`` replaces one of the output's name.
 
 One pass gathers the rarity table (1001 counts), one reads the texts.  Finding each document's
-successor costs one shuffle by ranges of the id; the only things that pass through the driver are
-range bounds and the first id of each range.
+successor costs one shuffle by ranges of the id of about ``RANGE_BYTES``, hot ids and nulls being cut by the
+hash of the text too; the only things that pass through the driver are range bounds and the first row of each range,
+``MAX_RANGES`` at most (ranges grow beyond).
 """
 
 from __future__ import annotations
@@ -23,21 +25,23 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.shared import mix64
+from tidewater.llm.shared import col, columns, mix64
 
 WINDOW, POPULAR, LEVELS = 32, 8, 1000
 #: Levels below are repetitive bytes, which fit too many texts.
 LEAST_LEVEL = 100
 BITS, HASHES, PER_FILTER = 2048, 5, 160
 BLOCK = 1 << 16
+RANGE_BYTES, MAX_RANGES = 32 << 20, 65_536
 _SCALE = 1 << 20
 _CLOG = np.array([round(c * math.log2(c) * _SCALE) if c else 0 for c in range(WINDOW + 1)], np.int64)
 _GAIN = np.concatenate([[0], np.diff(_CLOG)])
@@ -112,7 +116,13 @@ def fingerprints(texts: list[str], ranks: np.ndarray) -> list[str]:
             n = len(b) - WINDOW + 1
             if 0 < n < WINDOW:
                 pop[key[ends[i] : ends[i] + n].min() & ((1 << 40) - 1)] = POPULAR
-        at = np.flatnonzero((pop >= POPULAR) & (rank <= LEVELS))
+        # Texts with few runs can't pick a window that often.
+        need = np.full(len(rank), POPULAR)
+        for i, b in enumerate(raw):
+            few = len(b) - 2 * WINDOW + 2
+            if 0 < few < 4 * POPULAR:
+                need[ends[i] : ends[i] + len(b)] = -(-few // 4)
+        at = np.flatnonzero((pop >= need) & (rank <= LEVELS))
         rows = np.lib.stride_tricks.sliding_window_view(buf, WINDOW)[at].view("<u8") if len(at) else np.empty((0, WINDOW // 8), np.uint64)
         with np.errstate(over="ignore"):
             h = np.zeros(len(at), np.uint64)
@@ -184,7 +194,7 @@ def fit_rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["level", "n"])
 
     counts = np.zeros(LEVELS + 1, np.int64)
-    for r in docs.select(text_col).mapInArrow(count, "level long, n long").groupBy("level").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select(col(text_col)).mapInArrow(count, "level long, n long").groupBy("level").agg(F.sum("n").alias("n")).collect():
         counts[r.level] = r.n
     return rarity_ranks(counts)
 
@@ -192,7 +202,7 @@ def fit_rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 def with_fingerprints(docs: DataFrame, ranks: np.ndarray, text_col: str = "text", out_col: str = "fingerprint") -> DataFrame:
     """``docs`` with a fingerprint of each text; no shuffle."""
     cols = [c for c in docs.columns if c != out_col]
-    src = docs.select(*cols)
+    src = docs.select(*columns(docs, out_col))
     at = cols.index(text_col)
 
     def run(batches):
@@ -204,36 +214,53 @@ def with_fingerprints(docs: DataFrame, ranks: np.ndarray, text_col: str = "text"
     return src.mapInArrow(run, T.StructType([*src.schema.fields, T.StructField(out_col, T.StringType())]))
 
 
-def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """(id, text) dealt out by ranges of id, descending, with a lookahead row: (bucket, look, id, text),
+def with_next(docs: DataFrame, parts: int | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(bucket, look, id, text) of (id, text), dealt out by ranges of id, descending, with a lookahead row:
     partitioned and sorted so that the row after each row with ``look`` false is its successor."""
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = min(4096, 4 * parts)
-    ids = docs.select("id")
-    probs = [i / n for i in range(1, n)]
-    bounds = sorted(set(ids.agg(F.percentile_approx("id", probs, 20 * n).alias("b")).first().b or []))
+    ids = docs.select("id", F.xxhash64("text").alias("h"), F.length("text").alias("n"))
+    size = ids.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("chars"), F.count("*").alias("rows"), F.count_if(F.col("id").isNull()).alias("nulls")).first()
+    if not size.rows:
+        return docs.select(F.lit(0).alias("bucket"), F.lit(False).alias("look"), "id", "text")
+    parts = max(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size.chars // (4 * range_bytes)))
+    n = max(2, min(MAX_RANGES, max(4 * parts, -(-size.chars // range_bytes))))
+    shares = ", ".join(f"{i / n!r}D" for i in range(1, n))
+    found = ids.agg(F.expr(f"percentile_approx(id, array({shares}), {20 * n})").alias("b")).first().b or []
+    # An id that several bounds fall on is hot: a range of its own, cut by the hash into as many slices.
+    often = Counter(found)
+    hot = {b: k for b, k in often.items() if k > 1 and b < (1 << 63) - 1}
+    bounds = sorted({*often, *(b + 1 for b in hot)})
+    nulls = min(n, -(-size.nulls * n // size.rows)) or 1
+    slices = [nulls, 1, *[hot.get(b, 1) for b in bounds]]  # nulls, below the first bound, from each bound on
+    base = np.concatenate([[0], np.cumsum(slices[::-1])[:-1]])[::-1]  # the first slice of each range, highest ids first
     # Position among the bounds in two steps, so that a row costs about 2 * sqrt(bounds).
     wide = max(1, math.isqrt(len(bounds)))
-    arr = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<long>")
-    heads = F.array(*[F.lit(b).cast("long") for b in bounds[::wide]]) if bounds else F.array().cast("array<long>")
+    arr, heads = _longs(bounds), _longs(bounds[::wide])
     head = F.size(F.filter(heads, lambda b: b <= F.col("id")))
     inner = F.when(head > 0, (head - 1) * wide + F.size(F.filter(F.slice(arr, F.greatest((head - 1) * wide + 1, F.lit(1)), wide), lambda b: b <= F.col("id"))))
-    bucket = F.when(F.col("id").isNull(), -1).otherwise(F.coalesce(inner, F.lit(0))).cast("int")
-    firsts = {r.bucket: r.m for r in ids.select(bucket.alias("bucket"), "id").groupBy("bucket").agg(F.max("id").alias("m")).collect()}
-    order = sorted(firsts, reverse=True)
-    if not order:
-        return docs.select(F.lit(0).alias("bucket"), F.lit(False).alias("look"), "id", "text")
+    at = F.when(F.col("id").isNull(), 0).otherwise(F.coalesce(inner, F.lit(0)) + 1).cast("int")
+    share = F.floor((F.shiftright("h", 32) + (1 << 31)) * F.get(_longs(slices), at) / float(1 << 32))
+    bucket = (F.get(_longs(base), at) + share).cast("int")
+    key = F.struct(F.col("id").isNull().alias("last"), F.bitwise_not("id").alias("down"), "h")
+    firsts = {r.bucket: r.m for r in ids.select(bucket.alias("bucket"), key.alias("k")).groupBy("bucket").agg(F.min("k").alias("m")).collect()}
+    order = sorted(firsts)
     # The first row of a bucket is also the lookahead of the bucket before it; the very first one closes the ring.
-    before = {b: order[i - 1] for i, b in enumerate(order)}
-    first = F.array(*[F.lit(firsts.get(b)).cast("long") for b in range(-1, len(bounds) + 1)])
-    target = F.array(*[F.lit(before.get(b)).cast("int") for b in range(-1, len(bounds) + 1)])
-    at = docs.withColumn("bucket", bucket).withColumns({"f": F.get(first, F.col("bucket") + 1), "t": F.get(target, F.col("bucket") + 1)})
+    before = dict(zip(order, [order[-1], *order[:-1]], strict=True))
+    rows_of = [firsts.get(b) for b in range(sum(slices))]
+    first_id = _longs([None if r is None or r.down is None else ~r.down for r in rows_of])
+    first_h = _longs([r and r.h for r in rows_of])
+    at = docs.withColumn("h", F.xxhash64("text")).withColumn("bucket", bucket)
     own = F.struct("bucket", F.lit(False).alias("look"))
-    ahead = F.when(F.col("f").eqNullSafe(F.col("id")), F.struct(F.col("t").alias("bucket"), F.lit(True).alias("look")))
-    rows = at.select("id", "text", F.inline(F.filter(F.array(own, ahead), lambda s: s.isNotNull())))
+    leads = F.get(first_id, F.col("bucket")).eqNullSafe(F.col("id")) & (F.get(first_h, F.col("bucket")) == F.col("h"))
+    ahead = F.when(leads, F.struct(F.get(_longs([before.get(b) for b in range(sum(slices))]), F.col("bucket")).cast("int").alias("bucket"), F.lit(True).alias("look")))
+    rows = at.select("id", "text", "h", F.inline(F.filter(F.array(own, ahead), lambda s: s.isNotNull())))
     rows = rows.repartition(parts, "bucket")
-    return rows.sortWithinPartitions("bucket", "look", F.col("id").desc_nulls_last(), "text").select("bucket", "look", "id", "text")
+    return rows.sortWithinPartitions("bucket", "look", F.col("id").desc_nulls_last(), "h", "text").select("bucket", "look", "id", "text")
+
+
+def _longs(values) -> Column:
+    """A constant array."""
+    return F.expr(f"cast(array({', '.join('null' if v is None else f'{v}' for v in values)}) as array<bigint>)")
 
 
 def edited(text: str, following: str) -> str:
@@ -243,7 +270,7 @@ def edited(text: str, following: str) -> str:
 
 def compare_with_next(docs: DataFrame, ranks: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each text's fingerprint beside those of its edited text and of the next document."""
-    rows = with_next(docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+    rows = with_next(docs.select(col(id_col).cast("long").alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text")))
     names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def run(batches):
@@ -266,7 +293,8 @@ def compare_with_next(docs: DataFrame, ranks: np.ndarray, id_col: str = "doc_id"
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-    return rows.mapInArrow(run, f"`{id_col}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    kinds = [T.LongType(), T.LongType(), *[T.StringType()] * 3, *[T.DoubleType()] * 2]
+    return rows.mapInArrow(run, T.StructType([T.StructField(c, k) for c, k in zip(names, kinds, strict=True)]))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,8 +10,12 @@ Defined results: null text, or one without a letter, is ``und`` with score 0 and
 with no training text at all every document is ``und``; training rows without language are left
 out; ties go to the language first in the alphabet.  Texts are read whole.
 
-The counts are summed per task before the only shuffle (languages x BUCKETS rows at most).  The
-model, languages x BUCKETS doubles, goes to the tasks; ``MAX_LANGUAGES`` bounds it at 128 MB.
+Input columns named ``lang_pred``, ``score`` or ``langs`` are replaced; all others pass through, whatever
+their names.
+
+The counts are summed per task before the only shuffle (languages x BUCKETS rows at most).  The driver
+fetches them as arrays, ``AT_ONCE`` languages at a time; the model goes to the tasks with 4 bytes a bucket, 128 KB a
+language, however many there are.
 """
 
 from __future__ import annotations
@@ -25,10 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewater.llm.shared import col, columns, table
+
 BUCKETS = 1 << 15
-MAX_LANGUAGES = 512
+AT_ONCE = 64
 SMOOTH = 0.5
-EM_STEPS = 12
+#: Expectation-maximisation ends when no share moves by more than CLOSE, and after EM_STEPS at the latest.
+CLOSE, EM_STEPS = 1e-3, 200
 _LETTER = re.compile(r"[^\W\d_]")
 _alpha = None
 
@@ -57,7 +64,7 @@ def trigram_buckets(text: str) -> np.ndarray:
 
 class Mixture:
     def __init__(self, langs: list[str], log_p: np.ndarray):
-        self.langs, self.log_p, self.p = langs, log_p, np.exp(log_p)
+        self.langs, self.log_p = langs, log_p.astype(np.float32)
 
     def infer(self, text: str | None) -> tuple[str, float, list[tuple[str, float]]]:
         """(language, its share, [(language, share)] of the set, largest first)."""
@@ -67,9 +74,10 @@ class Mixture:
         if not len(at):
             return "und", 0.0, []
         n = n.astype(float)
-        p = self.p[at]
-        single = n @ self.log_p[at]
-        share = _em(p, n, np.full(len(self.langs), 1 / len(self.langs)), EM_STEPS)
+        log_p = self.log_p[at].astype(float)
+        p = np.exp(log_p)
+        single = n @ log_p
+        share = _em(p, n, np.full(len(self.langs), 1 / len(self.langs)))
         total = n.sum()
         order = np.lexsort((np.arange(len(share)), -share))
         top = int(np.argmax(single))
@@ -78,7 +86,7 @@ class Mixture:
             some = np.sort(order[:k])
             if share[order[k - 1]] * total < 1:
                 break
-            w = _em(p[:, some], n, share[some] / share[some].sum(), EM_STEPS // 2)
+            w = _em(p[:, some], n, share[some] / share[some].sum())
             score = n @ np.log(p[:, some] @ w) - 0.5 * k * np.log(total)
             if score <= best_score:
                 break
@@ -87,11 +95,15 @@ class Mixture:
         return self.langs[found[0][0]], float(found[0][1]), [(self.langs[i], float(x)) for i, x in found]
 
 
-def _em(p: np.ndarray, n: np.ndarray, w: np.ndarray, steps: int) -> np.ndarray:
-    for _ in range(steps):
+def _em(p: np.ndarray, n: np.ndarray, w: np.ndarray) -> np.ndarray:
+    for _ in range(EM_STEPS):
         r = p * w
-        w = (n / r.sum(axis=1)) @ r
-        w /= w.sum()
+        new = (n / r.sum(axis=1)) @ r
+        new /= new.sum()
+        moved = np.abs(new - w).max()
+        w = new
+        if moved < CLOSE:
+            break
     return w
 
 
@@ -108,25 +120,26 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mixt
             at = np.flatnonzero(s)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(s[at], pa.int64())], names=["lang", "at", "n"])
 
-    rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(text_col, lang_col)
+    rows = docs.where(col(text_col).isNotNull() & col(lang_col).isNotNull()).select(col(text_col), col(lang_col).alias("lang"))
     counts = rows.mapInArrow(count, "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n"))
-    # One row a language; the list is as long as BUCKETS at most.
-    per = counts.groupBy("lang").agg(F.collect_list(F.struct("at", "n")).alias("v")).limit(MAX_LANGUAGES + 1).collect()
-    if len(per) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    langs = sorted(r.lang for r in per)
-    table = np.full((BUCKETS, len(langs)), SMOOTH)
-    for r in per:
-        v = np.array(r.v, np.int64).reshape(-1, 2)
-        table[v[:, 0], langs.index(r.lang)] += v[:, 1]
-    return Mixture(langs, np.log(table / table.sum(axis=0)))
+    counts = table(counts, "trigrams")
+    langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
+    log_p = np.empty((BUCKETS, len(langs)), np.float32)
+    for first in range(0, len(langs), AT_ONCE):
+        some = langs[first : first + AT_ONCE]
+        got = counts.where(F.col("lang").isin(some)).toArrow()
+        of = {x: i for i, x in enumerate(some)}
+        n = np.full((BUCKETS, len(some)), SMOOTH)
+        n[got["at"].to_numpy(), [of[x] for x in got["lang"].to_pylist()]] += got["n"].to_numpy()
+        log_p[:, first : first + len(some)] = np.log(n / n.sum(axis=0))
+    return Mixture(langs, log_p)
 
 
 def identify(docs: DataFrame, model: Mixture, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred, score and langs (language and share of the set); no shuffle."""
     new = ("lang_pred", "score", "langs")
     cols = [c for c in docs.columns if c not in new]
-    src = docs.select(*cols)
+    src = docs.select(*columns(docs, *new))
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.log_p))
     at = cols.index(text_col)
     state: dict[str, Mixture] = {}
@@ -145,7 +158,7 @@ def identify(docs: DataFrame, model: Mixture, text_col: str = "text") -> DataFra
 
 def fold(id_col: str, n: int):
     """crc32 of the id as text, mod n."""
-    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % n
+    return F.crc32(F.coalesce(col(id_col).cast("string"), F.lit(""))) % n
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

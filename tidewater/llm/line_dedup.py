@@ -12,7 +12,8 @@ Defined results
     not count as copies of each other; null ids form one id, which sorts first;
   * within a run of equal lines the later windows overlap the first one, so one
     line of the run stays;
-  * columns beside id and text pass through, whatever their names.
+  * columns beside id and text pass through, whatever their names (with ``counts``, ones named
+    ``n_lines`` or ``n_removed`` are replaced).
 
 Two shuffles of 28-byte window rows (the second joins only windows that repeat)
 and one of the documents.  A hot window is pre-aggregated in the map tasks, and
@@ -24,12 +25,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.shared import table
+from tidewater.llm.shared import col, table
 
 
 def _windows(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
     """(id, text hash, position, h1, h2) of every window that is not all blank."""
-    lines = F.split(F.col(text_col), "\n", -1)
+    lines = F.split(col(text_col), "\n", -1)
     hashed = F.transform(
         lines,
         lambda x: F.struct(
@@ -38,8 +39,8 @@ def _windows(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFr
             (F.trim(x) != "").alias("c"),
         ),
     )
-    rows = docs.where(F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), hashed.alias("h")
+    rows = docs.where(col(text_col).isNotNull()).select(
+        col(id_col).alias("id"), F.xxhash64(col(text_col)).alias("th"), hashed.alias("h")
     )
     n = F.size("h")
     shifted = [F.slice("h", k + 1, n) if k else F.col("h") for k in range(window)]
@@ -70,9 +71,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cover = covered_positions(docs, id_col, text_col, window).select(
         F.col("id").alias("__ld_id"), F.col("th").alias("__ld_th"), F.col("starts").alias("__ld_s")
     )
-    keyed = docs.withColumn("__ld_h", F.xxhash64(text_col))
-    out = keyed.join(cover, (F.col(id_col).eqNullSafe(F.col("__ld_id"))) & (F.col("__ld_h") == F.col("__ld_th")), "left")
-    lines, s = F.split(F.col(text_col), "\n", -1), F.col("__ld_s")
+    keyed = docs.withColumn("__ld_h", F.xxhash64(col(text_col)))
+    out = keyed.join(cover, (col(id_col).eqNullSafe(F.col("__ld_id"))) & (F.col("__ld_h") == F.col("__ld_th")), "left")
+    lines, s = F.split(col(text_col), "\n", -1), F.col("__ld_s")
     n, k = F.size(lines), F.size(s)
     # Interval bounds: a start whose predecessor ended before it, an end whose successor begins after it.
     prev, nxt = F.slice(s, F.lit(1), k - 1), F.slice(s, F.lit(2), k)
@@ -92,8 +93,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     kept = F.flatten(F.transform(gaps, lambda g: F.slice(F.col("__ld_lines"), g["x"] + 1, g["len"])))
     out = out.withColumn("__ld_kept", F.when(s.isNull(), F.col("__ld_lines")).otherwise(kept))
-    text = F.when(s.isNull(), F.col(text_col)).otherwise(F.array_join("__ld_kept", "\n"))
-    cols = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    text = F.when(s.isNull(), col(text_col)).otherwise(F.array_join("__ld_kept", "\n"))
+    cols = [text.alias(c) if c == text_col else col(c) for c in docs.columns if not counts or c not in ("n_lines", "n_removed")]
     if counts:
         cols += [
             F.coalesce(F.size("__ld_lines"), F.lit(0)).cast("long").alias("n_lines"),

@@ -20,7 +20,8 @@ Copies and large groups
     a bucket and is alike enough, is linked.
 
 Defined results: no words or null text give an empty set, linked with nothing; rows of one id are
-one document; null ids stay unlinked (component null, kept); an empty table gives an empty result.
+one document, whose set is that of the text with fewest shingles (ties: least hashes); null ids stay unlinked (component
+null, kept); an empty table gives an empty result; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.shared import connected_components, forget, mix64, per_text, shingle_hashes, table
+from tidewater.llm.shared import col, columns, connected_components, forget, mix64, per_text, scratch, shingle_hashes, table
 
 BANDS, ROWS = 44, 6
 #: Centres of a hub in the round after the stars (all of its documents where there are no more).
@@ -90,7 +91,12 @@ def _set_of(k: int):
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id, kept): one row for each row of ``docs``."""
-    ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    with scratch() as keep:
+        return keep(table(_near_duplicates(docs, k, percent, id_col, text_col), "near"))
+
+
+def _near_duplicates(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    ids = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text"))
     long_list = pa.list_(pa.int64())
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", long_list)])
     sketches = table(ids.mapInArrow(per_text(_sketch(k), schema, ["id"]), "id long, n long, d1 long, d2 long, bands array<long>"), "sketch")
@@ -110,7 +116,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     forget(buckets)
     texts = ids.join(live.select("id").distinct(), "id", "left_semi")
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("s", long_list)])
-    sets = table(texts.mapInArrow(per_text(_set_of(k), schema, ["id"]), "id long, n long, s array<long>").dropDuplicates(["id"]), "sets")
+    sets = texts.mapInArrow(per_text(_set_of(k), schema, ["id"]), "id long, n long, s array<long>")
+    sets = table(sets.groupBy("id").agg(F.min(F.struct("n", "s")).alias("x")).select("id", "x.n", "x.s"), "sets")
 
     # Stars: a bucket's hub is its document that meets most others over all buckets, in a group of edited
     # copies the least edited one; every document is compared with the foremost of its hubs.
@@ -249,12 +256,15 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document, that of the smallest id, of each group of near-duplicates;
-    repeated rows of one id count once."""
+    """``docs`` with one document, that of the smallest id, of each group of near-duplicates; repeated rows of
+    one id count once, as that with the text first in order (ties by a hash of the row); null ids stay."""
     found = near_duplicates(docs, k, percent, id_col, text_col)
-    keep = found.where("kept").select(F.col(id_col).alias("__nd_id")).where("__nd_id is not null").distinct()
-    known = docs.where(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col("__nd_id"), "left_semi").dropDuplicates([id_col])
-    return known.unionByName(docs.where(F.col(id_col).isNull()))
+    kept = found.where("kept").select(col(id_col).alias("__nd_id")).where("__nd_id is not null").distinct()
+    known = docs.where(col(id_col).isNotNull()).join(kept, col(id_col) == F.col("__nd_id"), "left_semi")
+    # Maps can't be hashed, so they don't break ties.
+    tie = F.xxhash64(*[col(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    known = known.groupBy(col(id_col).alias("__nd_id")).agg(F.min_by(F.struct(*columns(docs)), F.struct(col(text_col), tie)).alias("__nd_row"))
+    return known.select("__nd_row.*").unionByName(docs.where(col(id_col).isNull()))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
