@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.shared import col, scratch, table
+from tidewater.llm.shared import col, map_arrow, scratch, table
 
 RATE = 0.08
 PART_CHARS = 4_000_000
@@ -171,7 +171,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col
                 cols = list(zip(*got, strict=True)) if got else [[]] * 5
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(cols[0], pa.int64())), *[pa.array(c, pa.int64()) for c in cols[1:]]], names=[id_col, *names])
 
-        found = src.mapInArrow(run, schema)
+        found = map_arrow(src, run, schema)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -193,7 +193,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_
                 for b in batches:
                     yield b.filter(pa.array([not get().search(t) for t in b.column(at).to_pylist()], pa.bool_()))
 
-            out = out.mapInArrow(run, docs.schema)
+            out = map_arrow(out, run, docs.schema)
         if left is not None:
             keep(left)
     return out

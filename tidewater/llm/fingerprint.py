@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.shared import col, columns, mix64
+from tidewater.llm.shared import col, columns, map_arrow, mix64
 
 WINDOW, POPULAR, LEVELS = 32, 8, 1000
 #: Levels below are repetitive bytes, which fit too many texts.
@@ -211,7 +211,7 @@ def with_fingerprints(docs: DataFrame, ranks: np.ndarray, text_col: str = "text"
                 part = b.slice(first, len(texts))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fingerprints(texts, ranks), pa.string())], names=[*cols, out_col])
 
-    return src.mapInArrow(run, T.StructType([*src.schema.fields, T.StructField(out_col, T.StringType())]))
+    return map_arrow(src, run, T.StructType([*src.schema.fields, T.StructField(out_col, T.StringType())]))
 
 
 def with_next(docs: DataFrame, parts: int | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:

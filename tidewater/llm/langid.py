@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.shared import col, columns, table
+from tidewater.llm.shared import col, columns, map_arrow, table
 
 BUCKETS = 1 << 15
 AT_ONCE = 64
@@ -153,7 +153,7 @@ def identify(docs: DataFrame, model: Mixture, text_col: str = "text") -> DataFra
 
     pair = T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())])
     types = (T.StringType(), T.DoubleType(), T.ArrayType(pair))
-    return src.mapInArrow(run, T.StructType([*src.schema.fields, *map(T.StructField, new, types)]))
+    return map_arrow(src, run, T.StructType([*src.schema.fields, *map(T.StructField, new, types)]))
 
 
 def fold(id_col: str, n: int):

@@ -64,10 +64,11 @@ def covered_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return later.groupBy("id", "th").agg(F.sort_array(F.collect_set("pos")).alias("starts"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3, counts: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3, counts: bool = False, emptied: bool = True) -> DataFrame:
     """``docs`` with the repeated passages taken out of ``text_col``.
 
-    With ``counts``, ``n_lines`` (before) and ``n_removed`` are added."""
+    With ``counts``, ``n_lines`` (before) and ``n_removed`` are added.  Without ``emptied``, documents of which
+    nothing but blanks is left go; those that had nothing else before stay."""
     cover = covered_positions(docs, id_col, text_col, window).select(
         F.col("id").alias("__ld_id"), F.col("th").alias("__ld_th"), F.col("starts").alias("__ld_s")
     )
@@ -93,6 +94,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     kept = F.flatten(F.transform(gaps, lambda g: F.slice(F.col("__ld_lines"), g["x"] + 1, g["len"])))
     out = out.withColumn("__ld_kept", F.when(s.isNull(), F.col("__ld_lines")).otherwise(kept))
+    if not emptied:
+        out = out.where(s.isNull() | F.exists("__ld_kept", lambda x: x.rlike(r"\S")))
     text = F.when(s.isNull(), col(text_col)).otherwise(F.array_join("__ld_kept", "\n"))
     cols = [text.alias(c) if c == text_col else col(c) for c in docs.columns if not counts or c not in ("n_lines", "n_removed")]
     if counts:

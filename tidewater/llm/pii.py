@@ -23,7 +23,8 @@ Types: email, phone, card, ip, secret (hexadecimal or mixed keys), iban, ssn, pe
 Defined results: null text stays null; an empty one stays empty, with 0 entities; entities inside
 longer words or numbers are left alone; overlapping matches go to the leftmost, then longest; a mention
 by surname alone ("Ms. Stone") has the surrogate surname of the full name; a listed given name alone
-("Ms. Anna") is a given name unless its gender is not the title's or the corpus has it as a surname.
+("Ms. Anna") is a given name unless its gender is not the title's or the corpus has it as a surname.  Input columns
+named ``n_entities`` or ``kinds`` are replaced; all others pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.shared import table
+from tidewater.llm.shared import col, columns, map_arrow, scratch, table
 
 MAX_ROUNDS = 20
 #: Given names by gender and script.
@@ -281,22 +282,24 @@ def _canonical(kind: str) -> str:
 # ---- the corpus ------------------------------------------------------------------------------------
 
 
-def entities(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
-    """(kind, value, attempt, surrogate): the distinct entities of all texts, persons by their parts, with their first surrogate."""
+def mentions(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(h, kind, value): the entities of every text, by its hash; persons by their parts.  Each text is searched once for it."""
 
     def run(batches):
         for b in batches:
-            seen = set()
-            for t in b.column(0).to_pylist():
+            rows = set()
+            for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if t:
-                    seen.update(x for s, e, k in find(t) for x in pieces(k, t[s:e]) if x[0] not in ("", "listed"))
-            rows = sorted(seen)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["kind", "value"]
-            )
+                    rows.update((h, *x) for s, e, k in find(t) for x in pieces(k, t[s:e]) if x[0] not in ("", "listed"))
+            rows = sorted(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *[pa.array([r[i] for r in rows], pa.string()) for i in (1, 2)]], names=["h", "kind", "value"])
 
-    found = docs.select(text_col).mapInArrow(run, "kind string, value string").distinct()
-    return _keyed(found.withColumn("attempt", F.lit(0)), key)
+    return docs.select(F.xxhash64(col(text_col)).alias("h"), col(text_col).alias("text")).mapInArrow(run, "h long, kind string, value string")
+
+
+def entities(found: DataFrame, key: bytes) -> DataFrame:
+    """(kind, value, attempt, surrogate): the distinct entities of ``mentions`` with their first surrogate."""
+    return _keyed(found.select("kind", "value").distinct().withColumn("attempt", F.lit(0)), key)
 
 
 def _keyed(rows: DataFrame, key: bytes) -> DataFrame:
@@ -340,23 +343,18 @@ def settle(found: DataFrame, key: bytes) -> DataFrame:
 
 def replace(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the entities in ``text_col`` replaced; adds n_entities and kinds (a sorted list)."""
-    special = settle(entities(docs, key, text_col), key)
     cols = [c for c in docs.columns if c not in ("n_entities", "kinds")]
-    src = docs.select(*cols)
-    if special.head(1):
-        # Which texts hold a re-keyed entity: only those rows get a map of exceptions.
-        def hold(batches):
-            for b in batches:
-                rows = {(h, *x) for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t for s, e, k in find(t) for x in pieces(k, t[s:e])}
-                rows = sorted(rows)
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *[pa.array([r[i] for r in rows], pa.string()) for i in (1, 2)]], names=["h", "kind", "value"])
-
-        src = src.withColumn("__pii_h", F.xxhash64(text_col))
-        held = src.select("__pii_h", text_col).mapInArrow(hold, "h long, kind string, value string").distinct()
-        maps = held.join(special, ["kind", "value"]).groupBy(F.col("h").alias("__pii_d")).agg(F.map_from_entries(F.collect_set(F.struct(F.concat("kind", F.lit("\n"), "value"), "surrogate"))).alias("__pii_m"))
-        src = src.join(table(maps, "pii"), F.col("__pii_h") == F.col("__pii_d"), "left").select(*cols, "__pii_m")
-    else:
-        src = src.withColumn("__pii_m", F.lit(None).cast("map<string,string>"))
+    src = docs.select(*columns(docs, "n_entities", "kinds"))
+    with scratch() as keep:
+        found = table(mentions(docs, text_col), "pii")
+        special = settle(entities(found, key), key)
+        if special.head(1):
+            # Only rows whose text holds a re-keyed entity get a map of exceptions.
+            maps = found.distinct().join(special, ["kind", "value"]).groupBy(F.col("h").alias("__pii_d")).agg(F.map_from_entries(F.collect_set(F.struct(F.concat("kind", F.lit("\n"), "value"), "surrogate"))).alias("__pii_m"))
+            maps = keep(table(maps, "pii"))
+            src = src.withColumn("__pii_h", F.xxhash64(col(text_col))).join(maps, F.col("__pii_h") == F.col("__pii_d"), "left").drop("__pii_h", "__pii_d")
+        else:
+            src = src.withColumn("__pii_m", F.lit(None).cast("map<string,string>"))
     at = cols.index(text_col)
 
     def run(batches):
@@ -386,7 +384,7 @@ def replace(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(counts, pa.int64()), pa.array(kinds, pa.list_(pa.string()))], names=[*cols, "n_entities", "kinds"])
 
     more = [T.StructField("n_entities", T.LongType()), T.StructField("kinds", T.ArrayType(T.StringType()))]
-    return src.mapInArrow(run, T.StructType([docs.schema[c] for c in cols] + more))
+    return map_arrow(src, run, T.StructType([docs.schema[c] for c in cols] + more))
 
 
 #: The query's key; a real run takes its own from configuration.

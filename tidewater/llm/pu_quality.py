@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.llm.langid import fold
-from tidewater.llm.shared import col, columns, scratch, table, word_hashes
+from tidewater.llm.shared import col, columns, map_arrow, scratch, table, word_hashes
 
 MAX_ROWS = 8_000
 THRESHOLD = 0.7
@@ -293,7 +293,7 @@ def with_quality(docs: DataFrame, model: Quality, text_col: str = "text", out_co
             else:
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*cols, out_col])
 
-    return src.mapInArrow(run, src.schema if least is not None else T.StructType([*src.schema.fields, T.StructField(out_col, T.DoubleType())]))
+    return map_arrow(src, run, src.schema if least is not None else T.StructType([*src.schema.fields, T.StructField(out_col, T.DoubleType())]))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

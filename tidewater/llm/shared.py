@@ -86,6 +86,16 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow for columns of any names, which itself takes none with dots or backticks."""
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches)
+
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, schema)
+
+
 def per_text(fn: Callable[[str | None], tuple], schema: pa.Schema, keep: list[str], text_col: str = "text", rows: int = 256):
     """A mapInArrow function: ``keep`` columns of the input, then ``fn(text)``'s values, in small batches."""
     new = [f for f in schema if f.name not in keep]

@@ -2,20 +2,23 @@
 
 Two lexicons give the densities.  The base one is a short fixed list of insults.  The other is
 induced from the labelled training rows: word beginnings (3 to 8 letters, and whole words) that are
-far commoner in toxic texts than in others, so that stems of any language are found (half by half
-for the rows that train the trees, so that chance stems don't mislead them).  Further
+far commoner in toxic texts than in others, beyond what chance gives among so many, so that stems of any
+language are found (half by half for the rows that train the trees, so that chance stems don't mislead
+them).  A longer beginning that as many toxic texts have as a shorter one adds nothing and is left out.  Further
 features: how near a hit is to a second-person pronoun, capitals, punctuation, and obfuscation
 (digits or signs inside words, stretched letters, letters set apart), with hits counted again after
-the obfuscation is undone.  Trees and calibration come from Spark ML; a fifth of the training rows
-is kept from the trees and used for the calibration.
+the obfuscation is undone.  Trees and calibration come from Spark ML.  Each half of the training rows
+is scored by trees of the other one, and the isotonic regression is fitted to these scores; the trees that score new
+texts are trained on both halves.  The score is the regression's value as it is, with its ties.
 
 Bounds: at most ``MAX_ROWS`` toxic and ``MAX_ROWS`` other labelled rows are used to fit, taken by a
-hash of the id; the induced lexicon has at most ``MAX_STEMS`` entries.  Every text is scored whole,
-in one pass without shuffle.
+hash of the id.  Every text is scored whole, in one pass without shuffle.
 
-Defined results: null counts as the empty text, which is scored like any other; without labelled rows
-of both kinds the score is the smoothed share of toxic labels (0.5 with none); a label
-table with several rows of one id gives each of them a vote.
+Defined results: null counts as the empty text, which is scored like any other; without two labelled rows
+of each kind the score is the smoothed share of toxic labels (0.5 with none); an id with several labels has that
+of most of its rows (ties: 0), and counts once however often the table or the documents repeat it (with the
+text of least hash).  An input column of the score's name is replaced; all others pass through, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -29,22 +32,21 @@ import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.llm.langid import fold
-from tidewater.llm.shared import table
+from tidewater.llm.shared import col, columns, map_arrow, scratch, table
 
 MAX_ROWS = 10_000
-MAX_STEMS = 500
 MIN_ODDS = 12.0
 THRESHOLD = 0.3
 #: Insults, lower case.
 BASE_LEXICON = frozenset(
     """idiot idiots moron morons stupid dumb dumbass fool scum trash garbage loser losers pathetic worthless
     disgusting clown clowns imbecile cretin jerk bastard bitch asshole shit fuck fucking crap filthy vermin
-    degenerate freak ugly hate kill die shut retard whore slut pig swine parasite dummkopf arschloch scheisse
+    degenerate freak ugly hate kill shut retard whore slut pig swine parasite dummkopf arschloch scheisse
     wichser schlampe idiotin trottel connard salope merde putain imbécile débile ordure raclure idiota imbécil
     estúpido estúpida mierda puta cabrón gilipollas basura asqueroso""".split()
 )
@@ -183,15 +185,22 @@ def induce_stems(rows: DataFrame) -> list[dict[str, float]]:
     counts = rows.select("text", "y", "half").mapInArrow(count, "stem string, a0 long, a1 long, b0 long, b1 long")
     counts = counts.groupBy("stem").agg(*[F.sum(c).alias(c) for c in ("a0", "a1", "b0", "b1")]).where("a1 + b1 >= 4")
     counts = table(counts, "stems")
+    tried = math.log(max(counts.count(), 2))
 
     def best(n0, n1, halves) -> dict[str, float]:
         t0, t1 = (sum(sizes.get((h, y), 0) for h in halves) for y in (0, 1))
         if not t0 or not t1:
             return {}
         odds = F.log(((n1 + 0.1) / t1) / ((n0 + 1) / t0))
-        good = counts.select("stem", n1.alias("n1"), odds.alias("odds")).where((F.col("n1") >= max(4, 0.005 * t1)) & (F.col("odds") >= math.log(MIN_ODDS)))
-        # The commonest first: a short stem stands for its longer forms.
-        return {r.stem: float(r.odds) for r in good.orderBy(F.desc("n1"), F.length("stem"), "stem").limit(MAX_STEMS).collect()}
+        # Half the likelihood ratio of rows of both kinds against chance; among so many, chance reaches the log of their number.
+        r, n = t1 / (t0 + t1), F.col("n0") + F.col("n1")
+        beyond = F.col("n1") * F.log(F.col("n1") / (n * r)) + F.when(F.col("n0") > 0, F.col("n0") * F.log(F.col("n0") / (n * (1 - r)))).otherwise(0)
+        good = counts.select("stem", n0.alias("n0"), n1.alias("n1"), odds.alias("odds")).where("n1 >= 4").where((F.col("odds") >= math.log(MIN_ODDS)) & (beyond >= tried))
+        whole = F.col("stem").endswith("$")
+        shorter = F.when(whole, F.expr("substring(stem, 1, least(8, length(stem) - 1))")).otherwise(F.expr("substring(stem, 1, length(stem) - 1)"))
+        same = good.select(F.col("stem").alias("shorter"), "n1")
+        good = good.withColumn("shorter", shorter).join(same, ["shorter", "n1"], "left_anti")
+        return {r.stem: float(r.odds) for r in good.select("stem", "odds").collect()}
 
     a0, a1, b0, b1 = map(F.col, ("a0", "a1", "b0", "b1"))
     return [best(a0, a1, (0,)), best(b0, b1, (1,)), best(a0 + b0, a1 + b1, (0, 1))]
@@ -211,7 +220,7 @@ def _with_features(df: DataFrame, stems: dict[str, float], at: int, keep: list[s
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(x, pa.list_(pa.float64()))], names=[*keep, "__tx_x"])
 
     schema = T.StructType([*[df.schema[c] for c in keep], T.StructField("__tx_x", T.ArrayType(T.DoubleType()))])
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 class Toxicity:
@@ -222,51 +231,56 @@ class Toxicity:
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS) -> Toxicity:
-    train = F.lit(True) if train is None else train
-    known = labels.where(train & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
+    """``train``: which rows' labels may be used (a condition on id_col of labels)."""
+    with scratch():
+        known = (labels if train is None else labels.where(train)).where(col(id_col).isNotNull())
+        known = known.groupBy(col(id_col).alias("id")).agg(F.avg(col(label_col).cast("double")).alias("y")).where("y is not null")
+        known = table(known.select("id", (F.col("y") > 0.5).cast("int").alias("y")), "labels")
+        return _fit(docs.select(col(id_col).alias("id"), col(text_col).alias("text")), known, max_rows)
+
+
+def _fit(docs: DataFrame, known: DataFrame, max_rows: int) -> Toxicity:
     base = known.agg(F.sum("y").alias("s"), F.count("*").alias("n")).first()
     s, n = base.s or 0, base.n
+    prior = (s + 1) / (n + 2)
     if not s or s == n:
-        return Toxicity((s + 1) / (n + 2) if n else 0.5)
+        return Toxicity(prior)
     chosen = _sample(known.where("y = 1"), max_rows).unionByName(_sample(known.where("y = 0"), max_rows))
-    # Both lists are bounded by max_rows.
-    half = F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(2)).cast("int").alias("half")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    rows = table(rows.select("id", "y", "text", half), "toxicity")
+    # Both lists are bounded by max_rows; one text an id.
+    rows = docs.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    half = (F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64(F.lit(5), "id"), "id")) % 2).cast("int")
+    rows = table(rows.withColumn("half", half), "toxicity")
+    taken = {(r.y, r.half): r.n for r in rows.groupBy("y", "half").agg(F.count("*").alias("n")).collect()}
+    if len(taken) < 4:
+        return Toxicity(prior)
     first, second, stems = induce_stems(rows)
     # Rows left out of the sample are made up for by weight, so that scores stay probabilities.
-    taken = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    w = F.when(F.col("y") == 1, s / max(taken.get(1, 1), 1)).otherwise((n - s) / max(taken.get(0, 1), 1))
+    w = F.when(F.col("y") == 1, s / (taken[1, 0] + taken[1, 1])).otherwise((n - s) / (taken[0, 0] + taken[0, 1]))
     # The trees see each row with stems found in the other half, as they will see new texts.
-    halves = [_with_features(rows.where(F.col("half") == h).select("id", "y", "text"), x, 2, ["id", "y"]) for h, x in ((0, second), (1, first))]
+    halves = [_with_features(rows.where(F.col("half") == h).select("y", "half", "text"), x, 2, ["y", "half"]) for h, x in ((0, second), (1, first))]
     data = halves[0].unionByName(halves[1])
-    data = table(data.select("id", F.col("y").cast("double").alias("label"), w.alias("w"), "__tx_x"), "toxicity")
-    data = data.select("id", "label", "w", array_to_vector("__tx_x").alias("features"))
-    held = F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(5)) == 0
-    both = data.where(~held).agg(F.min("label"), F.max("label")).first()
-    if both[0] == both[1]:
-        return Toxicity((s + 1) / (n + 2))
-    trees = GBTClassifier(maxIter=12, maxDepth=3, stepSize=0.3, seed=7, weightCol="w", maxBins=64).fit(data.where(~held))
-    scored = trees.transform(data.where(held)).select("label", "w", vector_to_array("probability")[1].alias("p"))
-    calibration = IsotonicRegression(featuresCol="p", labelCol="label", weightCol="w").fit(scored) if scored.head(1) else None
-    return Toxicity((s + 1) / (n + 2), stems, trees, calibration)
+    data = table(data.select(F.col("y").cast("double").alias("label"), "half", w.alias("w"), "__tx_x"), "toxicity")
+    data = data.select("label", "half", "w", array_to_vector("__tx_x").alias("features"))
+    trees = GBTClassifier(maxIter=12, maxDepth=3, stepSize=0.3, seed=7, weightCol="w", maxBins=64)
+    scored = [
+        trees.fit(data.where(F.col("half") != h)).transform(data.where(F.col("half") == h)).select("label", "w", vector_to_array("probability")[1].alias("p")) for h in (0, 1)
+    ]
+    calibration = IsotonicRegression(featuresCol="p", labelCol="label", weightCol="w").fit(scored[0].unionByName(scored[1]))
+    return Toxicity(prior, stems, trees.fit(data), calibration)
 
 
 def with_toxicity(docs: DataFrame, model: Toxicity, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """``docs`` with the score of each text (0 to 1)."""
     cols = [c for c in docs.columns if c != out_col]
+    src = docs.select(*columns(docs, out_col))
     if model.trees is None:
-        return docs.select(*cols, F.lit(model.prior).alias(out_col))
+        return src.withColumn(out_col, F.lit(model.prior))
     # The models name their own columns, so the input's go through them as one struct.
-    out = _with_features(docs.select(*cols), model.stems, cols.index(text_col), cols)
-    out = out.select(F.struct(*[F.col(c) for c in cols]).alias("__tx_row"), array_to_vector("__tx_x").alias("features"))
+    out = _with_features(src, model.stems, cols.index(text_col), cols)
+    out = out.select(F.struct(*columns(src)).alias("__tx_row"), array_to_vector("__tx_x").alias("features"))
     out = model.trees.transform(out).select("__tx_row", vector_to_array("probability")[1].alias("p"))
-    if model.calibration is None:
-        return out.select("__tx_row.*", F.col("p").alias(out_col))
     out = model.calibration.transform(out)
-    # The isotonic steps have ties; the trees' own probability breaks them without changing a decision.
-    score = F.least(F.greatest(F.col("prediction") * 0.98 + F.col("p") * 0.02, F.lit(0.0)), F.lit(1.0))
-    return out.select("__tx_row.*", score.alias(out_col))
+    return out.select("__tx_row.*", F.col("prediction").alias(out_col))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
