@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.llm import decontam, line_dedup, minhash, mixing, pu_quality
-from tidewater.llm.shared import table
+from tidewater.llm.shared import forget, scratch, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of passages of three lines or more go; the documents stay."""
-    return line_dedup.line_dedup(docs)
+    """Later copies of passages of three lines or more go, and documents of which nothing is left after that."""
+    return line_dedup.line_dedup(docs, emptied=False)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,12 +46,15 @@ STAGES = [
     ("benchmark decontamination", decontamination),
     ("mixing", mixture),
 ]
-#: SQL can't express a trained classifier or an edit distance search; tests hold it against brute force.
+#: SQL can't express a trained classifier or an edit distance search; tests/llm/test_pipeline.py holds it against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch() as keep:
+            out = keep(table(stage(spark, docs, sf_dir), name.replace(" ", "-")))
+        forget(docs)
+        docs = out
     return STAGES[-1][1](spark, docs, sf_dir)
