@@ -11,8 +11,12 @@ def con():
     return connect()
 
 
+#: Trained models, which SQL can't give; test_models.py holds them.
+MODELS = {"model_comparison", "feature_importances", "parameter_search", "learning_curve", "matrix_factors"}
+
+
 def test_every_query_has_sql():
-    assert set(plans.QUERIES) == set(plans.ORACLE)
+    assert set(plans.QUERIES) - MODELS == set(plans.ORACLE)
 
 
 @pytest.mark.parametrize("name", sorted(plans.ORACLE))

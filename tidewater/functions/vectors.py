@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
@@ -15,6 +16,17 @@ ACTIVATIONS: dict[str, Callable[[Column], Column]] = {
     "relu": lambda x: F.greatest(x, F.lit(0.0)),
     "leaky": lambda x: F.when(x > 0, x).otherwise(x * 0.01),
     "elu": lambda x: F.when(x > 0, x).otherwise(F.exp(x) - 1),
+    "prelu": lambda x: F.when(x < 0, x * 0.02).otherwise(x),
+}
+#: Their slopes, of the input.
+SLOPES: dict[str, Callable[[Column], Column]] = {
+    "linear": lambda x: F.lit(1.0),
+    "sigmoid": lambda x: ACTIVATIONS["sigmoid"](x) * (1 - ACTIVATIONS["sigmoid"](x)),
+    "tanh": lambda x: 1 - F.tanh(x) * F.tanh(x),
+    "relu": lambda x: F.when(x > 0, 1.0).otherwise(0.0),
+    "leaky": lambda x: F.when(x > 0, 1.0).otherwise(0.01),
+    "elu": lambda x: F.when(x > 0, 1.0).otherwise(F.exp(x)),
+    "prelu": lambda x: F.when(x < 0, 0.02).otherwise(1.0),
 }
 
 
@@ -52,3 +64,48 @@ def epsilon_greedy(q: Column, eps: float) -> Column:
     """Probability of each action: eps shared out evenly, the rest on the best."""
     best = argmax(q)
     return F.transform(q, lambda _, k: eps / F.size(q) + F.when(k == best, 1 - eps).otherwise(0.0))
+
+
+def softmax_jacobian(s: Column) -> Column:
+    """The rows s_i (delta_ij - s_j) of the derivative, for the softmax s of a vector."""
+    return F.transform(s, lambda x, i: F.transform(s, lambda y, j: x * (F.when(i == j, 1.0).otherwise(0.0) - y)))
+
+
+def power_off_diagonal(m: Column, e: float) -> Column:
+    """Each cell of a matrix to the power e, the diagonal 0."""
+    return F.transform(m, lambda row, i: F.transform(row, lambda x, j: F.when(i == j, 0.0).otherwise(F.pow(x, F.lit(e)))))
+
+
+def masked_argmax(a: Column, mask: Column) -> Column:
+    """The first position (from 0) of the largest value where the mask is true; null if it nowhere is."""
+    open_ = F.filter(F.zip_with(a, mask, lambda x, m: F.struct(x.alias("x"), m.alias("m"))), lambda s: s["m"])
+    best = F.array_max(F.transform(open_, lambda s: s["x"]))
+    pairs = F.zip_with(a, mask, lambda x, m: F.when(m, x))
+    return F.when(F.size(open_) > 0, F.array_position(pairs, best) - 1)
+
+
+def last_true(a: Column) -> Column:
+    """The last position (from 0) of true, -1 without one."""
+    back = F.array_position(F.reverse(a), True)
+    return F.when(back > 0, F.size(a) - back).otherwise(-1)
+
+
+def transition_probability(tau: Column, eta: Column, alpha: float, beta: float) -> Column:
+    """tau^alpha eta^beta as shares of their sum."""
+    w = F.zip_with(tau, eta, lambda t, h: F.pow(t, F.lit(alpha)) * F.pow(h, F.lit(beta)))
+    return F.transform(w, lambda x: F.try_divide(x, total(w)))
+
+
+def gather(a: Column, i: Column) -> Column:
+    """The value at position i (from 0); null outside."""
+    return F.get(a, i)
+
+
+def power_spectrum(a: Column) -> Column:
+    """|sum_n x_n exp(-2 pi i k n / N)|^2 for k = 0 .. N/2 of a short array; for series use operators.signal.spectrum."""
+    n = F.size(a)
+
+    def part(k: Column, f) -> Column:
+        return F.aggregate(F.transform(a, lambda x, i: x * f(2 * math.pi * k * i / n)), F.lit(0.0), lambda s, x: s + x)
+
+    return F.transform(F.sequence(F.lit(0), F.floor(n / 2).cast("int")), lambda k: F.pow(part(k, F.cos), F.lit(2.0)) + F.pow(part(k, F.sin), F.lit(2.0)))

@@ -29,15 +29,25 @@ def class_report(matrix: DataFrame) -> DataFrame:
     return g.select("label", "support", F.try_divide("hits", "said").alias("precision"), F.try_divide("hits", "support").alias("recall"), f1.alias("f1"))
 
 
-def precision_recall_curve(df: DataFrame, label: str, score: str) -> DataFrame:
-    """(threshold, precision, recall) of score >= threshold, one row for each distinct score.
+def running_sums(df: DataFrame, order: str, sums: list[str], ranges: int = 256) -> DataFrame:
+    """``df`` with the running sums of ``sums`` down the falling numbers ``order`` (all different): the rows
+    are dealt into ranges, summed range by range, and then run through inside each range."""
+    bounds = df.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 20 * ranges).alias("b"))
+    rows = df.crossJoin(F.broadcast(bounds)).withColumn("__range", F.size(F.filter("b", lambda x: x <= F.col(order)))).drop("b")
+    above = Window.orderBy(F.desc("__range")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("__range").agg(*[F.sum(c).alias(f"__t_{c}") for c in sums])
+    totals = totals.select("__range", *[F.coalesce(F.sum(f"__t_{c}").over(above), F.lit(0)).alias(f"__a_{c}") for c in sums])
+    inside = Window.partitionBy("__range").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumns({f"__i_{c}": F.sum(c).over(inside) for c in sums}).join(F.broadcast(totals), "__range")
+    return out.select(*df.columns, *[(F.col(f"__i_{c}") + F.col(f"__a_{c}")).alias(f"run_{c}") for c in sums])
+
 
-    The running sums go over distinct scores; round the scores to keep them few."""
+def precision_recall_curve(df: DataFrame, label: str, score: str) -> DataFrame:
+    """(threshold, precision, recall) of score >= threshold, one row for each distinct score."""
     g = df.groupBy(F.col(score).alias("threshold")).agg(F.sum(label).alias("p"), F.count("*").alias("n"))
-    w = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    all_p = F.sum("p").over(Window.partitionBy(F.lit(0)))
-    hits = F.sum("p").over(w)
-    return g.select("threshold", F.try_divide(hits, F.sum("n").over(w)).alias("precision"), F.try_divide(hits, all_p).alias("recall"))
+    all_p = g.agg(F.sum("p").alias("all_p"))
+    out = running_sums(g, "threshold", ["p", "n"]).crossJoin(F.broadcast(all_p))
+    return out.select("threshold", F.try_divide("run_p", "run_n").alias("precision"), F.try_divide("run_p", "all_p").alias("recall"))
 
 
 def log_loss(y: Column, p: Column, eps: float = 1e-15, weight: Column | None = None) -> Column:
@@ -45,5 +55,18 @@ def log_loss(y: Column, p: Column, eps: float = 1e-15, weight: Column | None = N
     return F.avg(loss) if weight is None else F.try_divide(F.sum(weight * loss), F.sum(weight))
 
 
+def cross_entropy(y: Column, p: Column, eps: float = 1e-15, weight: Column | None = None) -> Column:
+    """Mean categorical cross-entropy of arrays (one-hot y, scores p, which are scaled to sum to one)."""
+    total = F.aggregate(p, F.lit(0.0), lambda s, x: s + x)
+    loss = -F.aggregate(F.zip_with(y, p, lambda t, x: t * F.ln(F.greatest(F.least(x / total, F.lit(1 - eps)), F.lit(eps)))), F.lit(0.0), lambda s, x: s + x)
+    return F.avg(loss) if weight is None else F.try_divide(F.sum(weight * loss), F.sum(weight))
+
+
+def matrix_accuracy(matrix: DataFrame) -> DataFrame:
+    """(accuracy, error) from a confusion matrix."""
+    hits = F.sum(F.when(F.col("truth") == F.col("pred"), F.col("n")).otherwise(0))
+    return matrix.agg(F.try_divide(hits, F.sum("n")).alias("accuracy"), (1 - F.try_divide(hits, F.sum("n"))).alias("error"))
+
+
 def squared_error(y: Column, p: Column) -> Column:
     return F.avg(F.pow(y - p, F.lit(2)))

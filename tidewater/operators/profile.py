@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import sys
 from collections.abc import Sequence
 from itertools import combinations
 
@@ -11,17 +13,81 @@ from pyspark.sql import functions as F
 QUARTILES = (0.25, 0.5, 0.75)
 
 
+#: Buckets that one pass cuts the interval of an order statistic into.
+CUTS = 1024
+
+
+_GREATEST = sys.float_info.max
+
+
+def _number(c: str) -> Column:
+    """The column without NaN, infinities as the greatest doubles (so that intervals can be cut)."""
+    x = F.col(c).cast("double")
+    return F.when(x.isNotNull() & ~F.isnan(x), F.greatest(F.lit(-_GREATEST), F.least(F.lit(_GREATEST), x)))
+
+
+def order_statistics(df: DataFrame, ranks: dict[str, Sequence[int]]) -> dict[str, dict[int, float]]:
+    """{column: {rank: value}}: the values of the given ranks (from 0) among a column's numbers, exactly; NaN counts as missing.
+
+    Each pass counts the rows in CUTS buckets of every interval that still holds a wanted rank and goes on
+    with the buckets that do, so no pass shuffles more than the counts; values that lie evenly need about
+    log(rows) / log(CUTS) passes, any doubles eight at most.  Only the counts of wanted intervals reach the driver."""
+    done: dict[str, dict[int, float]] = {c: {} for c in ranks}
+    edges = df.agg(*[F.struct(F.min(_number(c)).alias("lo"), F.max(_number(c)).alias("hi")).alias(f"e{i}") for i, c in enumerate(ranks)]).first()
+    # (column, least value, greatest value, rows before, ranks wanted)
+    left = [(c, edges[i].lo, edges[i].hi, 0, sorted(set(k))) for i, (c, k) in enumerate(ranks.items()) if edges[i].lo is not None and k]
+    while left:
+        for c, lo, hi, _, wanted in left:
+            if lo == hi:
+                done[c].update(dict.fromkeys(wanted, lo if abs(lo) < _GREATEST else math.copysign(math.inf, lo)))
+        left = [x for x in left if x[1] < x[2]]
+        if not left:
+            break
+        cells = []
+        for i, (c, lo, hi, _, _) in enumerate(left):
+            x = _number(c)
+            # In halves, so that the width doesn't overflow.
+            at = F.least(F.floor((x / 2 - lo / 2) / (hi / 2 - lo / 2) * CUTS), F.lit(CUTS - 1)).cast("int")
+            cells.append(F.when(x.between(lo, hi), F.struct(F.lit(i).alias("i"), at.alias("at"), x.alias("x"))))
+        long = df.select(F.inline(F.filter(F.array(*cells), lambda s: s.isNotNull())))
+        counts: dict[int, list] = {}
+        for r in long.groupBy("i", "at").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("i", "at").collect():
+            counts.setdefault(r.i, []).append(r)
+        new = []
+        for i, (c, _, _, before, wanted) in enumerate(left):
+            for r in counts[i]:
+                inside = [k for k in wanted if before <= k < before + r.n]
+                if inside:
+                    new.append((c, r.lo, r.hi, before, inside))
+                before += r.n
+        left = new
+    return done
+
+
+def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
+    """Exact quantiles of each column, linear between the two nearest values; None without values."""
+    n = df.agg(*[F.count(_number(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    at = {c: [(n[i] - 1) * p for p in probs] for i, c in enumerate(cols)}
+    got = order_statistics(df, {c: sorted({k for h in hs for k in (int(h), min(int(h) + 1, n[i] - 1))}) if n[i] else [] for i, (c, hs) in enumerate(at.items())})
+
+    def value(v: dict[int, float], h: float, top: int) -> float:
+        a, b = v[int(h)], v[min(int(h) + 1, top)]
+        return a if a == b or h == int(h) else a + (b - a) * (h - int(h))
+
+    return {c: [value(got[c], h, n[i] - 1) if n[i] else None for h in hs] for i, (c, hs) in enumerate(at.items())}
+
+
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """One row a column: count, mean, sd (sample), min, exact quartiles, max; one pass, two stages."""
+    """One row a column: count, mean, sd (sample), min, exact quartiles, max."""
+    q = quantiles(df, cols, QUARTILES)
     aggs = [
         F.struct(
             F.lit(c).alias("name"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"), F.min(c).cast("double").alias("lo"),
-            F.percentile(c, F.array(*map(F.lit, QUARTILES))).alias("q"), F.max(c).cast("double").alias("hi"),
-        ).alias(c)
-        for c in cols
+            *[F.lit(v).cast("double").alias(f"q{int(p * 100)}") for p, v in zip(QUARTILES, q[c], strict=True)], F.max(c).cast("double").alias("hi"),
+        ).alias(f"c{i}")
+        for i, c in enumerate(cols)
     ]
-    out = df.agg(*aggs).select(F.inline(F.array(*[F.col(c) for c in cols])))
-    return out.select("name", "n", "mean", "sd", "lo", *[F.get("q", F.lit(i)).alias(f"q{int(p * 100)}") for i, p in enumerate(QUARTILES)], "hi")
+    return df.agg(*aggs).select(F.inline(F.array(*[F.col(f"c{i}") for i in range(len(cols))])))
 
 
 def missing_rates(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -53,7 +119,9 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """(col, n, share), most frequent first; the total is taken over the counted values."""
     n = df.groupBy(col).agg(F.count("*").alias("n"))
-    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))).orderBy(F.desc("n"), col)
+    # The one-row total goes to all tasks.
+    total = n.agg(F.sum("n").alias("__total"))
+    return n.crossJoin(F.broadcast(total)).select(col, "n", (F.col("n") / F.col("__total")).alias("share")).orderBy(F.desc("n"), col)
 
 
 def histogram(df: DataFrame, col: str, width: float, bins: int) -> DataFrame:
@@ -98,7 +166,9 @@ def band(x: Column, edges: Sequence[float]) -> Column:
 
 
 def decile_grid(df: DataFrame, col: str) -> DataFrame:
-    return df.agg(F.percentile(col, F.array(*[F.lit(i / 10) for i in range(1, 10)])).alias("grid"))
+    """(grid): the nine exact deciles in one row."""
+    grid = quantiles(df, [col], [i / 10 for i in range(1, 10)])[col]
+    return df.sparkSession.range(1).select(F.array(*[F.lit(v).cast("double") for v in grid]).alias("grid"))
 
 
 def decile_band(x: Column, grid: Column) -> Column:

@@ -6,6 +6,7 @@ A window without ``by`` runs in one task, so use it on series that an aggregatio
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -110,20 +111,46 @@ def chronological_split(df: DataFrame, order: Names, share: float) -> DataFrame:
     return df.withColumn("train", rn <= F.floor(n * share))
 
 
+#: Rows that the last range of a hash split may hold.
+SPLIT_ROWS = 50_000
+
+
 def hash_split(df: DataFrame, key: str, share: float, salt: str = "") -> DataFrame:
     """Adds ``test`` for an exact ceil(share * n) rows, in the order of a hash of the key (a repeatable shuffle).
 
-    The cut is found by counting hashes in 4096 ranges and ranking only inside the range that holds it,
-    so no row passes a single task but those of one range."""
+    The hashes are counted by their first three digits, then those of the range that holds the cut by the next
+    three, until SPLIT_ROWS are left, which give the hash at the cut.  So a row is marked by a comparison
+    and the table isn't shuffled.  The key is unique; rows of one key are marked alike."""
     h = F.md5(F.concat(F.lit(salt), F.col(key).cast("string")))
-    rows = df.withColumns({"__h": h, "__r": F.substring(h, 1, 3)})
-    per = Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    hashes = df.select(h.alias("h"), F.col(key).alias("k"))
+    want = math.ceil(df.count() * share)
+    head, left = "", None
+    while want and (left is None or left > SPLIT_ROWS) and len(head) < 30:
+        at = F.substring("h", len(head) + 1, 3).alias("at")
+        for r in hashes.where(F.col("h").startswith(head)).groupBy(at).agg(F.count("*").alias("n")).orderBy("at").collect():
+            if want <= r.n:
+                head, left = head + r["at"], r.n
+                break
+            want -= r.n
+    if not want:
+        return df.withColumn("test", F.lit(False))
+    cut = hashes.where(F.col("h").startswith(head)).orderBy("h", "k").limit(want).agg(F.max(F.struct("h", "k")).alias("cut")).first().cut
+    return df.withColumn("test", (h < cut.h) | ((h == cut.h) & (F.col(key) <= cut.k)))
+
+
+def sample(df: DataFrame, key: str, n: int, salt: str = "") -> DataFrame:
+    """n rows without replacement, those of least hash of the key: each task keeps n, and only these meet."""
+    return df.orderBy(F.md5(F.concat(F.lit(salt), F.col(key).cast("string"))), key).limit(n)
+
+
+def shuffled(df: DataFrame, key: str, salt: str = "") -> DataFrame:
+    """Adds ``place``: the row's number from 1 in the order of a hash of the key; counted range by range of the hash."""
+    rows = df.withColumn("__h", F.md5(F.concat(F.lit(salt), F.col(key).cast("string")))).withColumn("__r", F.substring("__h", 1, 3))
     counts = rows.groupBy("__r").agg(F.count("*").alias("__n"))
-    total = F.sum("__n").over(Window.partitionBy(F.lit(0)))
-    counts = counts.withColumns({"__before": F.coalesce(F.sum("__n").over(per), F.lit(0)), "__want": F.ceil(total * share)})
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inside = F.row_number().over(Window.partitionBy("__r").orderBy("__h", key))
-    out = rows.join(F.broadcast(counts), "__r").withColumn("test", F.col("__before") + inside <= F.col("__want"))
-    return out.drop("__h", "__r", "__n", "__before", "__want")
+    out = rows.withColumn("__i", inside).join(F.broadcast(counts.select("__r", before.alias("__b"))), "__r")
+    return out.select(*df.columns, (F.col("__i") + F.col("__b")).alias("place"))
 
 
 def linear_schedule(t: Column, start: float, end: float, steps: int) -> Column:

@@ -1,6 +1,6 @@
 """All queries but those of the optional subpackage, which adds its own."""
 
-from tidewater.plans import learning, profile, series
+from tidewater.plans import functions, joins, learning, models, profile, series
 from tidewater.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "learning", "profile", "series"]
+__all__ = ["ORACLE", "QUERIES", "functions", "joins", "learning", "models", "profile", "series"]

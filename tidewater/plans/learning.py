@@ -68,11 +68,26 @@ def losses(spark, d):
     return _scored(spark, d).agg(F.round(E.log_loss(y, p), 6).alias("bce"), F.round(E.squared_error(y, p), 6).alias("mse"), F.round(E.log_loss(y, p, weight=1 + y), 6).alias("weighted"))
 
 
-@query("pr_curve", f"""WITH {_SCORED}, g AS (SELECT round(p, 2) AS threshold, sum(y) AS y, count(*) AS n FROM s GROUP BY 1)
-SELECT threshold, round(sum(y) OVER w / sum(n) OVER w, 6) AS "precision", round(sum(y) OVER w / sum(y) OVER (), 6) AS recall FROM g WINDOW w AS (ORDER BY threshold DESC)""")
+@query("pr_curve", f"""WITH {_SCORED}, g AS (SELECT p AS threshold, sum(y) AS y, count(*) AS n FROM s GROUP BY 1)
+SELECT round(threshold, 9) AS threshold, round(sum(y) OVER w / sum(n) OVER w, 6) AS "precision", round(sum(y) OVER w / sum(y) OVER (), 6) AS recall FROM g WINDOW w AS (ORDER BY threshold DESC)""")
 def pr_curve(spark, d):
-    curve = E.precision_recall_curve(_scored(spark, d).withColumn("p", F.round("p", 2)), "y", "p")
-    return curve.select("threshold", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+    curve = E.precision_recall_curve(_scored(spark, d), "y", "p")
+    return curve.select(F.round("threshold", 9).alias("threshold"), F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+@query("matrix_accuracy", f"WITH {_CELLS} SELECT round(sum(CASE WHEN truth = pred THEN n ELSE 0 END) / sum(n), 6) AS accuracy, round(1 - sum(CASE WHEN truth = pred THEN n ELSE 0 END) / sum(n), 6) AS error FROM m")
+def matrix_accuracy(spark, d):
+    return E.matrix_accuracy(_matrix(spark, d)).select(F.round("accuracy", 6).alias("accuracy"), F.round("error", 6).alias("error"))
+
+
+@query("cross_entropy", """WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings),
+q AS (SELECT vec_id, label, k, exp(x) AS x, sum(exp(x)) OVER (PARTITION BY vec_id) AS total FROM e)
+SELECT round(avg(-ln(x / total)), 6) AS cce, round(sum((1 + label) * -ln(x / total)) / sum(1 + label), 6) AS weighted FROM q WHERE k = label""")
+def cross_entropy(spark, d):
+    """The exponentials of a vector as unscaled scores of 64 classes."""
+    v = _vec(spark, d).select("label", F.transform("v", F.exp).alias("p"))
+    y = F.transform(F.sequence(F.lit(0), F.size("p") - 1), lambda k: (k == F.col("label")).cast("double"))
+    return v.agg(F.round(E.cross_entropy(y, F.col("p")), 6).alias("cce"), F.round(E.cross_entropy(y, F.col("p"), weight=1 + F.col("label")), 6).alias("weighted"))
 
 
 _PTS = "pts AS (SELECT vec_id AS id, label, embedding[1]::DOUBLE * 10 AS x, embedding[2]::DOUBLE * 10 AS y FROM embeddings)"

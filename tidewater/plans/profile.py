@@ -223,11 +223,10 @@ def reshape_rows(spark, d):
 
 
 @query("anova_top3", """WITH x AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
-g AS (SELECT i, label, count(*) AS n, avg(x) AS m, var_pop(x) AS v FROM x WHERE i <= 16 GROUP BY 1, 2),
+g AS (SELECT i, label, count(*) AS n, avg(x) AS m, var_pop(x) AS v FROM x GROUP BY 1, 2),
 t AS (SELECT i, sum(n) AS n, count(*) AS k, sum(n * v) AS wi, sum(n * m * m) AS nmm, sum(n * m) AS nm FROM g GROUP BY i)
 SELECT 'e' || i AS name, round(((nmm - nm * nm / n) / (k - 1)) / (wi / (n - k)), 5) AS f FROM t ORDER BY f DESC LIMIT 3""")
 def anova_top3(spark, d):
-    """Over all dimensions; the SQL ranks the first 16 only, so they differ where the top lies beyond."""
     f = P.anova_f_positions(load(spark, d, "embeddings"), "embedding", "label", "e")
     return f.orderBy(F.desc("f")).limit(3).select("name", F.round("f", 5).alias("f"))
 
