@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from tidewater.functions import scalars as S
+from tidewater.functions import tables
 from tidewater.functions import vectors as V
 from tidewater.operators import signal as W
 from tidewater.plans.registry import load, query
@@ -181,6 +182,23 @@ def concat_columns(spark, d):
     return load(spark, d, "embeddings").select("vec_id", F.size(F.concat(wide, e)).cast("long").alias("n"), F.round(V.total(F.transform(wide, lambda x: x.cast("double"))), 3).alias("total"))
 
 
+@query("transposed_cells", "SELECT vec_id, CAST((k - 1) % 8 AS INTEGER) AS r, CAST((k - 1) // 8 AS INTEGER) AS c, round(v, 6) AS v FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS k FROM embeddings)")
+def transposed_cells(spark, d):
+    """The 8 x 8 matrix of a vector, turned over its diagonal inside the row, and as cells."""
+    row = lambda i: F.slice("embedding", i * 8 + 1, 8)
+    columns = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.get(row(i), j).cast("double")))
+    m = load(spark, d, "embeddings").select("vec_id", F.posexplode(columns).alias("r", "line"))
+    return _rounded(m.select("vec_id", "r", F.posexplode("line").alias("c", "v")), "vec_id", "r", "c")
+
+
+@query("generated_episodes", """WITH t AS (SELECT n_nationkey, e, s, row_number() OVER (PARTITION BY n_nationkey ORDER BY e, s) - 1 AS t FROM nation, range(3) a(e), range(5) b(s) WHERE s < 5 - n_nationkey % 2)
+SELECT n_nationkey, CAST(e AS INTEGER) AS episode, CAST(s AS INTEGER) AS step, round(1 - 0.9e0 * least(t, 9) / 9, 6) AS eps FROM t""")
+def generated_episodes(spark, d):
+    """A table function's rows for each row of a table."""
+    load(spark, d, "nation").createOrReplaceTempView("tidewater_nation")
+    return spark.sql(f"SELECT n_nationkey, episode, step, round(eps, 6) AS eps FROM tidewater_nation, LATERAL {tables.register(spark)}(CAST(n_nationkey AS INT), 3, 5, 1.0D, 0.1D, 10)")
+
+
 # ---- synthetic tables
 
 
