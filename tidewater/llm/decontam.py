@@ -84,8 +84,13 @@ class Benchmark:
     """The items (id, normalised text) of a part of a benchmark, ready to search texts for."""
 
     def __init__(self, items: list[tuple[int | None, str]], rate: float = RATE):
+        # Equal items are searched for once.
+        ids: dict[str, list[int | None]] = {}
+        for i, t in items:
+            if t:
+                ids.setdefault(t, []).append(i)
         # An item without an edit to spare must stand between blanks.
-        spare = [(i, t, int(rate * len(t))) for i, t in items if t]
+        spare = [(i, t, int(rate * len(t))) for t, i in ids.items()]
         self.items = [(i, t if k else f" {t} ", k, bit_masks(t) if k else {}) for i, t, k in spare]
         self.machine = ahocorasick.Automaton()
         at: dict[str, list[tuple[int, int]]] = {}
@@ -109,9 +114,9 @@ class Benchmark:
                 starts.setdefault(n, []).append(end + 1 - length - off)
         out = []
         for n, found in starts.items():
-            item_id, p, k, peq = self.items[n]
+            ids, p, k, peq = self.items[n]
             if not k:  # the piece is the item, and its blanks don't count
-                out.append((item_id, 0, min(found), min(found) + len(p) - 2))
+                out += [(i, 0, min(found), min(found) + len(p) - 2) for i in ids]
                 continue
             best = None
             found.sort()
@@ -128,7 +133,7 @@ class Benchmark:
             if best:
                 d, e = best
                 size = len(p) if d == 0 else myers(p[::-1], t[max(1, e - len(p) - k) : e][::-1], anchored=True)[1]
-                out.append((item_id, d, e - size - 1, e - 1))
+                out += [(i, d, e - size - 1, e - 1) for i in ids]
         return out
 
 
