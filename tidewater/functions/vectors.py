@@ -34,10 +34,20 @@ def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn(value), with the value worked out once, however often fn names it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def shares(a: Column) -> Column:
+    """The values as shares of their sum; null for a sum of 0."""
+    return let(F.struct(a.alias("a"), total(a).alias("t")), lambda s: F.transform(s["a"], lambda x: F.try_divide(x, s["t"])))
+
+
 def softmax(a: Column) -> Column:
     """exp(x - max) over its sum, so that large values don't overflow."""
-    e = F.transform(a, lambda x: F.exp(x - F.array_max(a)))
-    return F.transform(e, lambda x: x / total(e))
+    e = let(F.struct(a.alias("a"), F.array_max(a).alias("m")), lambda s: F.transform(s["a"], lambda x: F.exp(x - s["m"])))
+    return shares(e)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -92,8 +102,7 @@ def last_true(a: Column) -> Column:
 
 def transition_probability(tau: Column, eta: Column, alpha: float, beta: float) -> Column:
     """tau^alpha eta^beta as shares of their sum."""
-    w = F.zip_with(tau, eta, lambda t, h: F.pow(t, F.lit(alpha)) * F.pow(h, F.lit(beta)))
-    return F.transform(w, lambda x: F.try_divide(x, total(w)))
+    return shares(F.zip_with(tau, eta, lambda t, h: F.pow(t, F.lit(alpha)) * F.pow(h, F.lit(beta))))
 
 
 def gather(a: Column, i: Column) -> Column:

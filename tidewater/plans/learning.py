@@ -10,7 +10,8 @@ from tidewater.operators import evaluate as E
 from tidewater.operators import spatial as G
 from tidewater.plans.registry import load, query
 
-_PRED = "p AS (SELECT vec_id, label AS truth, CAST(list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS INTEGER) AS pred FROM embeddings)"
+_PRED = """s AS (SELECT vec_id, label, list_transform(range(10), lambda k: list_sum(list_filter(embedding::DOUBLE[], lambda x, i: (i - 1) % 10 = k))) AS s FROM embeddings),
+p AS (SELECT vec_id, label AS truth, CAST(list_position(s, list_max(s)) - 1 AS INTEGER) AS pred FROM s)"""
 _CELLS = f"{_PRED}, k AS (SELECT CAST(i AS INTEGER) AS i FROM range(10) r(i)), m AS (SELECT a.i AS truth, b.i AS pred, count(p.vec_id) AS n FROM k a CROSS JOIN k b LEFT JOIN p ON p.truth = a.i AND p.pred = b.i GROUP BY 1, 2)"
 
 
@@ -20,7 +21,9 @@ def _vec(spark, d):
 
 
 def predictions(spark, d):
-    return _vec(spark, d).select("vec_id", F.col("label").alias("truth"), V.argmax(F.slice("v", 1, 10)).cast("int").alias("pred"))
+    """The class of greatest score; a class's score is the sum of every tenth value of the vector from its own on."""
+    scores = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: V.total(F.filter("v", lambda x, i: i % 10 == k)))
+    return _vec(spark, d).select("vec_id", F.col("label").alias("truth"), V.argmax(scores).cast("int").alias("pred"))
 
 
 def _matrix(spark, d):
@@ -175,10 +178,10 @@ def viewed_not_bought(spark, d):
     return seen.subtract(bought)
 
 
-@query("softmax", """WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS k, unnest(embedding)::DOUBLE AS x FROM embeddings), f AS (SELECT * FROM e WHERE k < 8)
-SELECT vec_id, CAST(k AS BIGINT) AS k, round(exp(x - max(x) OVER u) / sum(exp(x)) OVER u * exp(max(x) OVER u), 6) AS p FROM f WINDOW u AS (PARTITION BY vec_id)""")
+@query("softmax", """WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS k, unnest(embedding)::DOUBLE AS x FROM embeddings)
+SELECT vec_id, CAST(k AS BIGINT) AS k, round(exp(x - max(x) OVER u) / sum(exp(x)) OVER u * exp(max(x) OVER u), 6) AS p FROM e WINDOW u AS (PARTITION BY vec_id)""")
 def softmax(spark, d):
-    return _vec(spark, d).select("vec_id", F.posexplode(V.softmax(F.slice("v", 1, 8))).alias("k", "p")).select("vec_id", F.col("k").cast("long").alias("k"), F.round("p", 6).alias("p"))
+    return _vec(spark, d).select("vec_id", F.posexplode(V.softmax(F.col("v"))).alias("k", "p")).select("vec_id", F.col("k").cast("long").alias("k"), F.round("p", 6).alias("p"))
 
 
 @query("activations", """SELECT vec_id, round(1 / (1 + exp(-x)), 6) AS sigmoid, round(tanh(x), 6) AS tanh, greatest(x, 0) AS relu, round(CASE WHEN x > 0 THEN x ELSE exp(x) - 1 END, 6) AS elu
@@ -189,12 +192,12 @@ def activations(spark, d):
     return x.select("vec_id", *[(c if k == "relu" else F.round(c, 6)).alias(k) for k, c in act.items()])
 
 
-_W = [[((i * 7 + j * 3) % 5 - 2) / 10 for j in range(9)] for i in range(3)]
+_W = [[((i * 7 + j * 3) % 5 - 2) / 10 for j in range(65)] for i in range(3)]
 
 
-@query("dense_forward", "SELECT vec_id, " + ", ".join(f"round(greatest(0, {' + '.join(f'({w}) * embedding[{j + 1}]::DOUBLE' for j, w in enumerate(row[:8]))} + ({row[8]})), 6) AS o{i}" for i, row in enumerate(_W)) + " FROM embeddings")
+@query("dense_forward", "SELECT vec_id, " + ", ".join(f"round(greatest(0, {' + '.join(f'({w}) * embedding[{j + 1}]::DOUBLE' for j, w in enumerate(row[:64]))} + ({row[64]})), 6) AS o{i}" for i, row in enumerate(_W)) + " FROM embeddings")
 def dense_forward(spark, d):
-    out = _vec(spark, d).select("vec_id", V.dense(F.slice("v", 1, 8), _W, "relu").alias("o"))
+    out = _vec(spark, d).select("vec_id", V.dense(F.col("v"), _W, "relu").alias("o"))
     return out.select("vec_id", *[F.round(F.col("o")[i], 6).alias(f"o{i}") for i in range(3)])
 
 
