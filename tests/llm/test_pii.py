@@ -49,3 +49,32 @@ def test_names_are_replaced_part_by_part(spark):
     assert len({x[-1] for t, x in got.items() if t.endswith("Nowak")}) == 1
     for k, names in pii.GIVEN.items():
         assert {got[f"{n} Nowak"][0] for n in names} == set(names), k
+
+
+def test_coreference_and_distinctness_over_a_corpus(spark, monkeypatch):
+    """Entities of small and nearly full forms in several scripts, spread over documents, against the definitions:
+    one surrogate an entity, none for two, none that is an entity of the corpus, and the same types found again."""
+    import random
+
+    monkeypatch.setattr(pii, "MAX_ROUNDS", 4)
+    r = random.Random(11)
+    letters = {"latin": "abcdefg", "cyrillic": "абвгд", "thai": "กขค", "arabic": "ابت", "cjk": "一丁七"}
+    pool = [f"{a}{b}@{c}.com" for abc in letters.values() for a in abc for b in abc for c in abc[:2]]
+    pool += [f"0{i}{j} {k:03d}" for i in range(10, 13) for j in range(3) for k in range(0, 1000, 9)]
+    pool += [f"{i}.{j}.0.1" for i in range(1, 20) for j in range(5)] + [f"{i:03d}-{j:02d}-{k:04d}" for i in (1, 2) for j in range(4) for k in range(0, 9999, 777)]
+    pool += [f"{t} {n}" for t in ("Mr.", "Frau") for n in ("Stone", "Li", "Bo", "Ёлкин", "Παπάς")]
+    rows = [" | ".join(r.sample(pool, 12)) for _ in range(250)]
+    rows += [" | ".join(pool[i : i + 12]) for i in range(0, len(pool), 12)]
+    made: dict[str, str] = {}
+    for row in pii.replace(docs(spark, list(enumerate(rows))), b"key").collect():
+        before, after = rows[row.doc_id].split(" | "), row.text.split(" | ")
+        assert len(before) == len(after) == row.n_entities
+        for a, b in zip(before, after, strict=True):
+            assert made.setdefault(a, b) == b, a
+            assert [k for _, _, k in pii.find(a)] == [k for _, _, k in pii.find(b)] or ":" in b, (a, b)
+    assert len(made) == len(pool) == len(set(pool))
+    plain = {a: b for a, b in made.items() if not a.startswith(("Mr.", "Frau"))}
+    assert len(set(plain.values())) == len(plain) and not set(plain.values()) & set(plain)
+    names = {a.split(" ")[1]: b.split(" ")[1] for a, b in made.items() if a not in plain}
+    assert len(set(names.values())) == len(names) and not set(names.values()) & set(names)
+    assert made["Mr. Stone"].split(" ")[1] == made["Frau Stone"].split(" ")[1]

@@ -134,7 +134,7 @@ def _alphabet(c: str, hexa: bool, listed: bool = False) -> str:
     if c.isdecimal():
         zero = ord(c) - unicodedata.decimal(c)
         return "".join(map(chr, range(zero, zero + 10)))
-    if not c.isalpha():
+    if not c.isalpha() or c == "ς":  # which only ends words
         return c
     name = unicodedata.name(c, "")
     script = name.split(" ")[0].lower()
