@@ -117,17 +117,19 @@ def mix(
     spark = docs.sparkSession
     chars = F.coalesce(F.length(col(text_col)) if chars is None else chars, F.lit(0)).cast("long")
     h = F.md5(F.coalesce(col(id_col).cast("string"), F.lit("")))
-    rows = docs.withColumns({"__m_h": h, "__m_c": F.substring(h, 1, CHUNK_DIGITS), "__m_n": chars, "__m_s": col(source_col)})
+    # A key that is never null, so that windows and the join below share one shuffle of the rows.
+    named = F.coalesce(F.concat(F.lit("s"), col(source_col)), F.lit("n"))
+    rows = docs.withColumns({"__m_h": h, "__m_c": F.substring(h, 1, CHUNK_DIGITS), "__m_n": chars, "__m_s": named})
     # As many rows as sources times chunks; it serves all that follows.
     totals = table(rows.groupBy("__m_s", "__m_c").agg(F.sum("__m_n").alias("n"), F.count("*").alias("rows")), "totals")
     by_source = Window.partitionBy("__m_s").orderBy("__m_c").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        F.col("__m_s").alias("__m_ts"), F.col("__m_c").alias("__m_tc"),
+        "__m_s", "__m_c",
         F.coalesce(F.sum("n").over(by_source), F.lit(0)).alias("__m_off"), F.coalesce(F.sum("rows").over(by_source), F.lit(0)).alias("__m_roff"),
     )
     # One row for each listed source that occurs.  The last document's block is the largest; where it begins
     # is known only per row, so the total rounds up.
-    blocks = {r.s: ceil(r.n / block_chars) for r in totals.where(F.col("__m_s").isin(*weights)).groupBy(F.col("__m_s").alias("s")).agg(F.sum("n").alias("n")).collect()}
+    blocks = {r.s: ceil(r.n / block_chars) for r in totals.where(F.col("__m_s").isin(*["s" + s for s in weights])).groupBy(F.expr("substring(__m_s, 2)").alias("s")).agg(F.sum("n").alias("n")).collect()}
     share = shares({s: w for s, w in weights.items() if s in blocks and w > 0})
     period = sum(share.values())
     listed = spark.createDataFrame([(s, a, blocks[s]) for s, a in sorted(share.items())], "source string, share long, blocks long")
@@ -139,15 +141,15 @@ def mix(
     plan = table(plan.select(*[F.col(c).alias(f"__m_p_{c}") for c in ("source", "share", "k", "offset", "period", "horizon")]), "plan")
     inside = Window.partitionBy("__m_s", "__m_c").orderBy("__m_h", col(id_col), "__m_n").rowsBetween(Window.unboundedPreceding, -1)
     out = rows.withColumns({"__m_in": F.coalesce(F.sum("__m_n").over(inside), F.lit(0)), "__m_rin": F.count(F.lit(1)).over(inside)})
-    out = out.join(offsets, F.col("__m_s").eqNullSafe(F.col("__m_ts")) & (F.col("__m_c") == F.col("__m_tc")))
-    known = F.create_map(*[F.lit(x) for kv in sorted(share.items()) for x in kv]).cast("map<string,long>")
+    out = out.join(offsets, ["__m_s", "__m_c"])
+    known = F.create_map(*[F.lit(x) for s, a in sorted(share.items()) for x in ("s" + s, a)]).cast("map<string,long>")
     out = out.withColumns({
         "__m_block": F.floor((F.col("__m_in") + F.col("__m_off")) / block_chars),
         "__m_rank": F.col("__m_rin") + F.col("__m_roff"),
-        "__m_share": F.try_element_at(known, F.coalesce(F.col("__m_s"), F.lit(""))),
+        "__m_share": F.try_element_at(known, F.col("__m_s")),
     })
     key = F.when(F.col("__m_share") > 0, F.col("__m_block") % F.col("__m_share"))
-    out = out.join(plan, (F.col("__m_s") == F.col("__m_p_source")) & (key == F.col("__m_p_k")), "left")
+    out = out.join(plan, (F.col("__m_s") == F.concat(F.lit("s"), F.col("__m_p_source"))) & (key == F.col("__m_p_k")), "left")
     slot = F.floor(F.col("__m_block") / F.col("__m_p_share")) * F.col("__m_p_period") + F.col("__m_p_offset")
     return out.select(
         *columns(docs, "mix_block", "mix_slot", "mix_rank", "mixed"),
