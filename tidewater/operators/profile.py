@@ -14,7 +14,7 @@ QUARTILES = (0.25, 0.5, 0.75)
 
 
 #: Buckets that one pass cuts the interval of an order statistic into.
-CUTS = 1024
+CUTS = 4096
 
 
 _GREATEST = sys.float_info.max
@@ -26,16 +26,17 @@ def _number(c: str) -> Column:
     return F.when(x.isNotNull() & ~F.isnan(x), F.greatest(F.lit(-_GREATEST), F.least(F.lit(_GREATEST), x)))
 
 
-def order_statistics(df: DataFrame, ranks: dict[str, Sequence[int]]) -> dict[str, dict[int, float]]:
+def order_statistics(df: DataFrame, ranks: dict[str, Sequence[int]], edges: dict[str, tuple] | None = None) -> dict[str, dict[int, float]]:
     """{column: {rank: value}}: the values of the given ranks (from 0) among a column's numbers, exactly; NaN counts as missing.
 
     Each pass counts the rows in CUTS buckets of every interval that still holds a wanted rank and goes on
     with the buckets that do, so no pass shuffles more than the counts; values that lie evenly need about
-    log(rows) / log(CUTS) passes, any doubles eight at most.  Only the counts of wanted intervals reach the driver."""
+    log(rows) / log(CUTS) passes, any doubles eight at most.  Only the buckets of wanted ranks reach the driver.
+    ``edges``: (count, least, greatest) of each column, if known."""
+    edges = edges or _edges(df, list(ranks))
     done: dict[str, dict[int, float]] = {c: {} for c in ranks}
-    edges = df.agg(*[F.struct(F.min(_number(c)).alias("lo"), F.max(_number(c)).alias("hi")).alias(f"e{i}") for i, c in enumerate(ranks)]).first()
     # (column, least value, greatest value, rows before, ranks wanted)
-    left = [(c, edges[i].lo, edges[i].hi, 0, sorted(set(k))) for i, (c, k) in enumerate(ranks.items()) if edges[i].lo is not None and k]
+    left = [(c, *edges[c][1:], 0, sorted(set(k))) for c, k in ranks.items() if edges[c][0] and k]
     while left:
         for c, lo, hi, _, wanted in left:
             if lo == hi:
@@ -50,31 +51,35 @@ def order_statistics(df: DataFrame, ranks: dict[str, Sequence[int]]) -> dict[str
             at = F.least(F.floor((x / 2 - lo / 2) / (hi / 2 - lo / 2) * CUTS), F.lit(CUTS - 1)).cast("int")
             cells.append(F.when(x.between(lo, hi), F.struct(F.lit(i).alias("i"), at.alias("at"), x.alias("x"))))
         long = df.select(F.inline(F.filter(F.array(*cells), lambda s: s.isNotNull())))
-        counts: dict[int, list] = {}
-        for r in long.groupBy("i", "at").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("i", "at").collect():
-            counts.setdefault(r.i, []).append(r)
-        new = []
-        for i, (c, _, _, before, wanted) in enumerate(left):
-            for r in counts[i]:
-                inside = [k for k in wanted if before <= k < before + r.n]
-                if inside:
-                    new.append((c, r.lo, r.hi, before, inside))
-                before += r.n
-        left = new
+        counts = long.groupBy("i", "at").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        up = Window.partitionBy("i").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+        start = F.get(F.array(*[F.lit(x[3]).cast("long") for x in left]), F.col("i"))
+        wanted = F.get(F.array(*[F.array(*[F.lit(k).cast("long") for k in x[4]]) for x in left]), F.col("i"))
+        counts = counts.withColumn("before", start + F.coalesce(F.sum("n").over(up), F.lit(0)))
+        inside = F.filter(wanted, lambda k: (k >= F.col("before")) & (k < F.col("before") + F.col("n")))
+        left = [(left[r.i][0], r.lo, r.hi, r.before, r.ks) for r in counts.withColumn("ks", inside).where(F.size("ks") > 0).collect()]
     return done
 
 
+def _edges(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple]:
+    """(count, least, greatest) of each column's numbers."""
+    x = [_number(c) for c in cols]
+    row = df.agg(*[f(v).alias(f"{f.__name__}{i}") for i, v in enumerate(x) for f in (F.count, F.min, F.max)]).first()
+    return {c: tuple(row[3 * i : 3 * i + 3]) for i, c in enumerate(cols)}
+
+
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
     """Exact quantiles of each column, linear between the two nearest values; None without values."""
-    n = df.agg(*[F.count(_number(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    at = {c: [(n[i] - 1) * p for p in probs] for i, c in enumerate(cols)}
-    got = order_statistics(df, {c: sorted({k for h in hs for k in (int(h), min(int(h) + 1, n[i] - 1))}) if n[i] else [] for i, (c, hs) in enumerate(at.items())})
+    edges = _edges(df, cols)
+    n = {c: e[0] for c, e in edges.items()}
+    at = {c: [(n[c] - 1) * p for p in probs] for c in cols}
+    got = order_statistics(df, {c: sorted({k for h in hs for k in (int(h), min(int(h) + 1, n[c] - 1))}) if n[c] else [] for c, hs in at.items()}, edges)
 
     def value(v: dict[int, float], h: float, top: int) -> float:
         a, b = v[int(h)], v[min(int(h) + 1, top)]
         return a if a == b or h == int(h) else a + (b - a) * (h - int(h))
 
-    return {c: [value(got[c], h, n[i] - 1) if n[i] else None for h in hs] for i, (c, hs) in enumerate(at.items())}
+    return {c: [value(got[c], h, n[c] - 1) if n[c] else None for h in hs] for c, hs in at.items()}
 
 
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
