@@ -14,8 +14,8 @@ texts are trained on both halves.  The score is the regression's value as it is,
 Bounds: at most ``MAX_ROWS`` toxic and ``MAX_ROWS`` other labelled rows are used to fit, taken by a
 hash of the id.  Every text is scored whole, in one pass without shuffle.
 
-Defined results: null counts as the empty text, which is scored like any other; without two labelled rows
-of each kind the score is the smoothed share of toxic labels (0.5 with none); an id with several labels has that
+Defined results: null counts as the empty text, which is scored like any other; without labelled rows of both
+kinds in each half (by a hash of the id) the score is the smoothed share of toxic labels (0.5 with none); an id with several labels has that
 of most of its rows (ties: 0), and counts once however often the table or the documents repeat it (with the
 text of least hash).  An input column of the score's name is replaced; all others pass through, whatever
 their names.
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -248,7 +248,7 @@ def _fit(docs: DataFrame, known: DataFrame, max_rows: int) -> Toxicity:
     chosen = _sample(known.where("y = 1"), max_rows).unionByName(_sample(known.where("y = 0"), max_rows))
     # Both lists are bounded by max_rows; one text an id.
     rows = docs.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    half = (F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64(F.lit(5), "id"), "id")) % 2).cast("int")
+    half = F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(2)).cast("int")
     rows = table(rows.withColumn("half", half), "toxicity")
     taken = {(r.y, r.half): r.n for r in rows.groupBy("y", "half").agg(F.count("*").alias("n")).collect()}
     if len(taken) < 4:
