@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewater.llm import decontam, fingerprint, langid, line_dedup, minhash, mixing, pii, pu_quality, toxicity, url_filter
+from tidewater.llm import decontam, fingerprint, kmeans, langid, line_dedup, minhash, mixing, pii, pu_quality, toxicity, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_mixing": mixing.op8,
     "op9_quality": pu_quality.op9,
     "op10_toxicity": toxicity.op10,
+    "op11_kmeans": kmeans.op11,
 }
 ORACLE = {
     "op1_line_dedup": line_dedup.OP1_SQL,
     "op4_url_filter": url_filter.OP4_SQL,
     "op7_minhash": minhash.OP7_SQL,
     "op8_mixing": mixing.OP8_SQL,
+    "op11_kmeans": kmeans.OP11_SQL,
 }
