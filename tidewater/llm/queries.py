@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewater.llm import decontam, fingerprint, kmeans, langid, line_dedup, minhash, mixing, pii, pu_quality, toxicity, url_filter
+from tidewater.llm import chat_tree, decontam, fingerprint, kmeans, langid, line_dedup, minhash, mixing, pii, pu_quality, spelling, toxicity, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_quality": pu_quality.op9,
     "op10_toxicity": toxicity.op10,
     "op11_kmeans": kmeans.op11,
+    "op12_chat_tree": chat_tree.op12,
+    "op13_spelling": spelling.op13,
 }
 ORACLE = {
     "op1_line_dedup": line_dedup.OP1_SQL,
@@ -23,4 +25,5 @@ ORACLE = {
     "op7_minhash": minhash.OP7_SQL,
     "op8_mixing": mixing.OP8_SQL,
     "op11_kmeans": kmeans.OP11_SQL,
+    "op12_chat_tree": chat_tree.OP12_SQL,
 }
