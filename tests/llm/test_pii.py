@@ -78,3 +78,67 @@ def test_coreference_and_distinctness_over_a_corpus(spark, monkeypatch):
     names = {a.split(" ")[1]: b.split(" ")[1] for a, b in made.items() if a not in plain}
     assert len(set(names.values())) == len(names) and not set(names.values()) & set(names)
     assert made["Mr. Stone"].split(" ")[1] == made["Frau Stone"].split(" ")[1]
+
+
+def hostile(n):
+    """Texts on which patterns that go back and forth take more than time in proportion."""
+    return {
+        "digits": "1" * n, "dashes": "1" + "-" * n, "letters": "a" * n, "capitals": "A" * n, "number and letter": "0123-" + "4" * n + "x", "spaced": "0123-456" + " 78" * (n // 3) + "x",
+        "slugs": "ab-" * (n // 3), "keys": "aB-" * (n // 3), "late digit": "aB-" * (n // 3) + "1", "dashed digits": "1-" * (n // 2), "key and letter": "aB1-" * (n // 4) + "é",
+        "ats": "a@" * (n // 2), "dots": "a." * (n // 2), "mail": "a@" + "a." * (n // 2), "colons": "a:" * (n // 2), "double": "a::" * (n // 3), "names": "Anna " * (n // 5), "caps": "ANNA " * (n // 5), "titles": "mr. " * (n // 4),
+        "hyphens": "Anna-" * (n // 5), "plus": "+1 " * (n // 3), "brackets": "(123) " * (n // 6), "hex": "0a" * (n // 2), "iban": "DE12 " * (n // 5), "blanks": " " * n, "zero": "0123 " * (n // 5), "sk": "sk-" * (n // 3), "ips": "1." * (n // 2),
+    }
+
+
+def test_time_is_in_proportion_to_the_text():
+    import time
+
+    def took(t):
+        began = time.perf_counter()
+        pii.find(t)
+        return time.perf_counter() - began
+
+    small, large = hostile(100_000), hostile(1_000_000)
+    for name, t in large.items():
+        a, b = min(took(small[name]) for _ in range(2)), took(t)
+        assert b < 3 and b < 30 * a + 0.3, (name, a, b)
+
+
+def test_keys_in_runs_by_definition():
+    """A key begins at a run's beginning or behind a dash of it, where the part up to the next dash has both cases, a digit follows, and
+    28 characters are left."""
+    import random
+    import re
+
+    def plain(t):
+        out, at = [], 0
+        while at < len(t):
+            m = re.compile(r"(?<!\w)(?=[A-Za-z_-]*\d)(?=[A-Za-z0-9_]*[a-z])(?=[A-Za-z0-9_]*[A-Z])[A-Za-z0-9_-]{28,}(?!\w)").search(t, at)
+            if not m:
+                break
+            out.append((m.start(), m.end(), "secret"))
+            at = m.end()
+        return out
+
+    r = random.Random(2)
+    for _ in range(4000):
+        t = "".join(r.choice(["a", "B", "1", "-", "_", "aB3xYz9q", "abcdefgh", "ABC-", "é", " "]) for _ in range(r.randint(1, 30)))
+        got, want = pii._keys(t), plain(t)
+        assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want], t
+
+
+def test_names_of_other_spellings():
+    found = lambda t: [t[a:b] for a, b, k in pii.find(t) if k.startswith("person")]
+    for t, names in {
+        "Meet Jean-Luc Picard now": ["Jean-Luc Picard"], "from John O\u2019Brien.": ["John O\u2019Brien"], "Mr. O'Neill left": ["O'Neill"], "says mr. john smith said": ["john smith"], "ANNA STONE, 1990": ["ANNA STONE"],
+        "MRS. STONE": ["STONE"], "dr. and mrs. miller are": ["miller"], "THE UNITED NATIONS": [], "mr. and mrs.": [], "Mr. Stone": ["Stone"], "Contact Zofia Nowak now": [],
+    }.items():
+        assert found(t) == names, t
+    assert [k for _, _, k in pii.find("at 2001:db8::8a2e:370:7334 and fe80::1, a::b, 12:30:45")] == ["ip6"] * 1 + ["ip6"]
+
+
+def test_spellings_keep_their_form(spark):
+    rows = ["ANNA STONE", "Anna Stone", "mr. john smith", "2001:db8::8a2e:370:7334"]
+    got = {r.doc_id: r.text for r in pii.replace(docs(spark, list(enumerate(rows))), b"key").collect()}
+    assert got[0].isupper() and got[0].split()[0] == got[1].split()[0].upper() and got[2].startswith("mr. ") and got[2].islower()
+    assert [k for _, _, k in pii.find(got[3])] == ["ip6"] and got[3] != rows[3]

@@ -19,7 +19,10 @@ full form runs out of collisions and not of rounds.  The corpus-wide check is a
 pre-aggregated grouping of the distinct entities, held in the shared folder.  Re-keyed
 entities reach the texts by a join on the document that is only run when there are any.
 
-Types: email, phone, card, ip, secret (hexadecimal or mixed keys), iban, ssn, person.
+Types: email, phone, card, ip, ip6, secret (hexadecimal or mixed keys), iban, ssn, person.  All patterns take time in proportion
+to the text, whatever it holds.  Names are found after a title, or after a given name of the list (about 90), in
+usual spelling or capitals, with hyphens and apostrophes; after an abbreviated title also in small letters.  A full name
+whose given name is not listed and that has no title stays.
 Defined results: null text stays null; an empty one stays empty, with 0 entities; entities inside
 longer words or numbers are left alone; overlapping matches go to the leftmost, then longest; a mention
 by surname alone ("Ms. Stone") has the surrogate surname of the full name; a listed given name alone
@@ -31,6 +34,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 import unicodedata
 from functools import lru_cache
@@ -59,10 +63,16 @@ TITLES = {
     "": ["Dr.", "Prof."],
 }
 _GENDER = {n: k for k, names in GIVEN.items() for n in names}
-_NAME = r"[^\W\d_a-zà-öø-ÿа-яα-ω][^\W\d_]*[a-zà-öø-ÿа-яёα-ωά-ώ](?:-[^\W\d_]+)?"
+_NAME = r"(?:[A-ZÀ-Þ]['’])?[^\W\d_a-zà-öø-ÿа-яα-ω][^\W\d_]*[a-zà-öø-ÿа-яёα-ωά-ώ](?:-[^\W\d_]+)?"
 _TITLE = "|".join(sorted((re.escape(t) for ts in TITLES.values() for t in ts), key=len, reverse=True))
 _GIVEN = "|".join(sorted(_GENDER, key=len, reverse=True))
-_PERSON = re.compile(rf"(?<!\w)(?:(?P<title>{_TITLE})[  ](?P<names>{_NAME}(?:[  ]{_NAME}){{0,2}})|(?P<full>(?:{_GIVEN})(?:[  ]{_NAME}){{1,2}}))(?!\w)")
+_PERSON = re.compile(rf"(?<!\w)(?:(?P<title>{_TITLE})[  ](?P<names>{_NAME}(?:[  ]{_NAME}){{0,2}})|(?P<full>(?:{_GIVEN})(?:-{_NAME})?(?:[  ]{_NAME}){{1,2}}))(?!\w)")
+#: Names in capitals, after a title or a given name of the list; in small letters, after the abbreviation of a title.
+_CAPITALS = re.compile(r"(?<!\w)(?:(?P<title>[^\W\d_a-z]{2,}\.?|(?:Mrs?|Ms|Dr|Prof|Herr|Frau)\.?)[  ])?(?P<names>(?P<first>[^\W\d_a-zà-öø-ÿа-яα-ω]{2,})(?:[  ](?:[^\W\d_a-z]['’])?[^\W\d_a-zà-öø-ÿа-яα-ω]{2,}){0,2})(?!\w)")
+_SMALL = re.compile(r"(?<!\w)(?P<title>(?:[Mm]rs?|[Mm]s|[Dd]r|[Pp]rof|[Ss]ra?)\.)[  ](?P<first>[^\W\d_A-Z]{2,})(?!\w)(?:(?=[  ](?P<second>[^\W\d_A-Z]{2,})(?!\w))|)")
+#: Words that follow an abbreviated title and are no name.
+_NO_NAME = frozenset("a an and are as at be but by de der die das du el en for from had has have in is it la le mit o of on or said says that the to und was were who will with y".split())
+_BY_TITLE = {t.rstrip(".").lower(): t for ts in TITLES.values() for t in ts}
 #: What must be in a text for a pattern to be tried.
 _HAS_DIGIT = re.compile(r"\d")
 _DIGITS = re.compile(
@@ -70,13 +80,40 @@ _DIGITS = re.compile(
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d))"
-    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|0\d{2,4}[ /-]\d{3,}(?:[ -]?\d{2,4})*)(?!\w))"
-    r"|(?P<secret>(?<!\w)(?:(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{24,}|(?:sk|pk|ghp|gho|xox[abp]|AKIA|eyJ)[-_]?(?=\w*\d)[A-Za-z0-9_-]{16,}|(?=[A-Za-z_-]*\d)(?=\w*[a-z])(?=\w*[A-Z])[A-Za-z0-9_-]{28,})(?!\w))"
+    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|0\d{2,4}[ /-]\d{3,}+(?:[ -]\d{2,}+)*)(?!\w))"
+    r"|(?P<secret>(?<!\w)(?:(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{24,}|(?:sk|pk|ghp|gho|xox[abp]|AKIA|eyJ)[-_]?(?=\w*\d)[A-Za-z0-9_-]{16,})(?!\w))"
+    r"|(?P<ip6>(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![\w:]|\.\d))"
 )
+_KEY = re.compile(r"[A-Za-z0-9_-]{28,}+")
+_CASES = re.compile(r"(?=[^A-Z]*[A-Z])[^a-z]*[a-z]")
+_LAST_DIGIT = re.compile(r".*[0-9]", re.DOTALL)
 _EMAIL = re.compile(r"(?<![\w.+-])[\w.+-]*[\w+-]@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,}(?![\w-])")
 _VOWELS = {"latin": "aeiou", "cyrillic": "аеёиоуыэюя", "greek": "αεηιουω"}
 
 
+def _keys(text: str) -> list[tuple[int, int, str]]:
+    """Runs of 28 characters or more of an alphabet of keys, from the first part between dashes on that has letters of both cases, with a
+    digit behind its beginning.  Each run is gone through once."""
+    out = []
+    for m in _KEY.finditer(text):
+        start, end = m.span()
+        if end < len(text) and (text[end].isalnum() or text[end] == "_"):
+            end = text.rfind("-", start, end)  # what a letter follows belongs to a word
+        digit = _LAST_DIGIT.match(text, start, m.end())
+        last = min(end - 28, digit.end() - 1 if digit else -1)
+        at = start
+        if at and (text[at - 1].isalnum() or text[at - 1] == "_"):
+            at = text.find("-", start, end) + 1 or end
+        while at <= last:
+            stop = text.find("-", at, m.end())
+            stop = m.end() if stop < 0 else stop
+            if _CASES.match(text, at, stop):
+                out.append((at, end, "secret"))
+                break
+            at = stop + 1
+    return out
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, type) of the entities, left to right, without overlap."""
     spans = []
@@ -84,10 +121,13 @@ def find(text: str) -> list[tuple[int, int, str]]:
         spans += [(m.start(), m.end(), "email") for m in _EMAIL.finditer(text)]
     if _HAS_DIGIT.search(text):
         for m in _DIGITS.finditer(text):
-            spans.append((m.start(), m.end(), m.lastgroup if m.lastgroup != "sep" else "card"))
+            if m.lastgroup != "ip6" or _is_ip6(m[0]):
+                spans.append((m.start(), m.end(), m.lastgroup if m.lastgroup != "sep" else "card"))
+        spans += _keys(text)
     for m in _PERSON.finditer(text):
         g = "names" if m["names"] else "full"
         spans.append((m.start(g), m.end(g), "person" + _gender_of(m["title"])))
+    spans += _odd_names(text)
     spans.sort(key=lambda s: (s[0], -s[1]))
     out, end = [], 0
     for s in spans:
@@ -97,6 +137,33 @@ def find(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _odd_names(text: str) -> list[tuple[int, int, str]]:
+    """Names in capitals or, after a title, in small letters."""
+    out = []
+    for m in _CAPITALS.finditer(text):
+        title = _BY_TITLE.get((m["title"] or "").rstrip(".").lower())
+        words = re.split("[  ]", m["names"])
+        if title or m["first"].capitalize() in _GENDER and len(words) > 1:
+            out.append((*m.span("names"), "person" + _gender_of(title)))
+        elif m["title"] and m["title"].capitalize() in _GENDER:  # the first word taken for a title is the given name
+            out.append((m.start("title"), m.end("names"), "person"))
+    for m in _SMALL.finditer(text):
+        if m["first"] in _NO_NAME:
+            continue
+        end = m.end("second") if m["second"] and m["first"].capitalize() in _GENDER and m["second"] not in _NO_NAME else m.end("first")
+        out.append((m.start("first"), end, "person" + _gender_of(_BY_TITLE.get(m["title"].rstrip(".").lower()))))
+    return out
+
+
+def _is_ip6(s: str) -> bool:
+    try:
+        ipaddress.IPv6Address(s)
+    except ValueError:
+        return False
+    # Names in programs look like short ones (a::b).
+    return len(re.findall("[0-9A-Fa-f]", s)) >= 4 and any(c.isdigit() for c in s)
+
+
 def _gender_of(title: str | None) -> str:
     return next((":" + g for g, ts in TITLES.items() if g and title in ts), "")
 
@@ -226,6 +293,9 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
         if more:  # IPv4 has no longer form: an IPv6 address of the documentation range
             return "2001:db8:" + ":".join(re.findall("....", f"{permute(n, 1 << 96, key, t):024x}"))
         return ".".join(map(str, permute(n, 1 << 32, key, t).to_bytes(4, "big")))
+    if kind == "ip6":
+        n = permute(int(ipaddress.IPv6Address(value)), 1 << 128, key, t)
+        return ipaddress.IPv6Address(n).exploded if more == 0 else f"{ipaddress.IPv6Address(n).exploded}%{more}"
     if kind == "phone":
         m = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d\d?", value)
         head = m[0] if m else ""
@@ -239,6 +309,9 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
         return head + _spell(_longer(rest, attempt, hexa), key, t, hexa=hexa)
     # A part of a name.
     if kind in ("listed", "alone"):
+        if value not in _GENDER:  # in capitals or small letters
+            new = surrogate(kind, value.capitalize(), key, attempt)
+            return new.upper() if value.isupper() else new.lower()
         names = GIVEN[_GENDER[value]]
         cycle = [names[permute(i, len(names), key, f"given|{_GENDER[value]}")] for i in range(len(names))]
         return cycle[(cycle.index(value) + 1) % len(names)]
@@ -263,7 +336,7 @@ def pieces(kind: str, value: str) -> list[tuple[str, str]]:
     for i, p in enumerate(parts):
         if i % 2:
             out.append(("", p))
-        elif p in _GENDER and i < last:
+        elif (p in _GENDER or (p.isupper() or p.islower()) and p.capitalize() in _GENDER) and i < last:
             out.append(("listed", p))
         elif p in _GENDER and last == 0:
             out.append(("alone" if gender in ("", _GENDER[p][0]) else "surname", p))
