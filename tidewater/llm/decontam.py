@@ -13,6 +13,11 @@ an automaton.  A benchmark of one part, which is the rule, costs one pass over t
 a larger one costs a pass a part, with the same results.  No limit on hits; a document is handled on
 its own.
 
+A piece that many items share (templates: "Which of the following ...") is screened for all of them at once: where it
+occurs, the items are run through the text as a trie, whose rows are bit vectors over the text (the same algorithm
+turned round), so that what items have in common is worked out once and a branch ends where no place can come near any more.
+Only items that pass, and only where they pass, are verified one by one.
+
 Defined results: null or empty texts hold nothing; an item with no word is never found; an item too
 short for an edit is only found as whole words; an item that occurs several times in a document gives
 one row, its best place (least distance, then leftmost end, then shortest span); equal items are found under
@@ -22,10 +27,11 @@ each of their ids; documents with no item give no row in ``find_leaks``.  A null
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +41,10 @@ from tidewater.llm.shared import col, map_arrow, scratch, table
 
 RATE = 0.08
 PART_CHARS = 4_000_000
+#: Items that share a piece from which on they are screened together, and rows between looks at how near the best place is.
+WIDE, LOOK = 6, 12
+#: Characters between the first and last place of a stretch of text that is screened at once.
+STRETCH = 1 << 16
 _WORD = re.compile(r"\w+")
 
 
@@ -80,6 +90,62 @@ def bit_masks(pattern: str) -> dict[str, int]:
     return peq
 
 
+def _heights(vp: int, vn: int, size: int) -> np.ndarray:
+    """What bit vectors of steps up and down add up to, place by place."""
+    n = -(-size // 8)
+    up, down = (np.unpackbits(np.frombuffer(v.to_bytes(n, "little"), np.uint8), bitorder="little", count=size).astype(np.int32) for v in (vp, vn))
+    return np.cumsum(up - down)
+
+
+class Trie:
+    """Items (text, edits allowed) in order, ready to be run through texts together."""
+
+    def __init__(self, items: list[tuple[str, int]]):
+        self.order = sorted(range(len(items)), key=lambda i: items[i][0])
+        self.items = items
+        self.shared, before = [], ""
+        for i in self.order:
+            t = items[i][0]
+            n = 0
+            while n < min(len(t), len(before)) and t[n] == before[n]:
+                n += 1
+            self.shared.append(n)
+            before = t
+
+    def ends(self, text: str) -> dict[int, list[int]]:
+        """For each item that is within its edits of some part of the text: where such parts end."""
+        full, peq = (1 << len(text)) - 1, bit_masks(text)
+        # states[d]: after d characters of the item; mins: (d, least distance then) at some d.
+        states, mins, out = [(0, 0)], [], {}
+        for i, shared in zip(self.order, self.shared, strict=True):
+            item, k = self.items[i]
+            del states[shared + 1 :]
+            while mins and mins[-1][0] > shared:
+                mins.pop()
+            if mins and mins[-1][1] > k:
+                continue
+            vp, vn = states[-1]
+            for d in range(len(states), len(item) + 1):
+                eq = peq.get(item[d - 1], 0)
+                d0 = ((((eq & vp) + vp) ^ vp) | eq | vn) & full
+                hp = vn | (full & ~(d0 | vp))
+                hn = d0 & vp
+                hp = (hp << 1 | 1) & full
+                vp = ((hn << 1) | (full & ~(d0 | hp))) & full
+                vn = hp & d0
+                states.append((vp, vn))
+                if d % LOOK == 0:
+                    mins.append((d, d + min(0, int(_heights(vp, vn, len(text)).min()))))
+                    if mins[-1][1] > k:
+                        break
+            else:
+                far = len(item) + _heights(vp, vn, len(text))
+                at = np.flatnonzero(far <= k)
+                if len(at):
+                    out[i] = (at + 1).tolist()
+        return out
+
+
 class Benchmark:
     """The items (id, normalised text) of a part of a benchmark, ready to search texts for."""
 
@@ -97,8 +163,19 @@ class Benchmark:
         for n, (_, t, k, _) in enumerate(self.items):
             for off, p in pieces(t, k):
                 at.setdefault(p, []).append((n, off))
+        #: The pieces that many items share: where each of these has the piece.
+        self.wide: list[dict[int, list[int]]] = []
+        self.tries: dict[tuple[int, ...], tuple[list[int], Trie]] = {}
         for p, places in at.items():
-            self.machine.add_word(p, (len(p), places))
+            group = None
+            if len(places) >= WIDE and all(self.items[n][2] for n, _ in places):
+                group = len(self.wide)
+                self.wide.append({})
+                for n, off in places:
+                    self.wide[-1].setdefault(n, []).append(off)
+            self.machine.add_word(p, (len(p), places, group))
+        spans = [(off + self.items[n][2], len(self.items[n][1]) - off + self.items[n][2]) for of in self.wide for n, offs in of.items() for off in offs]
+        self.back, self.ahead = (max((s[i] for s in spans), default=0) for i in (0, 1))
         if at:
             self.machine.make_automaton()
 
@@ -109,9 +186,15 @@ class Benchmark:
             return []
         t = f" {t} "
         starts: dict[int, list[int]] = {}
-        for end, (length, places) in self.machine.iter(t):
+        wide: list[tuple[int, int]] = []
+        for end, (length, places, group) in self.machine.iter(t):
+            if group is not None:
+                wide.append((end + 1 - length, group))
+                continue
             for n, off in places:
                 starts.setdefault(n, []).append(end + 1 - length - off)
+        for n, start in self._screened(t, sorted(wide)):
+            starts.setdefault(n, []).append(start)
         out = []
         for n, found in starts.items():
             ids, p, k, peq = self.items[n]
@@ -136,6 +219,34 @@ class Benchmark:
                 out += [(i, d, e - size - 1, e - 1) for i in ids]
         return out
 
+    def _screened(self, t: str, at: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+        """(item, start) for the places ``at`` in t of pieces that many items share, of the items that the text there comes near to."""
+        i = 0
+        while i < len(at):
+            j = i + 1
+            while j < len(at) and at[j][0] - self.back <= at[j - 1][0] + self.ahead and at[j][0] - at[i][0] < STRETCH:
+                j += 1
+            a, b = max(1, at[i][0] - self.back), min(len(t) - 1, at[j - 1][0] + self.ahead)
+            numbers, trie = self._trie(tuple(sorted({g for _, g in at[i:j]})))
+            near = {numbers[x]: ends for x, ends in trie.ends(t[a:b]).items()}
+            for place, g in at[i:j]:
+                for n in near.keys() & self.wide[g].keys():
+                    p, k = self.items[n][1], self.items[n][2]
+                    for off in self.wide[g][n]:
+                        # An end of the item's part lies within the window that this place opens.
+                        e = bisect_left(near[n], place - off - k - a)
+                        if e < len(near[n]) and near[n][e] <= place - off + len(p) + k - a:
+                            yield n, place - off
+            i = j
+
+    def _trie(self, groups: tuple[int, ...]) -> tuple[list[int], Trie]:
+        if groups not in self.tries:
+            if len(self.tries) >= 32:
+                self.tries.clear()
+            numbers = sorted({n for g in groups for n in self.wide[g]})
+            self.tries[groups] = numbers, Trie([(self.items[n][1], self.items[n][2]) for n in numbers])
+        return self.tries[groups]
+
 
 def _parts(benchmark: DataFrame, part_chars: int) -> Iterator[list[tuple[int | None, str]]]:
     """The normalised items, part by part; every part is read from the benchmark on its own."""
