@@ -258,12 +258,37 @@ def test_any_weights(spark, weights):
         assert all(abs(count[x] - t * exact[x]) < 1 for x in weights)
 
 
-def test_schedule_in_several_jobs(spark, monkeypatch):
-    df = spark.createDataFrame([("a", 300), ("b", 299), ("c", 101)], "source string, share long")
-    whole = mixing.schedule(df).orderBy("offset").collect()
-    monkeypatch.setattr(mixing, "SLOTS", 128)
+def fold(share, n):
+    """The schedule slot by slot."""
+    q, done, out = sum(a for _, a in share), [0] * len(share), []
+    for t in range(n):
+        _, i = min((-(-(done[i] + 1) * q // a), i) for i, (_, a) in enumerate(share) if done[i] * q // a <= t)
+        out.append((share[i][0], done[i]))
+        done[i] += 1
+    return out
+
+
+@pytest.mark.parametrize("shares", [[300, 299, 101], [3, 5, 7, 11, 13, 1, 1, 900, 30, 29], [123456789, 500000000, 376543211], [999_999_999_989, 3, 700_000_000_001], [1]])
+def test_ranges_make_one_schedule(spark, monkeypatch, shares):
+    share = [(f"s{i:02}", a) for i, a in enumerate(shares)]
+    n = min(3000, sum(shares))
+    df = spark.createDataFrame(share, "source string, share long")
     monkeypatch.setattr(mixing, "RUN", 16)
-    assert mixing.schedule(df).orderBy("offset").collect() == whole and len(whole) == 700
+    want = fold(share, n)
+    for run in (30, 128, 10**6):
+        assert [(r.source, r.k) for r in mixing.schedule(df, n, run).orderBy("offset").collect()] == want
+
+
+def test_a_period_of_a_billion(spark):
+    """Every block within its window, every slot once, and many tasks."""
+    share = {"a": 123456789, "b": 500000000, "c": 376543211}
+    q, n = sum(share.values()), 400_000
+    plan = mixing.schedule(spark.createDataFrame(sorted(share.items()), "source string, share long"), n)
+    assert plan.rdd.getNumPartitions() == n // mixing.SLOTS
+    late = plan.where("offset < k * cast(period AS decimal(20)) div share OR offset >= -((-(k + 1) * cast(period AS decimal(20))) div share) + 1")
+    assert plan.count() == plan.select("offset").distinct().count() == n and late.count() == 0
+    counts = {r.source: r["count"] for r in plan.groupBy("source").count().collect()}
+    assert all(abs(counts[s] - n * a / q) < 1 for s, a in share.items())
 
 
 # ---- decontamination

@@ -5,8 +5,15 @@ w = a/Q, block j (from 0) is released at slot floor(j/w) and due by slot ceil((j
 in every slot the released block with the earliest deadline goes.  All weights sum to
 one, so every block meets its window and no source is ever a whole block ahead of or
 behind its share.  The order repeats after Q slots, so one period (or as many slots of it as the
-sources have blocks for, if that is less) is worked out as a SQL fold over one row, ``SLOTS`` slots
-a job, and every document finds its slot by arithmetic.
+sources have blocks for, if that is less) is worked out, and every document finds its slot by arithmetic.
+
+The slots are worked out in ranges, side by side, each a SQL fold over one row.  Where a range begins, each
+source has had floor or ceil of its share, which is known but for who had the last one.  So a range starts one
+longest window early, from the state in which the open blocks that are due last are still to come.  That state has,
+for every deadline, no more blocks to do than the true one, and as many in all.  With blocks of deadlines up to the range's
+first slot the true schedule is done there, so is this one; of later deadlines both have had the same number since the
+start.  So both are in the same state there, and the ranges make one schedule (the queues with deadlines up
+to d follow n -> max(n + new - 1, 0) in both).
 
 Weights are any numbers of 0 or more, taken exactly as written: their ratio in whole numbers gives Q.
 
@@ -36,66 +43,80 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.shared import col, columns, table
 
-#: Slots that one job works out, and of these that one array grows to.
-SLOTS, RUN = 1_000_000, 1_000
+#: Slots of a range at least, slots that one array grows to, and tasks that work ranges out at most.
+SLOTS, RUN, MOST_TASKS = 20_000, 500, 10_000
 CHUNK_DIGITS = 3
 #: The query's target weights, in hundredths.
 TARGET = {f"src{i}": 8 if i < 5 else 6 if i < 10 else 3 for i in range(20)}
 BLOCK_CHARS = 32_768
 
 
-def schedule(weights: DataFrame, slots: int | None = None) -> DataFrame:
+def schedule(weights: DataFrame, slots: int | None = None, run: int = SLOTS) -> DataFrame:
     """(source, share, k, offset, period): slot ``offset`` of each period belongs to block k
-    (mod share) of source, for weights (source, share); only the first ``slots`` of a period if given."""
-    one = weights.where("share > 0").agg(F.sort_array(F.collect_list(F.struct("source", "share"))).alias("w"), F.sum("share").alias("q"))
-    one = one.where(F.col("q").isNotNull())
-    total = one.select("q").first()
-    period = total.q if total else 0
-    n = min(period, slots or period)
-    state = one.withColumn("done", F.transform("w", lambda x: F.lit(0).cast("long")))
-    parts = []
-    for at in range(0, max(n, 1), SLOTS):
-        state = state.select("w", "q", _fold(at, min(at + SLOTS, n)).alias("f")).select("w", "q", "f.done", "f.out")
-        if n > SLOTS:
-            state = table(state, "slots")
-        parts.append(state.select("q", "w", F.posexplode(F.flatten("out")).alias("p", "i")).withColumn("offset", F.col("p") + F.lit(at).cast("long")))
-    slots_ = parts[0]
-    for p in parts[1:]:
-        slots_ = slots_.unionByName(p)
-    slots_ = slots_.select(F.expr("w[i].source").alias("source"), F.expr("w[i].share").alias("share"), "offset", F.col("q").alias("period"))
-    k = F.row_number().over(Window.partitionBy("source").orderBy("offset")) - 1
-    return slots_.select("source", "share", k.cast("long").alias("k"), F.col("offset").cast("long").alias("offset"), "period")
-
-
-def _fold(first: int, end: int) -> Column:
-    """Struct (done, out) after the slots first..end-1: the blocks that each source has had, and the sources' indexes, RUN a row."""
-    q, w = F.col("q"), F.col("w")
-
-    def pick(done, t):
-        """The index of the released block with the earliest deadline."""
-        ready = F.transform(
-            F.arrays_zip(w.alias("w"), done.alias("d")),
-            lambda x, i: F.when(
-                F.floor(x["d"] * q / x["w"]["share"]) <= t,
-                F.struct(F.ceil((x["d"] + 1) * q / x["w"]["share"]).alias("due"), i.alias("i")),
-            ),
-        )
-        return F.array_min(ready)["i"]
-
-    def step(acc, t):
-        # In an array of one, so that the pick is worked out once.
-        def add(i):
-            return F.struct(F.transform(acc["done"], lambda d, k: d + (k == i).cast("long")).alias("done"), F.concat(acc["out"], F.array(i)).alias("out"))
-
-        return F.get(F.transform(F.array(pick(acc["done"], t)), add), F.lit(0))
-
-    def run(acc, t):
-        last = F.least(t + (RUN - 1), F.lit(end - 1).cast("long"))
-        start = F.struct(acc["done"].alias("done"), F.array().cast("array<int>").alias("out"))
-        return F.aggregate(F.sequence(t, last), start, step, lambda a: F.struct(a["done"].alias("done"), F.concat(acc["out"], F.array(a["out"])).alias("out")))
-
-    runs = F.sequence(F.lit(first).cast("long"), F.lit(max(end - 1, first)).cast("long"), F.lit(RUN).cast("long"))
-    return F.aggregate(runs, F.struct(F.col("done"), F.array().cast("array<array<int>>").alias("out")), run)
+    (mod share) of source, for weights (source, share); only the first ``slots`` of a period if given.
+
+    The slots are cut into ranges of at least ``run``, a row and so a task each."""
+    spark = weights.sparkSession
+    listed = sorted((r.source, r.share) for r in weights.where("share > 0").select("source", "share").collect())
+    q = sum(a for _, a in listed)
+    n = min(q, slots or q)
+    warm = max((-(-q // a) for _, a in listed), default=0) + 1
+    size = max(run, 4 * warm)
+    ranges = max(1, -(-n // size)) if n else 0
+    w = "array(" + ", ".join(f"named_struct('a', {a}L, 'whole', {q // a}L, 'rest', {q % a}L)" for _, a in listed) + ")"
+    first, start = f"(id * {size}L)", f"greatest(id * {size}L - {warm}L, 0L)"
+    rows = spark.range(0, ranges, 1, max(1, min(ranges, MOST_TASKS))).select(
+        F.expr(start).alias("start"), F.expr(first).alias("first"), F.expr(f"least({first} + {size}L, {n}L)").alias("end"), F.expr(w if listed else "cast(array() AS array<struct<a: bigint, whole: bigint, rest: bigint>>)").alias("w")
+    )
+    rows = rows.select("first", "end", "w", "start", F.expr(_blocks(q)).alias("s")).select("first", "end", "w", "start", F.expr(_begun(q)).alias("s"))
+    rows = rows.select("first", "end", "w", F.expr(f"if(start < first, aggregate(sequence(start, first - 1), s, (s, t) -> {_step('s')}.s), s)").alias("s"))
+    # In arrays of ``RUN``, as an array is written anew for every slot that it grows by.
+    inner = f"""aggregate(sequence(t, least(t + {RUN - 1}, end - 1)), named_struct('s', got.s, 'out', cast(array() AS array<struct<i: int, k: bigint>>)),
+      (x, t) -> transform(array({_step('x.s')}), y -> named_struct('s', y.s, 'out', concat(x.out, array(y.hit))))[0])"""
+    out = f"""aggregate(sequence(first, end - 1, {RUN}L), named_struct('s', s, 'out', cast(array() AS array<array<struct<i: int, k: bigint>>>)),
+      (got, t) -> transform(array({inner}), z -> named_struct('s', z.s, 'out', concat(got.out, array(z.out))))[0]).out"""
+    found = rows.where("first < end").select("first", F.posexplode(F.flatten(F.expr(out))).alias("p", "hit"))
+    names = F.array(*[F.struct(F.lit(s).alias("source"), F.lit(a).cast("long").alias("share")) for s, a in listed]) if listed else F.expr("cast(array() AS array<struct<source: string, share: bigint>>)")
+    of = names[F.col("hit.i")]
+    return found.select(of["source"].alias("source"), of["share"].alias("share"), F.col("hit.k").alias("k"), (F.col("first") + F.col("p")).alias("offset"), F.lit(q).cast("long").alias("period"))
+
+
+def _big(x: str) -> str:
+    """Products of two longs need more digits than a long has."""
+    return f"cast({x} AS decimal(19, 0))"
+
+
+def _blocks(q: int) -> str:
+    """For each source the block j whose window holds the place before slot ``start`` or begins there: its number, where it is released
+    (f), where it ends in whole slots (nf) and what is over (nm, in parts of a slot), and whether it is released already."""
+    j = f"cast({_big('start')} * {_big('x.a')} div {_big(f'{q}L')} AS bigint)"
+    ends = f"{_big('y.j + 1')} * {_big(f'{q}L')}"
+    return f"""transform(transform(w, x -> named_struct('j', {j}, 'a', x.a)), (y, i) -> named_struct(
+      'j', y.j, 'f', cast({_big('y.j')} * {_big(f'{q}L')} div {_big('y.a')} AS bigint), 'nf', cast({ends} div {_big('y.a')} AS bigint), 'nm', cast({ends} % {_big('y.a')} AS bigint),
+      'open', {_big('start')} * {_big('y.a')} % {_big(f'{q}L')} <> 0, 'i', i))"""
+
+
+def _due(x: str) -> str:
+    return f"({x}.nf + if({x}.nm > 0, 1L, 0L))"
+
+
+def _next(x: str, w: str) -> str:
+    more = f"({x}.nm + {w}.rest >= {w}.a)"
+    return f"named_struct('j', {x}.j + 1, 'f', {x}.nf, 'nf', {x}.nf + {w}.whole + if({more}, 1L, 0L), 'nm', {x}.nm + {w}.rest - if({more}, {w}.a, 0L))"
+
+
+def _begun(q: int) -> str:
+    """The state to start from: of the open blocks as many are still to come as slots lack, those due last."""
+    waiting = "cast(aggregate(s, 0L, (n, x) -> n + x.j + if(x.open, 1L, 0L)) - start AS int)"
+    last = f"slice(sort_array(transform(filter(s, x -> x.open), x -> struct({_due('x')} AS due, x.i AS i)), false), 1, {waiting})"
+    plain = "named_struct('j', x.j, 'f', x.f, 'nf', x.nf, 'nm', x.nm)"
+    return f"transform(array({last}), late -> transform(s, (x, i) -> if(x.open AND NOT exists(late, y -> y.i = i), {_next('x', 'w[i]')}, {plain})))[0]"
+
+
+def _step(s: str) -> str:
+    """Struct (s, hit) after slot t: of the released blocks the one that is due first goes (ties: the first source)."""
+    pick = f"array_min(transform({s}, (x, i) -> if(x.f <= t, struct({_due('x')} AS due, i AS i), NULL))).i"
+    return f"transform(array({pick}), p -> named_struct('s', transform({s}, (x, i) -> if(i = p, {_next('x', 'w[i]')}, x)), 'hit', named_struct('i', p, 'k', {s}[p].j)))[0]"
 
 
 def shares(weights: dict[str, float]) -> dict[str, int]:
@@ -135,10 +156,10 @@ def mix(
     listed = spark.createDataFrame([(s, a, blocks[s]) for s, a in sorted(share.items())], "source string, share long, blocks long")
     need = max((-(-(blocks[s] + 1) * period // a) + 1 for s, a in share.items()), default=0)
     plan = schedule(listed, need).join(F.broadcast(listed.select("source", "blocks")), "source")
+    plan = table(plan, "plan")
     # The slot of the first block that a source does not have ends the exact part of the mixture.
-    end = F.when(F.col("blocks") % F.col("share") == F.col("k"), F.floor(F.col("blocks") / F.col("share")) * F.col("period") + F.col("offset"))
-    plan = plan.withColumn("horizon", F.min(end).over(Window.partitionBy(F.lit(0))))
-    plan = table(plan.select(*[F.col(c).alias(f"__m_p_{c}") for c in ("source", "share", "k", "offset", "period", "horizon")]), "plan")
+    ends = plan.where(F.expr("blocks % share = k")).agg(F.min(F.expr("(blocks div share) * period + offset"))).first()[0]
+    plan = plan.select(*[F.col(c).alias(f"__m_p_{c}") for c in ("source", "share", "k", "offset", "period")])
     inside = Window.partitionBy("__m_s", "__m_c").orderBy("__m_h", col(id_col), "__m_n").rowsBetween(Window.unboundedPreceding, -1)
     out = rows.withColumns({"__m_in": F.coalesce(F.sum("__m_n").over(inside), F.lit(0)), "__m_rin": F.count(F.lit(1)).over(inside)})
     out = out.join(offsets, ["__m_s", "__m_c"])
@@ -150,11 +171,11 @@ def mix(
     })
     key = F.when(F.col("__m_share") > 0, F.col("__m_block") % F.col("__m_share"))
     out = out.join(plan, (F.col("__m_s") == F.concat(F.lit("s"), F.col("__m_p_source"))) & (key == F.col("__m_p_k")), "left")
-    slot = F.floor(F.col("__m_block") / F.col("__m_p_share")) * F.col("__m_p_period") + F.col("__m_p_offset")
+    slot = F.expr("(__m_block div __m_p_share) * __m_p_period + __m_p_offset")
     return out.select(
         *columns(docs, "mix_block", "mix_slot", "mix_rank", "mixed"),
         F.col("__m_block").alias("mix_block"), slot.alias("mix_slot"), F.col("__m_rank").alias("mix_rank"),
-        F.coalesce(slot < F.col("__m_p_horizon"), F.lit(False)).alias("mixed"),
+        F.coalesce(slot < F.lit(ends).cast("long"), F.lit(False)).alias("mixed"),
     )
 
 
