@@ -74,7 +74,8 @@ def frame_stack(x: str, k: int, order: Names, by: Names = (), newest_first: bool
 
 def discounted(reward: str, gamma: float, order: Names, by: Names = ()) -> Column:
     """Discounted reward, reset at every non-zero reward: the next non-zero reward from here on times
-    gamma to the power of its distance; 0 after the last one."""
+    gamma to the power of its distance; 0 after the last one.  For groups that a task can hold; ordered.discounted
+    takes any."""
     w = Window.partitionBy(*by).orderBy(*[F.col(c).desc() for c in order])  # backwards, so that the frame grows by a row at a time
     left = F.row_number().over(w)
     hit = F.when(F.col(reward) != 0, F.struct(left.alias("left"), F.col(reward).alias("r")))
@@ -155,27 +156,3 @@ def shuffled(df: DataFrame, key: str, salt: str = "") -> DataFrame:
 
 def linear_schedule(t: Column, start: float, end: float, steps: int) -> Column:
     return F.lit(start) + F.lit(end - start) * F.least(t, F.lit(steps - 1)) / (steps - 1)
-
-
-#: Rows of a group that recurrence() composes into one step.
-CHUNK = 1024
-
-
-def recurrence(df: DataFrame, by: Names, order: str, factor: str, add: str, start: Column) -> DataFrame:
-    """x_i = x_(i-1) * factor_i + add_i along ``order`` in each group.
-
-    The rows are sorted over the whole cluster and up to CHUNK neighbours of a group composed into one step
-    (product of the factors, sum), so that a large group is spread over tasks; only those steps meet in one."""
-    rows = df.select(*by, F.col(order).alias("at"), F.col(factor).alias("k"), F.col(add).alias("e"), start.alias("x0"))
-    # After the sort the id counts positions, within 2^33 of each partition.
-    rows = rows.repartitionByRange(*by, "at").sortWithinPartitions(*by, "at").withColumn("chunk", F.expr(f"monotonically_increasing_id() div {CHUNK}"))
-    inside = F.array_sort(F.collect_list(F.struct("at", "k", "e")))
-    steps = rows.groupBy(*by, "chunk").agg(inside.alias("rows"), F.first("x0").alias("x0"))
-    first = F.get("rows", F.lit(0))  # the start, as a literal one would make the sum non-nullable
-    head = F.struct(first["k"].cast("double").alias("k"), first["e"].cast("double").alias("e"))
-    step = F.aggregate(F.slice("rows", 2, CHUNK), head, lambda s, r: F.struct((s["k"] * r["k"]).cast("double").alias("k"), (s["e"] * r["k"] + r["e"]).cast("double").alias("e")))
-    steps = steps.select(*by, "chunk", "x0", step.alias("s"))
-    g = steps.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("chunk", "s", "x0"))).alias("steps"))
-    # At 0 a product that overflows doesn't count.
-    x = F.aggregate("steps", F.get("steps", F.lit(0))["x0"].cast("double"), lambda x, c: F.when(x == 0, c["s"]["e"]).otherwise(x * c["s"]["k"] + c["s"]["e"]))
-    return g.select(*by, x.alias("x"))

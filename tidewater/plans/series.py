@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.operators import ordered as O
 from tidewater.operators import series as S
 from tidewater.plans.registry import load, query
 
@@ -97,16 +98,16 @@ g AS (SELECT event_id, user_id, coalesce(nv * pow(0.99e0, nr - rn), 0e0) AS disc
 
 @query("discounted_reward", f"{_DISC} SELECT event_id, round(disc, 6) AS disc FROM g")
 def discounted_reward(spark, d):
-    return rewards(spark, d).select("event_id", F.round(S.discounted("reward", 0.99, ["ts", "event_id"], ["user_id"]), 6).alias("disc"))
+    r = O.discounted(rewards(spark, d), "reward", 0.99, ["ts", "event_id"], ["user_id"])
+    return r.select("event_id", F.round("disc", 6).alias("disc"))
 
 
 @query("discounted_reward_z", f"""{_DISC}
 SELECT event_id, round((disc - avg(disc) OVER u) / nullif(stddev_pop(disc) OVER u, 0), 6) AS z FROM g WINDOW u AS (PARTITION BY user_id)""")
 def discounted_reward_z(spark, d):
-    r = rewards(spark, d).select("event_id", "user_id", S.discounted("reward", 0.99, ["ts", "event_id"], ["user_id"]).alias("disc"))
-    u = Window.partitionBy("user_id")
-    z = F.try_divide(F.col("disc") - F.avg("disc").over(u), F.stddev_pop("disc").over(u))
-    return r.select("event_id", F.round(z, 6).alias("z"))
+    r = O.discounted(rewards(spark, d), "reward", 0.99, ["ts", "event_id"], ["user_id"]).select("event_id", "user_id", "run", "disc")
+    r = O.with_group_totals(r, ["user_id"], {"mu": F.avg("disc"), "sd": F.stddev_pop("disc")})
+    return r.select("event_id", F.round(F.try_divide(F.col("disc") - F.col("mu"), F.col("sd")), 6).alias("z"))
 
 
 @query("seq_windows", """
@@ -134,8 +135,12 @@ SELECT event_id, value AS f0, coalesce(lag(value, 1) OVER w, first_value(value)
   coalesce(lag(value, 3) OVER w, first_value(value) OVER w) AS f3
 FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)""")
 def frame_stack_newest_first(spark, d):
-    f = S.frame_stack("value", 4, ["ts", "event_id"], ["event_type"], newest_first=True)
-    return load(spark, d, "events").select("event_id", f.alias("f")).select("event_id", *[F.get("f", F.lit(i)).alias(f"f{i}") for i in range(4)])
+    """Five types share all rows, so each is cut into blocks that bring the three rows before them along."""
+    e = load(spark, d, "events").select("event_id", "ts", "event_type", "value")
+    rows, _ = O.haloed(O.numbered(e, ["event_type"], ["ts", "event_id"]), ["event_type"], 3)
+    f = S.frame_stack("value", 4, ["rn"], ["event_type", "block"], newest_first=True)
+    rows = rows.select("event_id", "halo", f.alias("f")).where("NOT halo")
+    return rows.select("event_id", *[F.get("f", F.lit(i)).alias(f"f{i}") for i in range(4)])
 
 
 @query("replay_tail", """
@@ -175,8 +180,7 @@ def lap_timer(spark, d):
 SELECT event_id, round(1.0e0 - 0.9e0 * least(rn - 1, 499) / 499, 6) AS eps, CASE WHEN rn > 550 THEN 0.01e0 WHEN rn > 200 THEN 0.05e0 ELSE 0.1e0 END AS lr
 FROM (SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events)""")
 def eps_schedule(spark, d):
-    t = F.row_number().over(S.over(["ts", "event_id"], ["event_type"]))
-    e = load(spark, d, "events").select("event_id", t.alias("rn"))
+    e = O.numbered(load(spark, d, "events").select("event_id", "ts", "event_type"), ["event_type"], ["ts", "event_id"])
     lr = F.when(F.col("rn") > 550, 0.01).when(F.col("rn") > 200, 0.05).otherwise(0.1)
     return e.select("event_id", F.round(S.linear_schedule(F.col("rn") - 1, 1.0, 0.1, 500), 6).alias("eps"), lr.alias("lr"))
 
@@ -195,7 +199,18 @@ t AS (SELECT user_id, 0e0 AS x, CAST(0 AS BIGINT) AS rn FROM (SELECT DISTINCT us
 SELECT user_id, round(arg_max(x, rn), 4) AS x FROM t GROUP BY user_id""")
 def decay_deposit(spark, d):
     e = load(spark, d, "events").select("user_id", F.struct("ts", "event_id").alias("at"), F.lit(0.9).alias("k"), F.col("value").alias("e"))
-    return S.recurrence(e, ["user_id"], "at", "k", "e", F.lit(0.0)).select("user_id", F.round("x", 4).alias("x"))
+    return O.recurrence(e, ["user_id"], "at", "k", "e", F.lit(0.0)).select("user_id", F.round("x", 4).alias("x"))
+
+
+@query("decay_deposit_steps", """
+WITH RECURSIVE e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+t AS (SELECT user_id, CAST(NULL AS BIGINT) AS event_id, 0e0 AS x, CAST(0 AS BIGINT) AS rn FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL SELECT t.user_id, e.event_id, t.x * 0.9e0 + e.value, e.rn FROM t JOIN e ON e.user_id = t.user_id AND e.rn = t.rn + 1)
+SELECT user_id, event_id, round(x, 4) AS x FROM t WHERE rn > 0""")
+def decay_deposit_steps(spark, d):
+    """What is left of all deposits after every one."""
+    e = load(spark, d, "events").select("user_id", F.struct("ts", "event_id").alias("at"), F.lit(0.9).alias("k"), F.col("value").alias("e"))
+    return O.recurrence_steps(e, ["user_id"], "at", "k", "e", F.lit(0.0)).select("user_id", "at.event_id", F.round("x", 4).alias("x"))
 
 
 @query("autoregressive_forecast", f"""
