@@ -28,25 +28,6 @@ def test_within_and_clear_of(spark):
     assert R.clear_of(pa, pb.limit(0), 0.5).count() == 61 and G.within(pa.limit(0), pb, 0.5).count() == 0
 
 
-@pytest.mark.parametrize("block", [3, 4096])
-def test_nearest_segment(spark, monkeypatch, block):
-    monkeypatch.setattr(R, "BLOCK", block)
-    pts, r = cloud(3, 50), random.Random(4)
-    segs = [(i, *[round(r.uniform(-3, 3), 1) for _ in range(4)]) for i in range(10)] + [(10, 1.0, 1.0, 1.0, 1.0)]
-    want = {}
-    for i, x, y in pts:
-        best = []
-        for s, ax, ay, bx, by in segs:
-            n = math.hypot(bx - ax, by - ay)
-            along = ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / n if n else None
-            inside = along is not None and 0 <= along <= n
-            tx, ty = (ax + (bx - ax) / n * along, ay + (by - ay) / n * along) if inside else (bx, by)
-            best.append(((tx - x) ** 2 + (ty - y) ** 2, s))
-        want[i] = min(best)[0]
-    got = {x.id: x.d2 for x in R.nearest_segment(spark.createDataFrame(pts, PTS), spark.createDataFrame(segs, "id long, ax double, ay double, bx double, by double")).collect()}
-    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
-
-
 def test_next_ahead_with_ties_and_gaps(spark):
     r = random.Random(5)
     pts = [(i, float(r.randint(-20, 20)), i % 3) for i in range(80)]

@@ -8,48 +8,29 @@ from pyspark.sql import functions as F
 from tidewater.functions import scalars as S
 from tidewater.operators import spatial as G
 
-#: Segments that go to the tasks in one row.
-BLOCK = 4096
+#: Places of a set whose pairs are all wanted, at most.
+PLACES = 10_000
 
 
 def visibility(points: DataFrame, alpha: float) -> DataFrame:
     """(i, j, w): 1 / distance^alpha for all pairs of a set of places (id, x, y), 0 on the diagonal.
 
-    All pairs are the result, so the set is one of places, not of observations."""
+    All pairs are the result, so the set is one of places, not of observations; more than PLACES are refused."""
+    if points.limit(PLACES + 1).count() > PLACES:
+        raise ValueError(f"visibility is for {PLACES} places at most")
     a = points.select(F.col("id").alias("i"), F.col("x").alias("ax"), F.col("y").alias("ay"))
     b = points.select(F.col("id").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"))
     dist = G.distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
     return a.crossJoin(b).select("i", "j", F.when(F.col("i") == F.col("j"), 0.0).otherwise(F.try_divide(F.lit(1.0), F.pow(dist, F.lit(alpha)))).alias("w"))
 
 
-def nearest_segment(points: DataFrame, segments: DataFrame) -> DataFrame:
-    """(id, segment, x, y, d2): for each point (id, x, y) the segment (id, ax, ay, bx, by) whose nearest place,
-    the foot of the point or, where that lies outside, the end b, is nearest; ties to the smaller id.
-
-    Segments are packed into rows of BLOCK; every point meets each row once and keeps the least, so a
-    block is all that a task holds of them, however many there are."""
-    seg = segments.select(F.col("id").alias("sid"), "ax", "ay", "bx", "by")
-    packed = seg.groupBy(F.floor(F.col("sid") / BLOCK).alias("block")).agg(F.collect_list(F.struct("sid", "ax", "ay", "bx", "by")).alias("segs"))
-
-    def place(s: Column) -> Column:
-        x, y, along = S.projected(F.col("x"), F.col("y"), s["ax"], s["ay"], s["bx"], s["by"])
-        outside = along.isNull() | (along < 0) | (along > S.length(s["bx"] - s["ax"], s["by"] - s["ay"]))
-        tx, ty = F.when(outside, s["bx"]).otherwise(x), F.when(outside, s["by"]).otherwise(y)
-        d2 = (tx - F.col("x")) * (tx - F.col("x")) + (ty - F.col("y")) * (ty - F.col("y"))
-        return F.struct(d2.alias("d2"), s["sid"].alias("segment"), tx.alias("tx"), ty.alias("ty"))
-
-    best = points.crossJoin(packed).select("id", F.array_min(F.transform("segs", place)).alias("p")).groupBy("id").agg(F.min("p").alias("p"))
-    return best.select("id", "p.segment", F.col("p.tx").alias("x"), F.col("p.ty").alias("y"), "p.d2")
-
-
 def first_in_sight(agents: DataFrame, targets: DataFrame, reach: float, half_angle: float) -> DataFrame:
     """(id, target): for each agent (id, x, y, direction) that sees a target (id, x, y), the one of the smallest id.
 
     Only targets of the cells around an agent are looked at."""
-    near = G.within(targets, agents, reach).select(F.col("centre").alias("id"), F.col("id").alias("target"))
-    near = near.join(agents.select("id", "x", "y", "direction"), "id").join(targets.select(F.col("id").alias("target"), F.col("x").alias("tx"), F.col("y").alias("ty")), "target")
-    seen = near.where(S.sees(F.col("tx") - F.col("x"), F.col("ty") - F.col("y"), F.col("direction"), reach, half_angle))
-    return seen.groupBy("id").agg(F.min("target").alias("target"))
+    near = G.within(targets, agents, reach, centre_cols=["direction"])
+    seen = near.where(S.sees(F.col("x") - F.col("cx"), F.col("y") - F.col("cy"), F.col("direction"), reach, half_angle))
+    return seen.groupBy(F.col("centre").alias("id")).agg(F.min("id").alias("target"))
 
 
 def clear_of(points: DataFrame, others: DataFrame, radius: float) -> DataFrame:
@@ -114,9 +95,9 @@ def neighbour_counts(points: DataFrame, size: float) -> DataFrame:
 
 def neighbour_means(points: DataFrame, radius: float, cols: list[str]) -> DataFrame:
     """(id, cols, n): the means over the other points within ``radius`` of each point that has any."""
-    near = G.within(points, points, radius).where("centre <> id").select(F.col("centre").alias("me"), "id")
-    out = near.join(points.select("id", *cols), "id").groupBy(F.col("me").alias("id"))
-    return out.agg(*[F.avg(c).alias(c) for c in cols], F.count("*").alias("n"))
+    more = [c for c in cols if c not in ("id", "x", "y")]
+    near = G.within(points, points, radius, point_cols=more).where("centre <> id")
+    return near.groupBy(F.col("centre").alias("id")).agg(*[F.avg(c).alias(c) for c in cols], F.count("*").alias("n"))
 
 
 def best_sensor(agents: DataFrame, raster: DataFrame, reach: float, angles: list[float], size: int) -> DataFrame:

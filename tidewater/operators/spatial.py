@@ -15,18 +15,20 @@ def in_rectangle(x: Column, y: Column, cx: float, cy: float, half_w: float, half
     return x.between(cx - half_w, cx + half_w) & y.between(cy - half_h, cy + half_h)
 
 
-def within(points: DataFrame, centres: DataFrame, radius: float) -> DataFrame:
-    """(centre, id, dist) of all points at most ``radius`` from a centre; both have (id, x, y).
+def within(points: DataFrame, centres: DataFrame, radius: float, point_cols: list[str] | None = None, centre_cols: list[str] | None = None) -> DataFrame:
+    """(centre, id, dist) of all points at most ``radius`` from a centre; both have (id, x, y).  With ``point_cols`` or
+    ``centre_cols``, columns of either side that have names of their own, also these and the places x, y, cx, cy.
 
     Cells as wide as the radius: a centre looks in its own and the eight around it, so that the join
     is on the cell and a point meets only its surroundings."""
     cell = lambda c: F.floor(F.col(c) / radius)
     near = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-    wide = centres.select(F.col("id").alias("centre"), F.col("x").alias("cx"), F.col("y").alias("cy"), F.explode(F.transform(near, lambda k: k + cell("x"))).alias("gx"), cell("y").alias("g"))
-    wide = wide.select("centre", "cx", "cy", "gx", F.explode(F.transform(near, lambda k: k + F.col("g"))).alias("gy"))
+    wide = centres.select(F.col("id").alias("centre"), F.col("x").alias("cx"), F.col("y").alias("cy"), *(centre_cols or []), F.explode(F.transform(near, lambda k: k + cell("x"))).alias("gx"), cell("y").alias("g"))
+    wide = wide.select("centre", "cx", "cy", *(centre_cols or []), "gx", F.explode(F.transform(near, lambda k: k + F.col("g"))).alias("gy"))
     dist = distance(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"))
     out = points.withColumns({"gx": cell("x"), "gy": cell("y")}).join(wide, ["gx", "gy"]).withColumn("dist", dist)
-    return out.where(F.col("dist") <= radius).select("centre", "id", "dist")
+    more = [] if point_cols is None and centre_cols is None else ["x", "y", "cx", "cy", *(point_cols or []), *(centre_cols or [])]
+    return out.where(F.col("dist") <= radius).select("centre", "id", "dist", *more)
 
 
 def close_pairs(points: DataFrame, radius: float) -> DataFrame:

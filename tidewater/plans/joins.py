@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewater.functions import scalars as S
+from tidewater.operators import nearest as N
 from tidewater.operators import ordered as O
 from tidewater.operators import relate as R
 from tidewater.operators import series as W
@@ -46,7 +47,7 @@ def nearest_segment(spark, d):
     b = barycentres(spark, d)
     a = b.select("id", F.col("x").alias("ax"), F.col("y").alias("ay"))
     c = b.select(((F.col("id") + 9) % 10).cast(b.schema["id"].dataType).alias("id"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    return R.nearest_segment(points(spark, d), a.join(c, "id")).select("id", "segment", F.round("d2", 5).alias("d2"))
+    return N.nearest_segment(points(spark, d), a.join(c, "id")).select("id", "segment", F.round("d2", 5).alias("d2"))
 
 
 _AGENTS = "a AS (SELECT id, x, y, (id * 37) % 360 - 180 AS direction FROM pts WHERE label = 1), f AS (SELECT id, x, y FROM pts WHERE label IN (2, 4))"
@@ -202,12 +203,12 @@ def absorbing_layers(spark, d):
     return O.recurrence(e, ["user_id"], "at", "k", "e", F.lit(100.0)).select("user_id", F.round("x", 4).alias("x"))
 
 
-@query("absorbing_layers_steps", """WITH RECURSIVE e AS (SELECT user_id, event_id, value, least(0.1e0 + (event_id % 13) * 0.1e0, 1) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+@query("absorbing_layers_steps", """WITH RECURSIVE e AS (SELECT user_id, event_id, value, least((event_id % 13 + 1) / 11e0, 1) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
 t AS (SELECT user_id, CAST(NULL AS BIGINT) AS event_id, 100e0 AS x, CAST(0 AS BIGINT) AS rn FROM (SELECT DISTINCT user_id FROM events)
   UNION ALL SELECT t.user_id, e.event_id, t.x * (1 - e.k) + e.value, e.rn FROM t JOIN e ON e.user_id = t.user_id AND e.rn = t.rn + 1)
 SELECT user_id, event_id, round(x, 4) AS x FROM t WHERE rn > 0""")
 def absorbing_layers_steps(spark, d):
     """What leaves every layer."""
-    k = F.least(0.1 + (F.col("event_id") % 13) * 0.1, F.lit(1.0))
+    k = F.least((F.col("event_id") % 13 + 1) / 11, F.lit(1.0))
     e = load(spark, d, "events").select("user_id", F.struct("ts", "event_id").alias("at"), (1 - k).alias("k"), F.col("value").alias("e"))
     return O.recurrence_steps(e, ["user_id"], "at", "k", "e", F.lit(100.0)).select("user_id", "at.event_id", F.round("x", 4).alias("x"))
