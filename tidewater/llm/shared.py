@@ -1,17 +1,17 @@
-"""Tables in the shared folder, whole-text hashing, and connected components."""
+"""Whole-text hashing, per-text functions and connected components; the tables of the shared folder by their names here."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.tables import forget, scratch, shared_dir, table
+
+__all__ = ["forget", "scratch", "shared_dir", "table"]
 _U = np.uint64
 
 
@@ -25,67 +25,6 @@ def columns(df: DataFrame, *without: str) -> list[Column]:
     return [col(c) for c in df.columns if c not in without]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver share: spark.checkpoint.dir; unset, a local
-    folder in local mode only (tests)."""
-    set_ = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if set_:
-        return set_
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    made = getattr(shared_dir, "made", None)
-    if made is None:
-        made = shared_dir.made = "file://" + tempfile.mkdtemp(prefix="tidewater-")
-    return made
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: cuts the lineage, survives lost
-    executors, and lets AQE split skewed joins with it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidewater/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._tidewater_path = path
-    if _scratch:
-        _scratch[-1].append(out)
-    return out
-
-
-_scratch: list[list[DataFrame]] = []
-
-
-@contextmanager
-def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Deletes, at its end, the tables that were written within it, but those given to the function it
-    yields; these belong to the scratch around it, if there is one."""
-    made: list[DataFrame] = []
-    kept: list[DataFrame] = []
-    _scratch.append(made)
-
-    def keep(t: DataFrame) -> DataFrame:
-        kept.append(t)
-        return t
-
-    try:
-        yield keep
-    finally:
-        _scratch.pop()
-        forget(*[t for t in made if all(t is not k for k in kept)])
-        if _scratch:
-            _scratch[-1].extend(kept)
-
-
-def forget(*tables: DataFrame) -> None:
-    """Delete tables that nothing reads any more."""
-    for t in tables:
-        if not hasattr(t, "_tidewater_path"):
-            continue
-        spark = t.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(t._tidewater_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """mapInArrow for columns of any names, which itself takes none with dots or backticks."""
     names = df.columns
