@@ -7,7 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PolynomialExpansion, StandardScaler, UnivariateFeatureSelector, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -16,6 +16,8 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.operators.ensemble import AdaBoost, RandomFourierFeatures
+
 
 def features(df: DataFrame, cols: Sequence[str], label: str, keep: Sequence[str] = ()) -> DataFrame:
     """(keep, features, label): columns, or one array column, as a vector; rows with a null are left out."""
@@ -44,15 +46,22 @@ def standardised(df: DataFrame, cols: Sequence[str], population: bool = False) -
     return z.withColumn("z", out).drop("__v", "__z")
 
 
-#: Models by name: trees, a forest, boosted trees, and the logistic neuron.
+#: Models by name: trees, a forest, boosted trees, reweighted stumps and the logistic neuron.
 MODELS = {
     "tree": lambda: DecisionTreeClassifier(maxDepth=5, seed=1),
     "forest": lambda: RandomForestClassifier(numTrees=20, maxDepth=5, seed=1),
     "boosted": lambda: GBTClassifier(maxIter=10, maxDepth=3, seed=1),
+    "adaboost": lambda: AdaBoost(rounds=10, depth=1),
     "neuron": lambda: LogisticRegression(maxIter=50),
 }
 
 
+def kernel_machine(width: int, size: int = 256, gamma: float = 0.5) -> Pipeline:
+    """Scaling, random Fourier features of ``width`` numbers, and a linear machine."""
+    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True)
+    return Pipeline(stages=[scaler, RandomFourierFeatures(width=width, inputCol="scaled", outputCol="fourier", size=size, gamma=gamma), LinearSVC(featuresCol="fourier", maxIter=50, regParam=1e-4)])
+
+
 def prepared(model, degree: int = 1, top: int | None = None) -> Pipeline:
     """A pipeline over ``features``: products up to a degree, the ``top`` of them by ANOVA F, scaled, and the model."""
     stages, at = [], "features"
@@ -80,7 +89,7 @@ def search(model, draws: dict[str, Sequence], train: DataFrame, folds: int = 4,
     n = len(next(iter(draws.values())))
     grid = [{model.getParam(k): v[i] for k, v in draws.items()} for i in range(n)]
     judge = MulticlassClassificationEvaluator(metricName=metric, metricLabel=1.0)
-    return CrossValidator(estimator=model, estimatorParamMaps=grid or ParamGridBuilder().build(), evaluator=judge, numFolds=folds, seed=seed).fit(train)
+    return CrossValidator(estimator=model, estimatorParamMaps=grid or ParamGridBuilder().build(), evaluator=judge, numFolds=folds, seed=seed, parallelism=8).fit(train)
 
 
 def importances(model, names: Sequence[str]) -> list[tuple[str, float]]:
