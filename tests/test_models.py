@@ -178,3 +178,35 @@ def test_buckets_drop_what_is_too_late(spark, tmp_path):
     assert got["2022-01-01 00:00:00"] == (2.0, 2) and "2022-01-01 09:00:00" not in got
     batch = ST.bucket_means(spark.read.schema(schema).parquet(str(tmp_path / "in")), "ts", "value", "20 minutes", [])
     assert {str(r.start): r.n for r in batch.collect()}["2022-01-01 00:00:00"] == 3
+
+
+TICKED = "key string, ts timestamp, amount double"
+
+
+def test_ticks_and_lists_over_batches(spark, tmp_path):
+    """Values of every tick of every key, also of keys without new rows, and lists of the newest, as in one batch."""
+    from datetime import datetime, timedelta
+
+    from tidewater.streaming import processors as PR
+
+    r, start = random.Random(9), datetime(2024, 1, 1)
+    rows = sorted((start + timedelta(minutes=r.randint(0, 60 * 24)), r.choice("abc"), float(r.randint(1, 9))) for _ in range(120))
+    rows = [("idle", start + timedelta(minutes=5), 100.0)] + [(k, t, v) for t, k, v in rows] + [("a", start + timedelta(hours=30), 1.0)]
+    for i in range(0, len(rows), 25):
+        spark.createDataFrame(rows[i : i + 25], TICKED).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(TICKED).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    hour, want = 3_600_000, {}
+    last = int((max(t for _, t, _ in rows).timestamp() * 1000 - 2 * hour) // hour)
+    at = lambda t: int(t.timestamp() * 1000 // hour)
+    for key in {k for k, _, _ in rows}:
+        own = [(at(t), v) for k, t, v in rows if k == key]
+        for k in range(min(own)[0], last):
+            want[key, k] = sum(v * 0.5 ** (k - j) for j, v in own if j <= k)
+    want = {k: x for k, x in want.items() if x >= 1e-3}
+    with PR.state_store(spark):
+        out = ST.run_to_end(PR.decay_ticks(stream, "key", "ts", "amount", hour, 0.5, "2 hours", least=1e-3), str(tmp_path / "t"), str(tmp_path / "tc"))
+        got = {(x.key, x.tick): x.x for x in out.collect()}
+        held = ST.latest(ST.run_to_end(PR.newest(stream, "key", "ts", "amount", 4), str(tmp_path / "n"), str(tmp_path / "nc"), "update"), ["key"]).collect()
+    assert got.keys() == want.keys() and all(abs(got[k] - x) < 1e-9 for k, x in want.items())
+    assert sum(k == "idle" for k, _ in got) > 10
+    assert {x.key: list(x["items"]) for x in held} == {key: [v for _, v in sorted((t, v) for k, t, v in rows if k == key)[-4:]] for key in "abc"} | {"idle": [100.0]}

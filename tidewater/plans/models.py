@@ -13,7 +13,9 @@ from pyspark.sql import types as T
 from tidewater.operators import ensemble as EN
 from tidewater.operators import learn as M
 from tidewater.plans.registry import load, query
+from tidewater.streaming import processors as PR
 from tidewater.streaming import stateful as ST
+from tidewater.streaming.processors import state_store
 from tidewater.tables import delete, forget, new_path, table
 
 
@@ -170,19 +172,24 @@ def matrix_factors(spark, d):
 def _stream(spark, d):
     # A pattern, as a stream takes no single file.
     path = f"{d}/event[s].parquet"
-    return spark.readStream.schema(load(spark, d, "events").schema).parquet(path)
+    return spark.readStream.schema(load(spark, d, "events").schema).option("maxFilesPerTrigger", 1000).parquet(path)
 
 
 def _run(spark, stream, name: str, mode: str):
     at = new_path(spark, name)
-    return ST.run_to_end(stream, f"{at}/out", f"{at}/checkpoint", mode)
+    with state_store(spark):
+        out = ST.run_to_end(stream, f"{at}/out", f"{at}/checkpoint", mode)
+    delete(spark, f"{at}/checkpoint")
+    return out
 
 
-@query("stream_bucket_means", "SELECT CAST(time_bucket(INTERVAL '20 minutes', ts) AS VARCHAR) AS start, event_type, round(avg(value), 6) AS mean, count(value) AS n FROM events GROUP BY ALL")
+@query("stream_bucket_means", """WITH b AS (SELECT time_bucket(INTERVAL '20 minutes', ts) AS s, event_type, avg(value) AS m, count(value) AS n FROM events GROUP BY 1, 2)
+SELECT CAST(s AS VARCHAR) AS start, event_type, round(m, 6) AS mean, n FROM b WHERE s + INTERVAL '20 minutes' <= (SELECT max(ts) FROM events) - INTERVAL '1 hour'""")
 def stream_bucket_means(spark, d):
-    """Twenty-minute means by tag."""
-    out = _run(spark, ST.bucket_means(_stream(spark, d), "ts", "value", "20 minutes", ["event_type"]), "buckets", "complete")
-    return ST.latest(out, ["start", "event_type"]).select(F.col("start").cast("string").alias("start"), "event_type", F.round("mean", 6).alias("mean"), "n")
+    """Twenty-minute means by tag, each told once when rows of an hour later have come; its state goes then."""
+    s = ST.bucket_means(_stream(spark, d), "ts", "value", "20 minutes", ["event_type"], late="1 hour")
+    out = _run(spark, s, "buckets", "append")
+    return out.select(F.col("start").cast("string").alias("start"), "event_type", F.round("mean", 6).alias("mean"), "n")
 
 
 _EPISODES = """WITH r AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'purchase' THEN 1e0 WHEN 'error' THEN -1e0 ELSE 0e0 END AS reward, event_type = 'purchase' AS done FROM events),
@@ -204,7 +211,7 @@ def stream_episodes(spark, d):
 @query("stream_newest", "SELECT user_id, list(event_id ORDER BY rn DESC) AS items FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 5 GROUP BY 1")
 def stream_newest(spark, d):
     """The five newest events of a user."""
-    s = ST.newest(_stream(spark, d).select("user_id", "ts", "event_id"), "user_id", ["ts", "event_id"], "event_id", 5)
+    s = PR.newest(_stream(spark, d), "user_id", "ts", "event_id", 5)
     return ST.latest(_run(spark, s, "newest", "update"), ["user_id"])
 
 
@@ -216,6 +223,16 @@ def stream_decay(spark, d):
     return ST.latest(_run(spark, s, "decay", "update"), ["user_id"]).select("user_id", F.round("x", 4).alias("x"))
 
 
+@query("stream_decay_ticks", """WITH t AS (SELECT user_id, epoch_ms(ts) // 86400000 AS tick, sum(value) AS deposit FROM events GROUP BY ALL),
+m AS (SELECT (epoch_ms(max(ts)) - 3600000) // 86400000 AS over_ FROM events), f AS (SELECT user_id, min(tick) AS first_ FROM t GROUP BY 1),
+k AS (SELECT user_id, unnest(range(first_, (SELECT over_ FROM m))) AS tick FROM f)
+SELECT k.user_id, k.tick, round(sum(t.deposit * pow(0.9e0, k.tick - t.tick)), 5) AS x FROM k JOIN t ON t.user_id = k.user_id AND t.tick <= k.tick GROUP BY ALL""")
+def stream_decay_ticks(spark, d):
+    """A tenth of what a user has is lost at the end of every day, with or without events."""
+    s = PR.decay_ticks(_stream(spark, d), "user_id", "ts", "value", 86_400_000, 0.9, "1 hour")
+    return _run(spark, s, "ticks", "append").select("user_id", "tick", F.round("x", 5).alias("x"))
+
+
 @query("stream_actions", "SELECT event_id, CASE WHEN value > 50 THEN 'buy' ELSE 'wait' END AS action FROM events")
 def stream_actions(spark, d):
     """The loop observe, act, record."""
