@@ -4,6 +4,10 @@ Every one reduces the rows to counts first (classes squared, or distinct scores)
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,3 +74,36 @@ def matrix_accuracy(matrix: DataFrame) -> DataFrame:
 
 def squared_error(y: Column, p: Column) -> Column:
     return F.avg(F.pow(y - p, F.lit(2)))
+
+
+def loss_surface(rows: DataFrame, grid: Sequence[Sequence[float]], bias: float = 0.0) -> DataFrame:
+    """(g, loss, n): the mean logistic loss of a neuron with each of the weights in ``grid`` over rows (x array, y 0 or 1).
+
+    One scan: a task multiplies its rows with all weights, block by block, and gives one sum a weight; the grid goes
+    along with the tasks, so it is a set of settings, not a table."""
+    w = np.array(grid, float)
+    if w.size > 1_000_000:
+        raise ValueError("a grid of a million numbers at most")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, n = np.zeros(len(w)), 0
+        for part in parts:
+            for at in range(0, len(part), 1024):
+                some = part.iloc[at : at + 1024]
+                z = np.stack(some["x"].to_numpy()) @ w.T + bias
+                # y softplus(-z) + (1 - y) softplus(z)
+                total += (np.logaddexp(0, z) - some["y"].to_numpy(float)[:, None] * z).sum(axis=0)
+                n += len(some)
+        if n:
+            yield pd.DataFrame({"g": np.arange(len(w)), "total": total, "n": n})
+
+    sums = rows.select("x", "y").mapInPandas(run, "g int, total double, n long")
+    return sums.groupBy("g").agg((F.sum("total") / F.sum("n")).alias("loss"), F.sum("n").alias("n"))
+
+
+def over_threshold(df: DataFrame, score: str, truth: Column, thresholds: Sequence[float]) -> DataFrame:
+    """(threshold, taken, right, precision, recall): the rows whose score is at or over each threshold, in one scan."""
+    at = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")
+    n = df.select(F.col(score).alias("s"), truth.cast("int").alias("t")).select("s", "t", at).groupBy("threshold")
+    taken, right, true = F.count_if(F.col("s") >= F.col("threshold")), F.sum(F.when(F.col("s") >= F.col("threshold"), F.col("t")).otherwise(0)), F.sum("t")
+    return n.agg(taken.alias("taken"), right.alias("right"), F.try_divide(right, taken).alias("precision"), F.try_divide(right, true).alias("recall"))

@@ -96,25 +96,27 @@ def trigonometry(spark, d):
 # ---- atmosphere and quantisation
 
 
-_Z = "z AS (SELECT i * 500e0 AS z FROM range(161) r(i))"
+_Z = "z AS (SELECT event_id, least(value * 500, 80000) AS z FROM events)"
 _STD = "CASE " + " ".join(f"WHEN z >= {b * 1000} THEN {t}e0 + (z / 1000 - {b}) * {r}e0" for b, t, r in reversed(S.LAYERS)) + " END"
 _SIMPLE = "288.2e0 - 0.0065e0 * least(z, 11000)"
 
 
-@query("atmosphere", f"""WITH {_Z} SELECT z, round({_SIMPLE}, 4) AS simple, floor({_SIMPLE}) AS whole, round({_STD}, 4) AS standard, round(101325 * exp(-z / 8500), 4) AS pressure,
+@query("atmosphere", f"""WITH {_Z} SELECT event_id, round({_SIMPLE}, 4) AS simple, floor({_SIMPLE}) AS whole, round({_STD}, 4) AS standard, round(101325 * exp(-z / 8500), 4) AS pressure,
   round(101325 * exp(-z / 8500) / (1.380649e-23 * ({_SIMPLE})) / 1e20, 4) AS density FROM z""")
 def atmosphere(spark, d):
-    z = spark.range(161).select((F.col("id") * 500.0).alias("z"))
+    """At the height that each event's value stands for, up to 80 km."""
+    z = load(spark, d, "events").select("event_id", F.least(F.col("value") * 500, F.lit(80000.0)).alias("z"))
     c = F.col("z")
-    return z.select("z", F.round(S.temperature(c), 4).alias("simple"), F.floor(S.temperature(c)).cast("double").alias("whole"), F.round(S.standard_temperature(c), 4).alias("standard"), F.round(S.pressure(c), 4).alias("pressure"), F.round(S.number_density(c) / 1e20, 4).alias("density"))
+    return z.select("event_id", F.round(S.temperature(c), 4).alias("simple"), F.floor(S.temperature(c)).cast("double").alias("whole"), F.round(S.standard_temperature(c), 4).alias("standard"), F.round(S.pressure(c), 4).alias("pressure"), F.round(S.number_density(c) / 1e20, 4).alias("density"))
 
 
-@query("black_body", f"""SELECT i, t, round({2 * S.H * S.C ** 2!r} / pow((i + 1) * 0.5e-6, 5) / (exp({S.H * S.C / S.K_B!r} / ((i + 1) * 0.5e-6 * t)) - 1) / 1e3, 4) AS radiance,
-  round(log10(pow(10, -22.5e0 - 24 * abs(((i + 1) * 0.5e-6 - 15e-6) / 15e-6))), 6) AS band FROM range(120) r(i), (VALUES (216.7e0), (288.2e0)) v(t)""")
+@query("black_body", f"""WITH w AS (SELECT event_id, (event_id % 120 + 1) * 0.5e-6 AS w, CASE WHEN user_id % 2 = 0 THEN 216.7e0 ELSE 288.2e0 END AS t FROM events)
+SELECT event_id, round({2 * S.H * S.C ** 2!r} / pow(w, 5) / (exp({S.H * S.C / S.K_B!r} / (w * t)) - 1) / 1e3, 4) AS radiance, round(log10(pow(10, -22.5e0 - 24 * abs((w - 15e-6) / 15e-6))), 6) AS band FROM w""")
 def black_body(spark, d):
-    w = (F.col("i") + 1) * 0.5e-6
-    g = spark.range(120).select(F.col("id").alias("i"), F.explode(F.array(F.lit(216.7), F.lit(288.2))).alias("t"))
-    return g.select("i", "t", F.round(S.planck(w, F.col("t")) / 1e3, 4).alias("radiance"), F.round(F.log10(S.absorption_band(w)), 6).alias("band"))
+    """Each event is a reading of one of 120 wavelengths at one of two temperatures."""
+    w = (F.col("event_id") % 120 + 1) * 0.5e-6
+    t = F.when(F.col("user_id") % 2 == 0, 216.7).otherwise(288.2)
+    return load(spark, d, "events").select("event_id", F.round(S.planck(w, t) / 1e3, 4).alias("radiance"), F.round(F.log10(S.absorption_band(w)), 6).alias("band"))
 
 
 @query("int16_quantised", "SELECT event_id, CAST(trunc(value / (SELECT max(value) FROM events) * 32767) AS SMALLINT) AS of_max, CAST(trunc(value - (SELECT avg(value) FROM events)) AS SMALLINT) AS of_mean FROM events")
@@ -166,10 +168,10 @@ def last_true_index(spark, d):
     return load(spark, d, "embeddings").select("vec_id", V.last_true(F.transform("embedding", lambda x: x > F.lit(0.25).cast("float"))).cast("long").alias("at"))
 
 
-@query("array_zip", "SELECT vec_id, CAST(k AS INTEGER) AS k, round(a, 6) AS a, round(b, 6) AS b FROM (SELECT vec_id, unnest(embedding[1:8])::DOUBLE AS a, unnest(embedding[9:16])::DOUBLE AS b, generate_subscripts(embedding[1:8], 1) - 1 AS k FROM embeddings)")
+@query("array_zip", "SELECT vec_id, CAST(k AS INTEGER) AS k, round(a, 6) AS a, round(b, 6) AS b FROM (SELECT vec_id, unnest(embedding[1:32])::DOUBLE AS a, unnest(embedding[33:64])::DOUBLE AS b, generate_subscripts(embedding[1:32], 1) - 1 AS k FROM embeddings)")
 def array_zip(spark, d):
     """Two parallel lists as rows, position by position."""
-    e = load(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("a"), F.slice("embedding", 9, 8).alias("b"))
+    e = load(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 32).alias("a"), F.slice("embedding", 33, 32).alias("b"))
     out = files.unzip(e, "vec_id", ["a", "b"], "k")
     return out.select("vec_id", "k", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in "ab"])
 
@@ -202,39 +204,57 @@ def generated_episodes(spark, d):
 # ---- synthetic tables
 
 
-@query("random_points", f"SELECT i AS id, CAST(floor({_uni('i', 'px')} * 640) AS BIGINT) AS x, CAST(floor({_uni('i', 'py')} * 480) AS BIGINT) AS y FROM range(500) r(i)")
+def _numbers(spark, d, name, key):
+    return load(spark, d, name).select(F.col(key).alias("id"))
+
+
+@query("random_points", f"SELECT i AS id, CAST(floor({_uni('i', 'px')} * 640) AS BIGINT) AS x, CAST(floor({_uni('i', 'py')} * 480) AS BIGINT) AS y FROM (SELECT o_orderkey AS i FROM orders)")
 def random_points(spark, d):
-    return synthetic.points(spark, 500, 640, 480)
+    """A place for every order."""
+    return synthetic.points(spark, _numbers(spark, d, "orders", "o_orderkey"), 640, 480)
 
 
-@query("blobs", f"SELECT i AS id, CAST(i % 3 AS INTEGER) AS label, round([-4e0, 0e0, 5e0][i % 3 + 1] + {_nor('i', 'bx')} * 0.7e0, 6) AS x, round([1e0, -3e0, 2e0][i % 3 + 1] + {_nor('i', 'by')} * 0.7e0, 6) AS y FROM range(600) r(i)")
+@query("blobs", f"SELECT i AS id, CAST(i % 3 AS INTEGER) AS label, round([-4e0, 0e0, 5e0][i % 3 + 1] + {_nor('i', 'bx')} * 0.7e0, 6) AS x, round([1e0, -3e0, 2e0][i % 3 + 1] + {_nor('i', 'by')} * 0.7e0, 6) AS y FROM (SELECT c_custkey AS i FROM customer)")
 def blobs(spark, d):
-    return _rounded(synthetic.blobs(spark, 600, [(-4, 1), (0, -3), (5, 2)], 0.7), "id", "label")
+    """A point for every customer, in one of three clouds."""
+    return _rounded(synthetic.blobs(spark, _numbers(spark, d, "customer", "c_custkey"), [(-4, 1), (0, -3), (5, 2)], 0.7), "id", "label")
 
 
-@query("circles", f"""SELECT i AS id, CAST(i >= 251 AS INTEGER) AS label, round(CASE WHEN i >= 251 THEN 0.5e0 * cos({2 * math.pi!r} * (i - 251) / 250) ELSE cos({2 * math.pi!r} * i / 251) END + {_nor('i', 'cx')} * 0.05e0, 6) AS x,
-  round(CASE WHEN i >= 251 THEN 0.5e0 * sin({2 * math.pi!r} * (i - 251) / 250) ELSE sin({2 * math.pi!r} * i / 251) END + {_nor('i', 'cy')} * 0.05e0, 6) AS y FROM range(501) r(i)""")
+@query("circles", f"""WITH n AS (SELECT count(*) AS n, (count(*) + 1) // 2 AS h FROM part)
+SELECT i AS id, CAST(i >= h AS INTEGER) AS label, round(CASE WHEN i >= h THEN 0.5e0 * cos({2 * math.pi!r} * (i - h) / (n // 2)) ELSE cos({2 * math.pi!r} * i / h) END + {_nor('i', 'cx')} * 0.05e0, 6) AS x,
+  round(CASE WHEN i >= h THEN 0.5e0 * sin({2 * math.pi!r} * (i - h) / (n // 2)) ELSE sin({2 * math.pi!r} * i / h) END + {_nor('i', 'cy')} * 0.05e0, 6) AS y FROM (SELECT p_partkey AS i FROM part), n""")
 def circles(spark, d):
-    return _rounded(synthetic.circles(spark, 501, 0.5, 0.05), "id", "label")
+    """A point for every part, on one of two circles."""
+    return _rounded(synthetic.circles(spark, _numbers(spark, d, "part", "p_partkey"), 0.5, 0.05), "id", "label")
 
 
-@query("inline_constants", "SELECT * FROM (VALUES (0, 0, 4e0 / 9), (1, 0, 1e0 / 9), (0, 1, 1e0 / 9), (1, 1, 1e0 / 36)) v(cx, cy, w)")
+@query("inline_constants", "SELECT cx, cy, round(sum(w * value), 4) AS total, count(*) AS n FROM events JOIN (VALUES (0, 0, 0, 4e0 / 9), (1, 1, 0, 1e0 / 9), (2, 0, 1, 1e0 / 9), (3, 1, 1, 1e0 / 36)) v(k, cx, cy, w) ON k = user_id % 4 GROUP BY 1, 2")
 def inline_constants(spark, d):
-    return synthetic.constants(spark, [(0, 0, 4 / 9), (1, 0, 1 / 9), (0, 1, 1 / 9), (1, 1, 1 / 36)], "cx int, cy int, w double")
+    """A table written in the query (four directions and their weights), joined to all events."""
+    v = synthetic.constants(spark, [(0, 0, 0, 4 / 9), (1, 1, 0, 1 / 9), (2, 0, 1, 1 / 9), (3, 1, 1, 1 / 36)], "k int, cx int, cy int, w double")
+    e = load(spark, d, "events").join(v, (F.col("user_id") % 4) == F.col("k"))
+    return e.groupBy("cx", "cy").agg(F.round(F.sum(F.col("w") * F.col("value")), 4).alias("total"), F.count("*").alias("n"))
+
 
+_SCORE = "1.5e0 * x - 2e0 * y + 0.25e0"
 
-@query("decision_surface", "SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(1 / (1 + exp(-(1.5e0 * (-2 + i * 4e0 / 39) - 2e0 * (-1 + j * 2e0 / 29) + 0.25e0))), 6) AS p, 1.5e0 * (-2 + i * 4e0 / 39) - 2e0 * (-1 + j * 2e0 / 29) + 0.25e0 > -1.1e0 AS above FROM range(40) a(i), range(30) b(j)")
+
+@query("decision_surface", f"WITH p AS (SELECT CAST(floor(x * 4) AS BIGINT) AS i, CAST(floor(y * 4) AS BIGINT) AS j, {_SCORE} AS z FROM (SELECT embedding[1]::DOUBLE * 10 AS x, embedding[2]::DOUBLE * 10 AS y FROM embeddings)) SELECT i, j, round(avg(1 / (1 + exp(-z))), 6) AS p, count_if(z > -1.1e0) AS above, count(*) AS n FROM p GROUP BY 1, 2")
 def decision_surface(spark, d):
-    """A neuron's output over a grid, and its score against a threshold."""
+    """A neuron's mean output over the cells that points fill, and how many of them its score takes over a threshold."""
     z = 1.5 * F.col("x") - 2.0 * F.col("y") + 0.25
-    return synthetic.grid(spark, 40, 30, (-2, 2), (-1, 1)).select("i", "j", F.round(V.ACTIVATIONS["sigmoid"](z), 6).alias("p"), (z > -1.1).alias("above"))
+    e = F.col("embedding")
+    p = load(spark, d, "embeddings").select((e[0].cast("double") * 10).alias("x"), (e[1].cast("double") * 10).alias("y"))
+    p = p.select(F.floor(F.col("x") * 4).alias("i"), F.floor(F.col("y") * 4).alias("j"), V.ACTIVATIONS["sigmoid"](z).alias("p"), (z > -1.1).alias("above"))
+    return p.groupBy("i", "j").agg(F.round(F.avg("p"), 6).alias("p"), F.count_if("above").alias("above"), F.count("*").alias("n"))
 
 
-@query("monte_carlo_pi", f"SELECT round(4e0 * count_if({_uni('i', 'u')} ** 2 + {_uni('i', 'v')} ** 2 < 1) / count(*), 6) AS pi FROM range(20000) r(i)")
+@query("monte_carlo_pi", f"SELECT round(4e0 * count_if({_uni('i', 'u')} ** 2 + {_uni('i', 'v')} ** 2 < 1) / count(*), 6) AS pi FROM (SELECT event_id AS i FROM events)")
 def monte_carlo_pi(spark, d):
+    """A draw for every event."""
     i = F.col("id")
     u, v = S.uniform(i, "u"), S.uniform(i, "v")
-    return spark.range(20000).agg(F.round(4.0 * F.count_if(u * u + v * v < 1) / F.count("*"), 6).alias("pi"))
+    return _numbers(spark, d, "events", "event_id").agg(F.round(4.0 * F.count_if(u * u + v * v < 1) / F.count("*"), 6).alias("pi"))
 
 
 # ---- rasters and spectra: a vector of 64 as an 8 x 8 raster
@@ -307,7 +327,8 @@ def inline_series(spark, d):
     """Events packed as a historian answers, and unpacked again."""
     at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
     e = load(spark, d, "events").select("event_type", "user_id", F.struct(at.alias("timestamp"), "value").alias("v"))
-    bodies = e.groupBy("event_type", "user_id").agg(F.to_json(F.struct(F.array(F.collect_list("v")).alias("values"))).alias("body"))
+    # A body holds a tag's readings of an hour, as answers do, so that none grows with a tag's rows.
+    bodies = e.groupBy("event_type", "user_id", F.substring("v.timestamp", 1, 13)).agg(F.to_json(F.struct(F.array(F.collect_list("v")).alias("values"))).alias("body"))
     out = rest.inline_series(bodies, "event_type", "body")
     return out.select(F.col("event_type").alias("tag"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("at"), F.round("value", 4).alias("value"))
 
@@ -343,9 +364,9 @@ def json_rows(spark, d):
     return o.select("o_orderkey", files.as_json("o_orderkey", "o_orderstatus", "prio").alias("line"))
 
 
-@query("metric_rows", "SELECT step, metric, round(value, 4) AS value FROM (SELECT event_id AS step, value AS loss, value * 2 AS reward FROM events WHERE event_id % 5 = 0) UNPIVOT (value FOR metric IN (loss, reward))")
+@query("metric_rows", "SELECT step, metric, round(value, 4) AS value FROM (SELECT event_id AS step, value AS loss, value * 2 AS reward FROM events) UNPIVOT (value FOR metric IN (loss, reward))")
 def metric_rows(spark, d):
-    e = load(spark, d, "events").where("event_id % 5 = 0").select(F.col("event_id").alias("step"), F.col("value").alias("loss"), (F.col("value") * 2).alias("reward"))
+    e = load(spark, d, "events").select(F.col("event_id").alias("step"), F.col("value").alias("loss"), (F.col("value") * 2).alias("reward"))
     return files.melt_metrics(e, "step", ["loss", "reward"]).select("step", "metric", F.round("value", 4).alias("value"))
 
 

@@ -161,12 +161,15 @@ def distinct_values(spark, d):
     return load(spark, d, "events").select("event_type", (F.col("user_id") % 10).alias("u")).distinct()
 
 
-@query("append_columns", "SELECT e.vec_id, round(e.embedding[1]::DOUBLE, 6) AS a, d.n_chars FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id")
+@query("append_columns", """WITH e AS (SELECT vec_id, round(embedding[1]::DOUBLE, 6) AS a, row_number() OVER (ORDER BY embedding[1], vec_id) AS rn FROM embeddings), d AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars, doc_id) AS rn FROM documents)
+SELECT e.rn AS place, vec_id, a, doc_id, n_chars FROM e JOIN d USING (rn)""")
 def append_columns(spark, d):
-    """Two tables side by side by their rows' numbers."""
-    e = load(spark, d, "embeddings").select("vec_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("a"))
-    n = load(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "n_chars")
-    return e.join(n, "vec_id")
+    """Two tables side by side by position, each in an order of its own; the rows that the longer one has more are left out."""
+    e = load(spark, d, "embeddings").select("vec_id", F.col("embedding")[0].alias("x"))
+    n = load(spark, d, "documents").select("doc_id", "n_chars")
+    e = O.numbered(e, [], ["x", "vec_id"]).select("rn", "vec_id", F.round(F.col("x").cast("double"), 6).alias("a"))
+    n = O.numbered(n, [], ["n_chars", "doc_id"]).select("rn", "doc_id", "n_chars")
+    return e.join(n, "rn").select(F.col("rn").alias("place"), "vec_id", "a", "doc_id", "n_chars")
 
 
 @query("sample_without_replacement", "SELECT o_orderkey FROM orders ORDER BY md5('s1' || CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 100")

@@ -9,6 +9,8 @@ from tidewater.functions import vectors as V
 from tidewater.operators import evaluate as E
 from tidewater.operators import spatial as G
 from tidewater.plans.registry import load, query
+from tidewater.sources import files
+from tidewater.tables import new_path
 
 _PRED = """s AS (SELECT vec_id, label, list_transform(range(10), lambda k: list_sum(list_filter(embedding::DOUBLE[], lambda x, i: (i - 1) % 10 = k))) AS s FROM embeddings),
 p AS (SELECT vec_id, label AS truth, CAST(list_position(s, list_max(s)) - 1 AS INTEGER) AS pred FROM s)"""
@@ -210,3 +212,32 @@ def td_target(spark, d):
 def eps_greedy(spark, d):
     p = V.epsilon_greedy(F.slice("v", 1, 5), 0.1)
     return _vec(spark, d).select("vec_id", F.posexplode(p).alias("k", "p")).select("vec_id", F.col("k").cast("long").alias("k"), F.round("p", 6).alias("p"))
+
+
+@query("loss_surface", """WITH g AS (SELECT i * 21 + j AS g, -2 + i * 0.2e0 AS a, -2 + j * 0.2e0 AS b FROM range(21) r(i), range(21) q(j)),
+p AS (SELECT embedding[1]::DOUBLE * 10 AS x, embedding[2]::DOUBLE * 10 AS y, CAST(label < 5 AS INTEGER) AS t FROM embeddings)
+SELECT CAST(g AS INTEGER) AS g, round(avg(ln(1 + exp(-abs(a * x + b * y))) + greatest(a * x + b * y, 0) - t * (a * x + b * y)), 6) AS loss, count(*) AS n FROM g, p GROUP BY 1""")
+def loss_surface(spark, d):
+    """The loss of a neuron over a grid of 21 by 21 weights."""
+    grid = [(-2 + i * 0.2, -2 + j * 0.2) for i in range(21) for j in range(21)]
+    e = load(spark, d, "embeddings").select(F.transform(F.slice("embedding", 1, 2), lambda v: v.cast("double") * 10).alias("x"), (F.col("label") < 5).cast("int").alias("y"))
+    return E.loss_surface(e, grid).select("g", F.round("loss", 6).alias("loss"), "n")
+
+
+@query("score_thresholds", f"""WITH {_PRED}, c AS (SELECT list_max(s.s) - list_sum(s.s) / 10 AS score, CAST(p.truth = p.pred AS INTEGER) AS t FROM s JOIN p USING (vec_id)), h AS (SELECT unnest([0.2e0, 0.4e0, 0.6e0, 0.8e0, 1e0]) AS threshold)
+SELECT threshold, count_if(score >= threshold) AS taken, CAST(sum(CASE WHEN score >= threshold THEN t ELSE 0 END) AS BIGINT) AS "right", round(sum(CASE WHEN score >= threshold THEN t ELSE 0 END) / nullif(count_if(score >= threshold), 0), 6) AS precision FROM c, h GROUP BY 1""")
+def score_thresholds(spark, d):
+    """How sure a prediction is (its class's score less the mean), against thresholds."""
+    scores = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: V.total(F.filter("v", lambda x, i: i % 10 == k)))
+    c = _vec(spark, d).select("label", scores.alias("s")).select((F.array_max("s") - V.total(F.col("s")) / 10).alias("score"), (V.argmax(F.col("s")) == F.col("label")).alias("t"))
+    out = E.over_threshold(c, "score", F.col("t"), [0.2, 0.4, 0.6, 0.8, 1.0])
+    return out.select("threshold", "taken", F.col("right").cast("long").alias("right"), F.round("precision", 6).alias("precision"))
+
+
+@query("observed_metrics", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(max(value), 6) AS top, (SELECT count(*) FROM events) AS written, round((SELECT sum(value * 2) FROM events), 3) AS reward FROM events GROUP BY 1")
+def observed_metrics(spark, d):
+    """What a job writes, with its number of rows and their sum observed on the way: no second pass."""
+    e = load(spark, d, "events").select("event_type", "value", (F.col("value") * 2).alias("reward"))
+    written, seen = files.write_observed(e, new_path(spark, "observed"), written=F.count(F.lit(1)), reward=F.sum("reward"))
+    out = written.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.max("value"), 6).alias("top"))
+    return out.withColumns({"written": F.lit(seen["written"]).cast("long"), "reward": F.round(F.lit(seen["reward"]), 3)})

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -93,3 +93,10 @@ def best_so_far(runs: DataFrame, by: list[str], step: str, loss: str) -> DataFra
 
     before = F.min(loss).over(Window.partitionBy(*by).orderBy(step).rowsBetween(Window.unboundedPreceding, -1))
     return runs.withColumn("__before", before).where(F.col(loss).isNotNull() & (F.col("__before").isNull() | (F.col(loss) < F.col("__before")))).drop("__before")
+
+
+def write_observed(df: DataFrame, path: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``df`` written as Parquet and read back, and aggregates of it that were gathered while it was written."""
+    seen = Observation("written")
+    df.observe(seen, *[c.alias(n) for n, c in metrics.items()]).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get
