@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,11 +31,23 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return fn(pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches)
+        try:
+            yield from fn(pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches)
+        finally:
+            give_back()
 
     return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """What a task has freed goes back to the system: workers are kept for later tasks, and with them what
+    their allocators hold."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def per_text(fn: Callable[[str | None], tuple], schema: pa.Schema, keep: list[str], text_col: str = "text", rows: int = 256):
     """A mapInArrow function: ``keep`` columns of the input, then ``fn(text)``'s values, in small batches."""
     new = [f for f in schema if f.name not in keep]
@@ -47,6 +60,8 @@ def per_text(fn: Callable[[str | None], tuple], schema: pa.Schema, keep: list[st
                 cols = [b.column(c) for c in keep]
                 cols += [pa.array([g[i] for g in got], type=f.type) for i, f in enumerate(new)]
                 yield pa.RecordBatch.from_arrays(cols, names=keep + [f.name for f in new])
+        _tables.clear()
+        give_back()
 
     return run
 
