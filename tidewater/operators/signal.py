@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -55,3 +57,45 @@ def resized(pixels: DataFrame, height: int, width: int, to: int, by: list[str])
     grid = grid.withColumns({"x": F.floor(F.col("tx") * height / to).cast("int"), "y": F.floor(F.col("ty") * width / to).cast("int")})
     # The grid has to^2 rows, whatever the data.
     return pixels.join(F.broadcast(grid), ["x", "y"]).select(*by, F.col("tx").alias("x"), F.col("ty").alias("y"), "v")
+
+
+#: Values of one part of a series that is transformed in parts, at most.
+PART = 1 << 20
+
+
+def _factors(n: int, most: int) -> tuple[int, int]:
+    """The two factors of n that are nearest to its root."""
+    for r in range(math.isqrt(n), 0, -1):
+        if n % r == 0:
+            if n // r > most:
+                break
+            return r, n // r
+    raise ValueError(f"a series of {n} values can't be cut into parts of {most} at most: leave some off, or pad it with zeros")
+
+
+def long_spectrum(df: DataFrame, at: str, x: str, n: int, most: int = PART) -> DataFrame:
+    """(k, re, im): the Fourier transform of one series of n values (``at`` 0 to n - 1, each once), spread over tasks.
+
+    With n = r * c it is taken in four steps: transforms of the c columns (every c-th value), each value turned by
+    its twiddle factor, transforms of the r rows.  A task holds a part of about the root of n; the values are shuffled twice."""
+    r, c = _factors(n, most)
+
+    def transform(part: pd.DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+        part = part.sort_values("i")
+        if len(part) != size:
+            raise ValueError("the series has gaps or repeated places")
+        return part["i"].to_numpy(), np.fft.fft(part["re"].to_numpy() + 1j * part["im"].to_numpy())
+
+    def columns(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        _, y = transform(part, r)
+        k = np.arange(r)
+        y = y * np.exp(-2j * np.pi * (key[0] * k % n) / n)
+        return pd.DataFrame({"row": k, "i": np.full(r, key[0]), "re": y.real, "im": y.imag})
+
+    def rows(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        _, y = transform(part, c)
+        return pd.DataFrame({"k": key[0] + r * np.arange(c), "re": y.real, "im": y.imag})
+
+    src = df.select((F.col(at) % c).cast("long").alias("col"), F.expr(f"`{at}` div {c}").cast("long").alias("i"), F.col(x).cast("double").alias("re"), F.lit(0.0).alias("im"))
+    turned = src.groupBy("col").applyInPandas(columns, "row long, i long, re double, im double")
+    return turned.groupBy("row").applyInPandas(rows, "k long, re double, im double")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import scalars as S
 from tidewater.functions import tables
 from tidewater.functions import vectors as V
+from tidewater.operators import ordered as O
 from tidewater.operators import signal as W
 from tidewater.plans.registry import load, query
 from tidewater.sources import files, rest, synthetic
@@ -374,3 +375,16 @@ def metric_rows(spark, d):
 WHERE value IS NOT NULL AND (b IS NULL OR value < b)""")
 def save_best(spark, d):
     return files.best_so_far(load(spark, d, "events").select("user_id", "event_id", "value"), ["user_id"], "event_id", "value")
+
+
+@query("long_spectrum", """WITH s AS (SELECT p_retailprice::DOUBLE - (SELECT avg(p_retailprice) FROM part) AS v, row_number() OVER (ORDER BY p_partkey) - 1 AS i FROM part), n AS (SELECT count(*) // 50 * 50 AS n FROM part),
+k AS (SELECT unnest(range(1, 25)) AS k)
+SELECT k, round(sum(v * cos(2 * pi() * k * i / n)), 3) AS re, round(-sum(v * sin(2 * pi() * k * i / n)), 3) AS im FROM s, n, k WHERE i < n GROUP BY k""")
+def long_spectrum(spark, d):
+    """The low end of the spectrum of all parts' prices in order, a series in parts (its length a multiple of 50)."""
+    p = load(spark, d, "part").select("p_partkey", F.col("p_retailprice").cast("double").alias("v"))
+    n = p.count() // 50 * 50
+    mean = p.agg(F.avg("v")).first()[0]
+    s = O.numbered(p, [], ["p_partkey"]).where(F.col("rn") <= n).select((F.col("rn") - 1).alias("i"), (F.col("v") - mean).alias("v"))
+    out = W.long_spectrum(s, "i", "v", n)
+    return out.where("k BETWEEN 1 AND 24").select("k", F.round("re", 3).alias("re"), F.round("im", 3).alias("im"))
