@@ -12,7 +12,7 @@ def con():
 
 
 #: Trained models, which SQL can't give; test_models.py holds them.
-MODELS = {"model_comparison", "feature_importances", "parameter_search", "learning_curve", "matrix_factors", "saved_model_scores"}
+MODELS = {"model_comparison", "feature_importances", "parameter_search", "learning_curve", "matrix_factors", "saved_model_scores", "approximate_neighbours"}
 
 
 def test_every_query_has_sql():

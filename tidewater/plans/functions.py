@@ -13,6 +13,7 @@ from tidewater.operators import ordered as O
 from tidewater.operators import signal as W
 from tidewater.plans.registry import load, query
 from tidewater.sources import files, rest, synthetic
+from tidewater.tables import new_path
 
 
 def _uni(key: str, salt: str = "") -> str:
@@ -388,3 +389,27 @@ def long_spectrum(spark, d):
     s = O.numbered(p, [], ["p_partkey"]).where(F.col("rn") <= n).select((F.col("rn") - 1).alias("i"), (F.col("v") - mean).alias("v"))
     out = W.long_spectrum(s, "i", "v", n)
     return out.where("k BETWEEN 1 AND 24").select("k", F.round("re", 3).alias("re"), F.round("im", 3).alias("im"))
+
+
+# ---- tables written in a file's form and read again
+
+
+@query("csv_round_trip", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def csv_round_trip(spark, d):
+    c = load(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    path = new_path(spark, "csv")
+    c.write.csv(path, header=True)
+    return files.csv(spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in c.schema))
+
+
+@query("game_log_round_trip", """SELECT row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) - 1 AS game, round(value, 4) AS score, user_id AS cycles, event_id AS play_ms, event_id * 2 AS train_ms FROM events""")
+def game_log_round_trip(spark, d):
+    """A log a day, each a document of one list a measure, read again as a row a game."""
+    e = load(spark, d, "events").select(F.to_date("ts").alias("day"), F.struct("ts", "event_id", "value", "user_id").alias("r"))
+    logs = e.groupBy("day").agg(F.array_sort(F.collect_list("r")).alias("r"))
+    of = lambda name, kind: F.transform("r", lambda x: x[name].cast(kind))
+    elapse = F.transform("r", lambda x: F.array(x["event_id"].cast("long"), (x["event_id"] * 2).cast("long")))
+    path = new_path(spark, "logs")
+    logs.select("day", of("value", "double").alias("score"), of("user_id", "int").alias("cycles"), elapse.alias("elapse")).write.partitionBy("day").json(path)
+    g = files.game_log(spark, path)
+    return g.select(F.col("game").cast("long").alias("game"), F.round("score", 4).alias("score"), F.col("cycles").cast("long").alias("cycles"), "play_ms", "train_ms")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.operators import ensemble as EN
+from tidewater.operators import index as IX
 from tidewater.operators import learn as M
 from tidewater.plans.registry import load, query
 from tidewater.streaming import processors as PR
@@ -242,3 +243,10 @@ def stream_actions(spark, d):
     run.awaitTermination()
     key = load(spark, d, "events").schema["event_id"].dataType
     return spark.read.schema(T.StructType([T.StructField("event_id", key), T.StructField("action", T.StringType())])).parquet(f"{at}/out").select("event_id", "action")
+
+
+@query("approximate_neighbours")
+def approximate_neighbours(spark, d):
+    """Of the ten nearest of each vector whose id is divisible by 100, how many an index finds."""
+    e = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return IX.recall(e.where("id % 100 = 0"), e, 10, IX.fit(e, 10))

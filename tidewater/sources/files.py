@@ -21,8 +21,10 @@ GAME_LOG = "game int, score array<double>, cycles array<int>, elapse array<array
 
 def game_log(spark: SparkSession, path: str) -> DataFrame:
     """(log, game, score, cycles, play_ms, train_ms, loss_actor, loss_critic): one row a game of logs that hold
-    one list a measure, position by position; a shorter list gives nulls."""
+    one list a measure, position by position; a shorter or missing list gives nulls."""
     doc = spark.read.schema(GAME_LOG).json(path, multiLine=True).withColumn("log", F.col("_metadata.file_name"))
+    lists = ["score", "cycles", "elapse", "lossActor", "lossCritic"]
+    doc = doc.withColumns({c: F.coalesce(c, F.array().cast(doc.schema[c].dataType)) for c in lists})
     return unzip(doc, "log", ["score", "cycles", "elapse", "lossActor", "lossCritic"], "game").select(
         "log", "game", "score", "cycles", F.get("elapse", F.lit(0)).alias("play_ms"), F.get("elapse", F.lit(1)).alias("train_ms"),
         F.col("lossActor").alias("loss_actor"), F.col("lossCritic").alias("loss_critic"),
