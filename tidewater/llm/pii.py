@@ -70,6 +70,9 @@ _PERSON = re.compile(rf"(?<!\w)(?:(?P<title>{_TITLE})[  ](?P<names>{_NAME}(?:[
 #: Names in capitals, after a title or a given name of the list; in small letters, after the abbreviation of a title.
 _CAPITALS = re.compile(r"(?<!\w)(?:(?P<title>[^\W\d_a-z]{2,}\.?|(?:Mrs?|Ms|Dr|Prof|Herr|Frau)\.?)[  ])?(?P<names>(?P<first>[^\W\d_a-zà-öø-ÿа-яα-ω]{2,})(?:[  ](?:[^\W\d_a-z]['’])?[^\W\d_a-zà-öø-ÿа-яα-ω]{2,}){0,2})(?!\w)")
 _SMALL = re.compile(r"(?<!\w)(?P<title>(?:[Mm]rs?|[Mm]s|[Dd]r|[Pp]rof|[Ss]ra?)\.)[  ](?P<first>[^\W\d_A-Z]{2,})(?!\w)(?:(?=[  ](?P<second>[^\W\d_A-Z]{2,})(?!\w))|)")
+#: What must be in a text for these two to be tried.
+_HAS_CAPITALS = re.compile("[A-ZÀ-ÖØ-ÞΑ-ΩЀ-Я]{2}")
+_HAS_TITLE = [t + "." for t in "mr Mr mrs Mrs ms Ms dr Dr prof Prof sr Sr sra Sra".split()]
 #: Words that follow an abbreviated title and are no name.
 _NO_NAME = frozenset("a an and are as at be but by de der die das du el en for from had has have in is it la le mit o of on or said says that the to und was were who will with y".split())
 _BY_TITLE = {t.rstrip(".").lower(): t for ts in TITLES.values() for t in ts}
@@ -140,14 +143,15 @@ def find(text: str) -> list[tuple[int, int, str]]:
 def _odd_names(text: str) -> list[tuple[int, int, str]]:
     """Names in capitals or, after a title, in small letters."""
     out = []
-    for m in _CAPITALS.finditer(text):
+    titled = any(t in text for t in _HAS_TITLE)
+    for m in _CAPITALS.finditer(text) if titled or _HAS_CAPITALS.search(text) else ():
         title = _BY_TITLE.get((m["title"] or "").rstrip(".").lower())
         words = re.split("[  ]", m["names"])
         if title or m["first"].capitalize() in _GENDER and len(words) > 1:
             out.append((*m.span("names"), "person" + _gender_of(title)))
         elif m["title"] and m["title"].capitalize() in _GENDER:  # the first word taken for a title is the given name
             out.append((m.start("title"), m.end("names"), "person"))
-    for m in _SMALL.finditer(text):
+    for m in _SMALL.finditer(text) if titled else ():
         if m["first"] in _NO_NAME:
             continue
         end = m.end("second") if m["second"] and m["first"].capitalize() in _GENDER and m["second"] not in _NO_NAME else m.end("first")
