@@ -14,7 +14,8 @@ are not counted; an empty outcome table allows everything that no rule blocks.
 ``host``, ``path``, ``rule`` or ``verdict`` are replaced; all others pass through, whatever their names.
 
 Pages are read for their url only.  The counts per host are pre-aggregated in map
-tasks and written once (one row a host); the join back has one row per host, so AQE splits a hot host.
+tasks and written once (one row a host).  Host, domain and suffix are looked up for the distinct hosts of the pages; of
+these only the blocked ones are joined with the pages, once, one row a host, so that AQE splits a hot host.
 """
 
 from __future__ import annotations
@@ -128,20 +129,27 @@ def host_reputation(outcomes: DataFrame, floor: float = 0.5) -> DataFrame:
     return levels[0].unionByName(levels[1]).unionByName(levels[2])
 
 
+def blocked_hosts(hosts: DataFrame, known: DataFrame, sure: float) -> DataFrame:
+    """Those of ``hosts`` (host) whose good rate is under the floor with probability ``sure``, by what is known of the
+    host, else of its domain, else of its suffix; ``known`` is ``host_reputation``'s result."""
+    domain, suffix = domain_and_suffix(F.col("host"))
+    seen = hosts.distinct().withColumns({"domain": domain, "suffix": suffix})
+    for level in ("host", "domain", "suffix"):
+        seen = seen.join(known.where(F.col("level") == level).select(F.col("name").alias(level), F.col("below").alias(f"{level}_p")), level, "left")
+    return seen.where(F.coalesce("host_p", "domain_p", "suffix_p", F.lit(0.0)) >= sure).select("host")
+
+
 def url_filter(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, floor: float = 0.5, sure: float = 0.95, url_col: str = "url") -> DataFrame:
     """``pages`` with host, path, rule and verdict; ``outcomes`` has (host, good)."""
     host, path = host_and_path(col(url_col))
     own = columns(pages, "host", "path", "rule", "verdict")
-    out = pages.select(*own, host.alias("host"), path.alias("path"))
-    domain, suffix = domain_and_suffix(F.col("host"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    out = out.withColumns({"rule": rule, "__uf_v": verdict, "__uf_domain": domain, "__uf_suffix": suffix})
+    out = pages.select(*own, host.alias("host"), path.alias("path")).withColumns({"rule": rule, "__uf_v": verdict})
     known = table(host_reputation(outcomes, floor), "reputation")
-    for level, key in (("host", "host"), ("domain", "__uf_domain"), ("suffix", "__uf_suffix")):
-        side = known.where(F.col("level") == level).select(F.col("name").alias(f"__uf_k_{level}"), F.col("below").alias(f"__uf_{level}_p"))
-        out = out.join(side, F.col(key) == F.col(f"__uf_k_{level}"), "left")
-    below = F.coalesce("__uf_host_p", "__uf_domain_p", "__uf_suffix_p", F.lit(0.0))
-    method = F.when(below >= sure, "block").otherwise("allow")
+    unruled = pages.select(host.alias("host"), path.alias("path")).where(verdict.isNull()).select("host")
+    blocked = table(blocked_hosts(unruled, known, sure), "blocked").select(F.col("host").alias("__uf_host"))
+    out = out.join(blocked, F.col("host") == F.col("__uf_host"), "left")
+    method = F.when(F.col("__uf_host").isNotNull(), "block").otherwise("allow")
     return out.select(*own, "host", "path", "rule", F.coalesce("__uf_v", method).alias("verdict"))
 
 
