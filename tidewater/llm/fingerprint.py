@@ -14,9 +14,11 @@ rarity table; two empty texts are alike (1), an empty and another one aren't (0)
 The next document is the next in descending id (nulls last, ties by a hash of the text), after the last the
 first.  Input columns of other names don't matter; ``with_fingerprints`` replaces one of the output's name.
 
-One pass gathers the rarity table (1001 counts), one reads the texts.  Finding each document's
+One pass gathers the rarity table (1001 counts), one the id, hash and length of each text (written once; bounds and
+first rows come from it), one the texts.  Finding each document's
 successor costs one shuffle by ranges of the id of about ``RANGE_BYTES``, hot ids and nulls being cut by the
-hash of the text too; the only things that pass through the driver are range bounds and the first row of each range,
+hash of the text too (rows equal in id and text stay in one range, which is sorted on disk and read as a stream); the only
+things that pass through the driver are range bounds and the first row of each range,
 ``MAX_RANGES`` at most (ranges grow beyond).
 """
 
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -34,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.shared import col, columns, map_arrow, mix64
+from tidewater.llm.shared import col, columns, map_arrow, mix64, scratch, table
 
 WINDOW, POPULAR, LEVELS = 32, 8, 1000
 #: Levels below are repetitive bytes, which fit too many texts.
@@ -217,50 +220,59 @@ def with_fingerprints(docs: DataFrame, ranks: np.ndarray, text_col: str = "text"
 def with_next(docs: DataFrame, parts: int | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(bucket, look, id, text) of (id, text), dealt out by ranges of id, descending, with a lookahead row:
     partitioned and sorted so that the row after each row with ``look`` false is its successor."""
-    spark = docs.sparkSession
-    ids = docs.select("id", F.xxhash64("text").alias("h"), F.length("text").alias("n"))
-    size = ids.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("chars"), F.count("*").alias("rows"), F.count_if(F.col("id").isNull()).alias("nulls")).first()
-    if not size.rows:
-        return docs.select(F.lit(0).alias("bucket"), F.lit(False).alias("look"), "id", "text")
-    parts = max(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size.chars // (4 * range_bytes)))
-    n = max(2, min(MAX_RANGES, max(4 * parts, -(-size.chars // range_bytes))))
-    shares = ", ".join(f"{i / n!r}D" for i in range(1, n))
-    found = ids.agg(F.expr(f"percentile_approx(id, array({shares}), {20 * n})").alias("b")).first().b or []
-    # An id that several bounds fall on is hot: a range of its own, cut by the hash into as many slices.
-    often = Counter(found)
-    hot = {b: k for b, k in often.items() if k > 1 and b < (1 << 63) - 1}
-    bounds = sorted({*often, *(b + 1 for b in hot)})
-    nulls = min(n, -(-size.nulls * n // size.rows)) or 1
-    slices = [nulls, 1, *[hot.get(b, 1) for b in bounds]]  # nulls, below the first bound, from each bound on
-    base = np.concatenate([[0], np.cumsum(slices[::-1])[:-1]])[::-1]  # the first slice of each range, highest ids first
-    # Position among the bounds in two steps, so that a row costs about 2 * sqrt(bounds).
-    wide = max(1, math.isqrt(len(bounds)))
-    arr, heads = _longs(bounds), _longs(bounds[::wide])
-    head = F.size(F.filter(heads, lambda b: b <= F.col("id")))
-    inner = F.when(head > 0, (head - 1) * wide + F.size(F.filter(F.slice(arr, F.greatest((head - 1) * wide + 1, F.lit(1)), wide), lambda b: b <= F.col("id"))))
-    at = F.when(F.col("id").isNull(), 0).otherwise(F.coalesce(inner, F.lit(0)) + 1).cast("int")
-    share = F.floor((F.shiftright("h", 32) + (1 << 31)) * F.get(_longs(slices), at) / float(1 << 32))
-    bucket = (F.get(_longs(base), at) + share).cast("int")
-    key = F.struct(F.col("id").isNull().alias("last"), F.bitwise_not("id").alias("down"), "h")
-    firsts = {r.bucket: r.m for r in ids.select(bucket.alias("bucket"), key.alias("k")).groupBy("bucket").agg(F.min("k").alias("m")).collect()}
+    with scratch():
+        # Sizes, bounds and first rows come from three numbers a row, so that texts are read for them once.
+        ids = table(docs.select("id", F.xxhash64("text").alias("h"), F.length("text").alias("n")), "ids")
+        size = ids.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("chars"), F.count("*").alias("rows"), F.count_if(F.col("id").isNull()).alias("nulls")).first()
+        if not size.rows:
+            return docs.select(F.lit(0).alias("bucket"), F.lit(False).alias("look"), "id", "text")
+        parts = max(parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size.chars // (4 * range_bytes)))
+        n = max(2, min(MAX_RANGES, max(4 * parts, -(-size.chars // range_bytes))))
+        bucket, slices = _buckets(ids, n, size.nulls, size.rows)
+        key = F.struct(F.col("id").isNull().alias("last"), F.bitwise_not("id").alias("down"), "h")
+        firsts = {r.bucket: r.m for r in ids.select(bucket.alias("bucket"), key.alias("k")).groupBy("bucket").agg(F.min("k").alias("m")).collect()}
     order = sorted(firsts)
     # The first row of a bucket is also the lookahead of the bucket before it; the very first one closes the ring.
     before = dict(zip(order, [order[-1], *order[:-1]], strict=True))
-    rows_of = [firsts.get(b) for b in range(sum(slices))]
+    rows_of = [firsts.get(b) for b in range(slices)]
     first_id = _longs([None if r is None or r.down is None else ~r.down for r in rows_of])
     first_h = _longs([r and r.h for r in rows_of])
     at = docs.withColumn("h", F.xxhash64("text")).withColumn("bucket", bucket)
     own = F.struct("bucket", F.lit(False).alias("look"))
     leads = F.get(first_id, F.col("bucket")).eqNullSafe(F.col("id")) & (F.get(first_h, F.col("bucket")) == F.col("h"))
-    ahead = F.when(leads, F.struct(F.get(_longs([before.get(b) for b in range(sum(slices))]), F.col("bucket")).cast("int").alias("bucket"), F.lit(True).alias("look")))
+    ahead = F.when(leads, F.struct(F.get(_longs([before.get(b) for b in range(slices)]), F.col("bucket")).cast("int").alias("bucket"), F.lit(True).alias("look")))
     rows = at.select("id", "text", "h", F.inline(F.filter(F.array(own, ahead), lambda s: s.isNotNull())))
     rows = rows.repartition(parts, "bucket")
     return rows.sortWithinPartitions("bucket", "look", F.col("id").desc_nulls_last(), "h", "text").select("bucket", "look", "id", "text")
 
 
+def _buckets(ids: DataFrame, n: int, nulls: int, rows: int) -> tuple[Column, int]:
+    """The bucket of a row (id, h), by about ``n`` ranges of id, highest ids first and nulls last, and how many there are."""
+    shares = _constant([i / n for i in range(1, n)], "double")
+    found = ids.agg(F.percentile_approx("id", shares, 20 * n).alias("b")).first().b or []
+    # An id that several bounds fall on is hot: a range of its own, cut by the hash into as many slices.
+    often = Counter(found)
+    hot = {b: k for b, k in often.items() if k > 1 and b < (1 << 63) - 1}
+    bounds = sorted({*often, *(b + 1 for b in hot)})
+    slices = [min(n, -(-nulls * n // rows)) or 1, 1, *[hot.get(b, 1) for b in bounds]]  # nulls, below the first bound, from each bound on
+    base = np.concatenate([[0], np.cumsum(slices[::-1])[:-1]])[::-1].tolist()  # the first slice of each range
+    # Position among the bounds in two steps, so that a row costs about 2 * sqrt(bounds).
+    wide = max(1, math.isqrt(len(bounds)))
+    arr, heads = _longs(bounds), _longs(bounds[::wide])
+    head = F.size(F.filter(heads, lambda b: b <= F.col("id")))
+    inner = F.when(head > 0, (head - 1) * wide + F.size(F.filter(F.slice(arr, F.greatest((head - 1) * wide + 1, F.lit(1)), wide), lambda b: b <= F.col("id"))))
+    at = F.when(F.col("id").isNull(), 0).otherwise(F.coalesce(inner, F.lit(0)) + 1).cast("int")
+    share = F.floor((F.shiftright("h", 32) + (1 << 31)) * F.get(_longs(slices), at) / float(1 << 32))
+    return (F.get(_longs(base), at) + share).cast("int"), sum(slices)
+
+
 def _longs(values) -> Column:
-    """A constant array."""
-    return F.expr(f"cast(array({', '.join('null' if v is None else f'{v}' for v in values)}) as array<bigint>)")
+    return _constant(values, "bigint")
+
+
+def _constant(values, kind: str) -> Column:
+    """A constant array, from one string that the optimizer reads once: it stays cheap for 65 536 numbers."""
+    return F.from_json(F.lit(json.dumps(list(values))), f"array<{kind}>")
 
 
 def edited(text: str, following: str) -> str:
