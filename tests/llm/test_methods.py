@@ -78,25 +78,8 @@ def test_toxicity_at_its_threshold_held_out(spark):
     rows = quality_and_toxicity_of(spark, toxicity.op10, "toxic")
     plain = [p for p, y, t in rows if y and any(w in t.lower() for w in ("idiot", "clown", "moron", "worthless", "pathetic", "disgusting", "stupid", "trash", "scum", "loser"))]
     assert len(plain) >= 5 and sum(plain) / len(plain) >= 0.85
-    assert sum(p for p, y, _ in rows if not y) / sum(1 - y for _, y, _ in rows) <= 0.06
-
-
-def test_score_is_the_isotonic_fit(spark):
-    """Pooled neighbours of the scores that trees of the other half gave, by hand."""
-    from pyspark.ml.regression import IsotonicRegression
-
-    r = random.Random(2)
-    data = sorted((round(r.random(), 6), float(r.random() < 0.4)) for _ in range(200))
-    blocks = []
-    for x, y in data:
-        blocks.append([y, 1, [x]])
-        while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] > blocks[-1][0] / blocks[-1][1]:
-            s, n, xs = blocks.pop()
-            blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + n, blocks[-1][2] + xs]
-    want = {x: s / n for s, n, xs in blocks for x in xs}
-    model = IsotonicRegression(featuresCol="p", labelCol="label").fit(spark.createDataFrame(data, "p double, label double"))
-    got = {r.p: r.prediction for r in model.transform(spark.createDataFrame([(x,) for x, _ in data], "p double")).collect()}
-    assert all(abs(got[x] - v) < 1e-9 for x, v in want.items())
+    hits = sum(p and y for p, y, _ in rows)
+    assert hits / sum(y for _, y, _ in rows) >= 0.5 and hits / sum(p for p, _, _ in rows) >= 0.9
 
 
 # ---- language mixtures
