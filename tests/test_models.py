@@ -36,6 +36,20 @@ def test_the_labels_cannot_be_read_off(spark):
     assert score["tree", "accuracy"] < 0.65
 
 
+def test_letter_shares_by_hand_in_one_pass(spark):
+    """Every letter of texts with signs of one to four bytes, capitals, nothing and null; the text is named once in the plan, not once a letter."""
+    from tidewater.plans import models
+
+    texts = ["Abba", "", None, "\u00c9t\u00e9 zz \U0001f600", "123 \u0130\u212a", "q" * 300 + "\u20ac"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(3)
+    got = {r.i: r.s for r in df.select("i", models.letter_shares(F.lower("text")).alias("s")).collect()}
+    for i, t in enumerate(texts):
+        low = (t or "").lower()
+        assert got[i] == [low.count(c) / len(low) if low else 0.0 for c in models.NAMES], i
+    plan = models._task(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(text") == 1 and "translate" not in plan
+
+
 def test_saved_model_scores_the_same(spark):
     r = plans.QUERIES["saved_model_scores"](spark, SF).first()
     assert r.differ == 0 and r.n > 20 and r.accuracy > 0.85 and r.saved >= 1

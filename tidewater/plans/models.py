@@ -10,6 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewater.functions.letters import letter_shares
 from tidewater.operators import ensemble as EN
 from tidewater.operators import index as IX
 from tidewater.operators import learn as M
@@ -72,14 +73,15 @@ def policy_loss(spark, d):
 # ---- models: which documents are English, from the shares of their letters
 
 
+#: The letters that ``letter_shares`` counts, in order.
 NAMES = list(string.ascii_lowercase)
 
 
 def _task(spark, d):
     """(doc_id, features, label): the share of each letter in the whole text of every document with a language, and whether it is English."""
-    docs = load(spark, d, "documents").where("lang IS NOT NULL").select("doc_id", F.lower("text").alias("text"), (F.col("lang") == "en").cast("int").alias("english"))
-    share = lambda c: F.coalesce(F.try_divide(F.length("text") - F.length(F.translate("text", c, "")), F.length("text")), F.lit(0.0)).alias(c)
-    return M.features(docs.select("doc_id", "english", *[share(c) for c in NAMES]), NAMES, "english", ["doc_id"])
+    docs = load(spark, d, "documents").where("lang IS NOT NULL")
+    docs = docs.select("doc_id", letter_shares(F.lower("text")).alias("shares"), (F.col("lang") == "en").cast("int").alias("english"))
+    return M.features(docs, ["shares"], "english", ["doc_id"])
 
 
 def _parts(spark, d):
@@ -101,7 +103,9 @@ def model_comparison(spark, d):
 
 @query("feature_importances")
 def feature_importances(spark, d):
-    model = M.MODELS["forest"]().fit(_task(spark, d))
+    data = table(_task(spark, d), "task")
+    model = M.MODELS["forest"]().fit(data)
+    forget(data)
     return spark.createDataFrame(M.importances(model, NAMES), "name string, importance double")
 
 
