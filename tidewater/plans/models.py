@@ -188,12 +188,11 @@ def _run(spark, stream, name: str, mode: str):
     return out
 
 
-@query("stream_bucket_means", """WITH b AS (SELECT time_bucket(INTERVAL '20 minutes', ts) AS s, event_type, avg(value) AS m, count(value) AS n FROM events GROUP BY 1, 2)
-SELECT CAST(s AS VARCHAR) AS start, event_type, round(m, 6) AS mean, n FROM b WHERE s + INTERVAL '20 minutes' <= (SELECT max(ts) FROM events) - INTERVAL '1 hour'""")
+@query("stream_bucket_means", "SELECT CAST(time_bucket(INTERVAL '20 minutes', ts) AS VARCHAR) AS start, event_type, round(avg(value), 6) AS mean, count(value) AS n FROM events GROUP BY ALL")
 def stream_bucket_means(spark, d):
-    """Twenty-minute means by tag, each told once when rows of an hour later have come; its state goes then."""
-    s = ST.bucket_means(_stream(spark, d), "ts", "value", "20 minutes", ["event_type"], late="1 hour")
-    out = _run(spark, s, "buckets", "append")
+    """Twenty-minute means by tag of all events; each micro-batch tells the buckets that it changed, and the last word on each counts."""
+    s = ST.bucket_means(_stream(spark, d), "ts", "value", "20 minutes", ["event_type"])
+    out = ST.latest(_run(spark, s, "buckets", "update"), ["start", "event_type"])
     return out.select(F.col("start").cast("string").alias("start"), "event_type", F.round("mean", 6).alias("mean"), "n")
 
 
