@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Activations by name.
 ACTIVATIONS: dict[str, Callable[[Column], Column]] = {
@@ -110,11 +113,27 @@ def gather(a: Column, i: Column) -> Column:
     return F.get(a, i)
 
 
-def power_spectrum(a: Column) -> Column:
-    """|sum_n x_n exp(-2 pi i k n / N)|^2 for k = 0 .. N/2 of a short array; for series use operators.signal.spectrum."""
-    n = F.size(a)
-
-    def part(k: Column, f) -> Column:
-        return F.aggregate(F.transform(a, lambda x, i: x * f(2 * math.pi * k * i / n)), F.lit(0.0), lambda s, x: s + x)
-
-    return F.transform(F.sequence(F.lit(0), F.floor(n / 2).cast("int")), lambda k: F.pow(part(k, F.cos), F.lit(2.0)) + F.pow(part(k, F.sin), F.lit(2.0)))
+def power_spectrum(a: Column, n: int | None = None) -> Column:
+    """|sum_i x_i exp(-2 pi i k i / n)|^2 for k = 0 .. n/2 of a short array, n its length unless given; nulls in it count for
+    nothing, an array of them alone gives nulls, an empty one nothing.  For series use operators.signal.spectrum."""
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def powers(a: pa.Array) -> pa.Array:
+        """By the matrix products of all arrays of one length with the cosines and sines."""
+        size = pc.fill_null(pc.list_value_length(a), 0).to_numpy(zero_copy_only=False)
+        values = a.flatten()
+        known = pc.is_valid(values).to_numpy(zero_copy_only=False)
+        x = pc.fill_null(values.cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False)
+        start = np.cumsum(size) - size
+        at = np.concatenate([[0], np.cumsum(np.where(size > 0, (size if n is None else n) // 2 + 1, 0))])
+        out, none = np.zeros(at[-1]), np.zeros(at[-1], bool)
+        for s in np.unique(size[size > 0]):
+            rows, m = np.flatnonzero(size == s), n or int(s)
+            turn = 2 * np.pi / m * (np.outer(np.arange(s), np.arange(m // 2 + 1)) % m)
+            cells = start[rows][:, None] + np.arange(s)
+            to = at[rows][:, None] + np.arange(m // 2 + 1)
+            out[to] = (x[cells] @ np.cos(turn)) ** 2 + (x[cells] @ np.sin(turn)) ** 2
+            none[to] = ~known[cells].any(axis=1, keepdims=True)
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(out, mask=none))
+
+    return powers(a)

@@ -308,8 +308,7 @@ def packed_rgb(spark, d):
 @query("vector_spectrum", """WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS n FROM embeddings)
 SELECT vec_id, CAST(k AS INTEGER) AS k, round(pow(sum(x * cos(2 * pi() * k * n / 64)), 2) + pow(sum(x * sin(2 * pi() * k * n / 64)), 2), 4) AS power FROM e, range(33) r(k) GROUP BY ALL""")
 def vector_spectrum(spark, d):
-    v = F.transform("embedding", lambda x: x.cast("double"))
-    out = load(spark, d, "embeddings").select("vec_id", F.posexplode(V.power_spectrum(v)).alias("k", "power"))
+    out = load(spark, d, "embeddings").select("vec_id", F.posexplode(V.power_spectrum(F.col("embedding"), 64)).alias("k", "power"))
     return out.select("vec_id", "k", F.round("power", 4).alias("power"))
 
 
