@@ -1,6 +1,7 @@
 """Joins by place and order against all pairs, with ties, nulls and empty tables."""
 
 import math
+import re
 import random
 
 import pytest
@@ -84,3 +85,17 @@ def test_spectrum_of_a_sine(spark):
     got = W.spectrum(spark.createDataFrame(rows, "tag string, i int, v double"), "tag", ["i"], "v", 64.0).collect()
     top = max((r for r in got if r.tag == "s"), key=lambda r: r.power)
     assert top.k == 5 and top.frequency == 5.0 and {r.power for r in got if r.tag == "z"} == {0.0}
+
+
+def test_full_cells_are_dealt_into_blocks(spark, monkeypatch):
+    """Hot cells, each point once; as many tasks as the pairs ask for, and no block of more pairs than allowed but by chance."""
+    r = random.Random(11)
+    rows = [(i, r.gauss(0, 0.1), r.gauss(0, 0.1)) for i in range(400)] + [(400 + i, r.uniform(-9, 9), r.uniform(-9, 9)) for i in range(200)]
+    p = spark.createDataFrame(rows, "id long, x double, y double")
+    want = sorted((a, b) for a, ax, ay in rows if a % 5 == 0 for b, bx, by in rows if math.sqrt((bx - ax) ** 2 + (by - ay) ** 2) <= 0.5)
+    monkeypatch.setattr(G, "PAIRS", 500)
+    out = G.within(p, p.where("id % 5 = 0"), 0.5)
+    assert sorted((x.centre, x.id) for x in out.collect()) == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    tasks = [int(n) for n in re.findall(r"RepartitionByExpression .*?, (\d+)", plan)]
+    assert "__block" in plan and len(tasks) == 2 and min(tasks) > 100
