@@ -5,6 +5,7 @@ import random
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tests.compare import SF
@@ -55,6 +56,19 @@ def test_saved_model_scores_the_same(spark):
     assert r.differ == 0 and r.n > 20 and r.accuracy > 0.85 and r.saved >= 1
 
 
+def test_models_in_a_session_that_has_observed(spark):
+    """An observation stays with the session, which summaries of trained models hold."""
+    seen = Observation("rows")
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 3}
+    r = plans.QUERIES["saved_model_scores"](spark, SF).first()
+    assert r.differ == 0 and r.n > 20 and r.accuracy > 0.85 and r.saved >= 1
+    df = M.features(spark.createDataFrame([(i, [float(i % 7), float(i % 5)], int(i % 7 > 3)) for i in range(140)], "id long, v array<double>, y int"), ["v"], "y", ["id"])
+    models = {k: M.prepared(M.MODELS[k]()) for k in ("forest", "neuron")} | {"kernel": M.kernel_machine(2, size=16)}
+    assert all(v > 0.85 for _, _, v in M.compare(models, df, df))
+    assert all(v > 0.85 for _, _, v in M.learning_curve(M.MODELS["neuron"](), df, "id", [1.0], folds=2))
+
+
 def test_draws_of_a_search(spark):
     r = random.Random(1)
     rows = [(i, [r.random(), r.random()], 0) for i in range(120)]

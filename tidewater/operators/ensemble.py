@@ -19,13 +19,13 @@ import numpy as np
 import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import DecisionTreeClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param.shared import HasFeaturesCol, HasInputCol, HasLabelCol, HasOutputCol, HasPredictionCol, Param, Params, TypeConverters
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.tables import forget, table
+from tidewater.tables import delete, forget, new_path, table
 
 
 class AdaBoost(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol):
@@ -116,17 +116,41 @@ def log_loss(scored: DataFrame, label: str = "label", probability: str = "probab
     return scored.agg(F.avg(-F.ln(F.greatest(p, F.lit(1e-15))))).first()[0]
 
 
+def without_summaries(model: Model, spark: SparkSession) -> Model:
+    """The model, or a pipeline's stages, saved and loaded where they have a summary of their training.
+
+    Summaries of two classes hold the session, and one in which any frame was observed (``Observation``) can't be sent to
+    tasks, so a model that has one fails there at its first use (Task not serializable).  Loaded models have none."""
+    if isinstance(model, PipelineModel):
+        return PipelineModel([without_summaries(s, spark) for s in model.stages])
+    if not getattr(model, "hasSummary", False):
+        return model
+    path = new_path(spark, "model")
+    model.write().save(path)
+    out = type(model).load(path)
+    delete(spark, path)
+    return out
+
+
+def neuron_probability(x: str, model: LogisticRegressionModel) -> Column:
+    """The probability of class 1 by a logistic model's own weights, of a vector column."""
+    terms = F.zip_with(vector_to_array(x), F.lit(model.coefficients.toArray()), lambda a, w: a * w)
+    return 1 / (1 + F.exp(-F.aggregate(terms, F.lit(model.intercept), lambda s, t: s + t)))
+
+
 def save_best(candidates: Sequence[Pipeline], train: DataFrame, valid: DataFrame, path: str) -> list[tuple[int, float, bool]]:
     """Fits the candidates in turn and saves those that are better on ``valid`` than all before, each under its number, as
-    ``path``/version=i with its loss; (version, loss, saved) of all of them."""
+    ``path``/version=i with its loss; (version, loss, saved) of all of them.  A candidate is judged as saved; worse ones are deleted."""
     spark, best, out = train.sparkSession, math.inf, []
     for i, c in enumerate(candidates):
-        model = c.fit(train)
-        loss = log_loss(model.transform(valid))
+        at = f"{path}/version={i}"
+        c.fit(train).write().overwrite().save(f"{at}/model")
+        loss = log_loss(PipelineModel.load(f"{at}/model").transform(valid))
         if loss < best:
-            model.write().overwrite().save(f"{path}/version={i}/model")
             note = spark.createDataFrame([(i, json.dumps({"loss": loss}))], "version int, note string")
-            note.coalesce(1).write.mode("overwrite").json(f"{path}/version={i}/note")
+            note.coalesce(1).write.mode("overwrite").json(f"{at}/note")
+        else:
+            delete(spark, at)
         out.append((i, loss, loss < best))
         best = min(best, loss)
     return out

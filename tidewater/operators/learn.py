@@ -16,7 +16,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.operators.ensemble import AdaBoost, RandomFourierFeatures
+from tidewater.operators.ensemble import AdaBoost, RandomFourierFeatures, without_summaries
 
 
 def features(df: DataFrame, cols: Sequence[str], label: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -79,7 +79,7 @@ def compare(models: dict[str, Pipeline], train: DataFrame, test: DataFrame, metr
     """(model, metric, value) of each pipeline, fitted on one part and measured on the other."""
     out = []
     for name, p in models.items():
-        scored = p.fit(train).transform(test)
+        scored = without_summaries(p.fit(train), train.sparkSession).transform(test)
         out += [(name, m, MulticlassClassificationEvaluator(metricName=m).evaluate(scored)) for m in metrics]
     return out
 
@@ -104,7 +104,7 @@ def learning_curve(model, data: DataFrame, key: str, shares: Sequence[float], fo
     judge, out = MulticlassClassificationEvaluator(metricName=metric), []
     for k in range(folds):
         test = data.where(h == k)
-        out += [(s, k, judge.evaluate(model.fit(data.where((h != k) & (u < s))).transform(test))) for s in shares]
+        out += [(s, k, judge.evaluate(without_summaries(model.fit(data.where((h != k) & (u < s))), data.sparkSession).transform(test))) for s in shares]
     return out
 
 

@@ -137,14 +137,16 @@ def learning_curve(spark, d):
 @query("saved_model_scores")
 def saved_model_scores(spark, d):
     """A neuron trained for more and more steps, saved whenever its validation loss is the best so far; the best one, loaded again,
-    on the held-out fifth, as a batch and as a stream: its version, rows, accuracy, loss, and scores that differ from those before saving."""
+    on the held-out fifth, as a stream: its version, rows, accuracy, scores that differ from those by the weights of the neuron before
+    saving, and how many were saved."""
     data, train, test = _parts(spark, d)
     valid = F.pmod(F.xxhash64(F.lit("valid"), "doc_id"), F.lit(5)) == 0
     path = new_path(spark, "models")
     steps = [M.prepared(LogisticRegression(maxIter=n, tol=0.0)) for n in (1, 2, 4, 8, 16)]
     saved = EN.save_best(steps, train.where(~valid), train.where(valid), path)
     version, model = EN.load_best(spark, path)
-    again = steps[version].fit(train.where(~valid)).transform(test).select("doc_id", vector_to_array("probability")[1].alias("before"))
+    scaler, neuron = steps[version].fit(train.where(~valid)).stages
+    again = scaler.transform(test).select("doc_id", EN.neuron_probability("scaled", neuron).alias("before"))
     held = table(test, "held")
     streamed = EN.score(spark.readStream.schema(held.schema).parquet(held._tidewater_path), model, version).select("doc_id", "label", "prediction", "model_version", vector_to_array("probability")[1].alias("p"))
     at = new_path(spark, "scored")
